@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, sharding
+from . import fingerprint, id_files, packing, sharding
+from .common import scratch_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), tree, sharding.grown_tree(tree, 16))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), "spaces", end_id=2, capacity=1024)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    written = id_files.write_id_files(_documents(spark, sf_dir), path, _tokenizer("word_bpe_49k.json"), "words", end_id=2)
+    return id_files.read_id_files(spark, path, written)
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_documents(spark, sf_dir))
 
@@ -25,6 +42,8 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_sharding": op6_sharding,
+        "op7_packing": op7_packing,
+        "op8_token_files": op8_token_files,
         "op9_fingerprint": op9_fingerprint,
     }
 
