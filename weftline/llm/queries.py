@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, id_files, packing, sharding
-from .common import scratch_path
+from . import fingerprint, id_files, langid, packing, pii, sharding
+from .common import held_out, scratch_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = held_out("doc_id", 3, 1)
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(16)
     return sharding.shard_documents(_documents(spark, sf_dir), tree, sharding.grown_tree(tree, 16))
@@ -39,12 +47,18 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_documents(spark, sf_dir))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op6_sharding": op6_sharding,
         "op7_packing": op7_packing,
         "op8_token_files": op8_token_files,
         "op9_fingerprint": op9_fingerprint,
+        "op10_personal_data": op10_personal_data,
     }
 
 
