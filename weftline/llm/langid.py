@@ -163,12 +163,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     A null text or one without a letter gets ``und`` and 0. Every row is kept; nothing is shuffled.
     The model, of a size bounded by the alphabet and the landmarks, is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.classes, model.column, model.weights))
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(LanguageModel(*shared.value))
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
