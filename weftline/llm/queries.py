@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, id_files, langid, packing, pii, sharding, simhash
+from . import fingerprint, id_files, langid, packing, pii, sharding, simhash, toxicity
 from .common import held_out, scratch_path
 
 
@@ -27,6 +27,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = held_out("doc_id", 4, 2)
+    costs = toxicity.trigram_costs(toxicity.trigram_counts(docs))
+    listed, otherwise = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~out, costs)
+    found = toxicity.score(docs, costs, listed, otherwise)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(16)
     return sharding.shard_documents(_documents(spark, sf_dir), tree, sharding.grown_tree(tree, 16))
@@ -60,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_simhash": op2_simhash,
+        "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
         "op7_packing": op7_packing,
         "op8_token_files": op8_token_files,
