@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import ChunkEncoder, text_batches
+from .tokens import character_classes, text_batches, worker_encoder
 
 _U = np.uint64
 MAGIC = b"WLIDX001"
@@ -174,11 +174,13 @@ def write_id_files(docs: DataFrame, path: str, tokenizer: str, splitter: str, en
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
+    classes = spark.sparkContext.broadcast(character_classes())
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder = ChunkEncoder(tokenizer, splitter)
+        encoder = worker_encoder(tokenizer, splitter, classes.value)
         end, width = encoder.one(end_id), encoder.dtype.itemsize
         ids, lengths, payload = [], [], io.BytesIO()
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, numbered
-from .tokens import ChunkEncoder, text_batches
+from .tokens import character_classes, text_batches, worker_encoder
 
 #: triples offered to the fit, those with the most pieces to use first
 TRIPLES = 4096
@@ -115,8 +115,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, splitter: str, end_id: int, capa
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    classes = docs.sparkSession.sparkContext.broadcast(character_classes())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, splitter)
+        encoder = worker_encoder(tokenizer, splitter, classes.value)
         end, width = encoder.one(end_id), encoder.dtype.itemsize
         for batch in batches:
             out: list[tuple] = []

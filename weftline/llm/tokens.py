@@ -1,81 +1,198 @@
-"""Token ids of whole texts, with each distinct chunk of text encoded once per worker.
+"""Token ids of whole texts by the tokenizers library, with each distinct chunk encoded once per worker.
 
-A chunk is a stretch that the tokenizer provably treats on its own, so the ids of a text are the ids
-of its chunks in order. Which cuts are safe depends on the tokenizer, hence the two splitters.
+A chunk is a stretch between two places where the tokenizer surely starts a new pre-token, so the ids of
+a text are the ids of its chunks in order. Chunks are found, hashed and put together again with numpy
+over many texts at a time; only chunks not seen before go through the tokenizer. Two chunks count as
+the same if they agree in a 64-bit hash, in length and in their first and last characters.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable
+import unicodedata
 
 import numpy as np
 
-#: chunks longer than this are encoded each time instead of being remembered
-LONGEST_KEPT = 64
-#: remembered chunks; beyond so many the memory is emptied and filled anew
-MOST_KEPT = 400_000
+#: chunks remembered; beyond so many the memory is emptied and filled anew
+MOST_KEPT = 600_000
+#: characters handled at a time
+STRETCH = 1_000_000
+
+SPACE, NEWLINE, LETTER, NUMBER, SYMBOL, OTHER_SPACE = range(6)
+_BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 20240607
+
+
+def character_classes() -> np.ndarray:
+    """The class of every code point: white space, letter, number or symbol."""
+    table = np.full(0x110000, SYMBOL, np.uint8)
+    for i in range(0x110000):
+        kind = unicodedata.category(chr(i))[0]
+        if kind == "L":
+            table[i] = LETTER
+        elif kind == "N":
+            table[i] = NUMBER
+    table[[i for i in range(0x3001) if chr(i).isspace() and not 0x1C <= i <= 0x1F]] = OTHER_SPACE  # as Unicode has it
+    table[0x20], table[0x0A] = SPACE, NEWLINE
+    return table
+
+
+class Chunks:
+    """Cuts of many texts at once: where chunks start and end in the joined code points, and their texts."""
+
+    def __init__(self, classes: np.ndarray, splitter: str) -> None:
+        self.classes, self.splitter = classes, splitter
+        rng = np.random.default_rng(_SEED)
+        self.value = rng.integers(1, 1 << 63, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.full(1, _BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(1, pow(_BASE, -1, 1 << 64), np.uint64))
+        self._grow(STRETCH + 1)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            with np.errstate(over="ignore"):
+                self.power = np.cumprod(np.full(n, _BASE, np.uint64))
+                self.inverse = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
+
+    def whole(self, text: str) -> bool:
+        """Whether a text must be encoded uncut.
+
+        Where single spaces and newlines matter, any other white space and any run of it is left to
+        the tokenizer. Where white space only separates, two letters change their number or form with
+        their neighbours when lower-cased.
+        """
+        return "İ" in text if self.splitter == "words" else self.splitter == "none"
+
+    def prepare(self, text: str) -> str:
+        if self.splitter == "words":
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            if "Σ" not in text:
+                text = text.lower()
+        return text
+
+    def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Joined text, chunk starts and ends, the text each chunk is of, hashes, and texts not to be cut."""
+        joined = "".join(texts)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.classes[code]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.concatenate([[0], np.cumsum(size)])
+        first = np.zeros(len(code) + 1, bool)
+        first[begin] = True
+        first = first[:-1]
+        before = np.concatenate([[OTHER_SPACE], kind[:-1]]).astype(np.uint8)
+        blank = (kind == SPACE) | (kind == NEWLINE) | (kind == OTHER_SPACE)
+        apart = kind != before
+        # An apostrophe and the letters after it are one chunk: contractions are known as such.
+        apart[1:] &= ~((code[:-1] == 0x27) & (kind[1:] == LETTER))
+        if self.splitter == "words":
+            start = np.flatnonzero((first | apart) & ~blank)
+            after = np.flatnonzero(first | apart | blank)
+            end = np.concatenate([after, [len(code)]])[np.searchsorted(after, start, side="right")]
+            bad = np.zeros(len(texts), bool)
+        else:
+            start = np.flatnonzero(first | (kind == SPACE) | (kind == NEWLINE) | (before == NEWLINE) | (apart & (before != SPACE)))
+            end = np.concatenate([start[1:], [len(code)]])
+            blank_before = np.concatenate([[False], blank[:-1]]) & ~first
+            wrong = (blank & blank_before) | (kind == OTHER_SPACE)
+            bad = np.zeros(len(texts), bool)
+            bad[np.searchsorted(begin, np.flatnonzero(wrong), side="right") - 1] = True
+        owner = np.searchsorted(begin, start, side="right") - 1
+        self._grow(len(code) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[code] * self.power[: len(code)])])
+            hashed = (total[end] - total[start]) * self.inverse[start]
+            hashed ^= hashed >> np.uint64(29)
+            mark = (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ code[start].astype(np.uint64) << np.uint64(21) ^ code[end - 1].astype(np.uint64) if len(start) else hashed
+            hashed = hashed * np.uint64(0xD6E8FEB86659FD93) + mark
+        return joined, start, end, owner, hashed, bad
 
 
-def split_words(text: str) -> list[str] | None:
-    """For tokenizers that drop white space before anything else: cut at ASCII white space."""
-    return text.split()
-
-
-_UNSAFE = re.compile("[^\\S \n]|[ \n][ \n]|\x01")
-
-
-def split_spaces(text: str) -> list[str] | None:
-    """For byte-level tokenizers that join a single space to the word after it.
+class ChunkEncoder:
+    """Encodes texts to packed little-endian ids of two bytes (four for vocabularies over 65,536).
 
-    Single spaces and single newlines between other characters are the cuts. A text with any other
-    white space is not cut (None): runs of white space are divided by what follows them.
+    ``splitter`` says which cuts are safe: ``words`` for tokenizers that lower-case, drop white space and
+    take runs of letters, single numbers and runs of other characters; ``spaces`` for byte-level ones
+    that take the same runs with a single space before them; ``none`` for any other (never cut).
     """
-    if _UNSAFE.search(text):
-        return None
-    return [x for x in text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01") if x]
-
-
-SPLITTERS = {"words": split_words, "spaces": split_spaces, "none": lambda text: None}
 
-
-class ChunkEncoder:
-    """Encodes texts to packed little-endian ids of two bytes (four for vocabularies over 65,536)."""
-
-    def __init__(self, path: str, splitter: str) -> None:
+    def __init__(self, path: str, splitter: str, classes: np.ndarray) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.split = SPLITTERS[splitter]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, chunks: list[str]) -> Iterable[bytes]:
-        for at in range(0, len(chunks), 4096):
-            for e in self.tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False):
-                yield np.array(e.ids, dtype=self.dtype).tobytes()
+        self.chunks = Chunks(classes, splitter)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+        got = self._ids(texts)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((x for ids in got for x in ids), self.dtype, int(sizes.sum()))
+        n, need = len(self.place), self.used + len(flat)
+        while len(self.begin) < n + len(got):
+            self.begin, self.size = np.concatenate([self.begin, self.begin]), np.concatenate([self.size, self.size])
+        while len(self.pool) < need:
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.begin[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(got)] = sizes
+        self.pool[self.used : need] = flat
+        self.used = need
+        self.place.update(zip(hashes, range(n, n + len(got)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; a null text counts as empty."""
-        if len(self.known) > MOST_KEPT:
-            self.known.clear()
-        parts: list[list[str]] = []
-        once: dict[str, bytes] = {}
-        for text in texts:
-            cut = self.split(text) if text else []
-            parts.append([text] if cut is None else cut)
-        wanted = set().union(*parts) - self.known.keys() if parts else set()
-        long = [c for c in wanted if len(c) > LONGEST_KEPT]
-        short = [c for c in wanted if len(c) <= LONGEST_KEPT]
-        self.known.update(zip(short, self._ids(short), strict=True))
-        once.update(zip(long, self._ids(long), strict=True))
-        known = self.known
-        if not once:
-            return [b"".join([known[c] for c in cut]) for cut in parts]
-        return [b"".join([known[c] if c in known else once[c] for c in cut]) for cut in parts]
+        out = [b""] * len(texts)
+        cut, uncut = [], []
+        for i, text in enumerate(texts):
+            if text:
+                (uncut if self.chunks.whole(text) else cut).append(i)
+        run: list[int] = []
+        n = 0
+        for i in [*cut, None]:
+            if i is None or n + len(texts[i]) > STRETCH and run:
+                uncut += self._stretch(texts, run, out)
+                run, n = [], 0
+            if i is not None:
+                run.append(i)
+                n += len(texts[i])
+        for i, ids in zip(uncut, self._ids([texts[i] for i in uncut]), strict=True):
+            out[i] = np.array(ids, self.dtype).tobytes()
+        return out
+
+    def _stretch(self, texts: list, run: list[int], out: list[bytes]) -> list[int]:
+        """Encode the texts numbered in ``run``; returns those that must be encoded uncut."""
+        if not run:
+            return []
+        joined, start, end, owner, hashed, bad = self.chunks.cut([self.chunks.prepare(texts[i]) for i in run])
+        if not len(start):
+            return [i for i, b in zip(run, bad, strict=True) if b]
+        if len(self.place) > MOST_KEPT:
+            self._forget()
+        distinct, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.place]
+        if new:
+            at = where[new]
+            self._learn([keys[k] for k in new], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        entry = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse]
+        size = self.size[entry]
+        ends = np.cumsum(size)
+        flat = self.pool[np.repeat(self.begin[entry] - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        limit = np.concatenate([[0], np.cumsum(np.bincount(owner, size, len(run)).astype(np.int64))]) * self.dtype.itemsize
+        for k, i in enumerate(run):
+            out[i] = flat[limit[k] : limit[k + 1]]
+        return [i for i, b in zip(run, bad, strict=True) if b]
 
     def wide(self, ids: bytes) -> bytes:
         """The same ids, four little-endian bytes each."""
@@ -85,7 +202,18 @@ class ChunkEncoder:
         return np.array([token], dtype=self.dtype).tobytes()
 
 
-def text_batches(values: list, most: int = 512, size: int = 8_000_000):
+def worker_encoder(path: str, splitter: str, classes: np.ndarray) -> ChunkEncoder:
+    """The encoder of this worker process, kept for its next tasks."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_by_worker", {})
+    if (path, splitter) not in kept:
+        kept.clear()
+        kept[path, splitter] = ChunkEncoder(path, splitter, classes)
+    return kept[path, splitter]
+
+
+def text_batches(values, most: int = 512, size: int = 8_000_000):
     """Cut rows (key, text) into runs of bounded count and text length."""
     run, n = [], 0
     for row in values:
