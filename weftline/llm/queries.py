@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, id_files, langid, lm, packing, pii, sharding, simhash, toxicity
+from . import decontaminate, fingerprint, id_files, langid, lm, packing, pii, sharding, simhash, toxicity
 from .common import held_out, scratch_path
 
 
@@ -27,6 +27,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_documents(spark, sf_dir), ~held_out("doc_id", 7, 2))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_simhash": op2_simhash,
+        "op3_decontaminate": op3_decontaminate,
         "op4_lm_score": op4_lm_score,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
