@@ -31,11 +31,12 @@ def routed(events: DataFrame, path: str = "path", exists: str = "exists") -> Dat
     return events.withColumn("route", route)
 
 
-def throttled(events: DataFrame, key: str, micros: int) -> DataFrame:
+def throttled(events: DataFrame, key: str, micros: int, forget_after_ms: int | None = None) -> DataFrame:
     """Leading-edge throttle a key over ``events(key, ts_us)``: state is the time of the last event that passed.
 
-    Events of one key are taken in time order within a micro-batch. The state of a key that stays silent
-    for ten widths of wall-clock time (a minute at least) is dropped, as nothing could depend on it any more.
+    Events of one key are taken in time order within a micro-batch. With ``forget_after_ms`` the state of
+    a key that stays silent so long, in wall-clock time, is dropped; choose it well above the width. A
+    stream with it never runs dry, so leave it out with ``availableNow``.
     """
     schema = f"{key} {dict(events.dtypes)[key]}, ts_us long"
 
@@ -44,7 +45,7 @@ def throttled(events: DataFrame, key: str, micros: int) -> DataFrame:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        out = []
+        out: list[int] = []
         times = sorted(int(t) for b in batches for t in b["ts_us"])
         for t in times:
             if last is None or t - last >= micros:
@@ -52,10 +53,11 @@ def throttled(events: DataFrame, key: str, micros: int) -> DataFrame:
                 last = t
         if last is not None:
             state.update((last,))
-        state.setTimeoutDuration(max(60_000, micros // 100))
+        if forget_after_ms:
+            state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame({key: [group[0]] * len(out), "ts_us": out})
 
-    return events.select(key, "ts_us").groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key, "ts_us").groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout)
 
 
 def upsert_each_batch(store: str, key: list[str], version: str, deleted: str) -> Callable[[DataFrame, int], None]:
