@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordered_words_rank(words: list[str], wanted: list[str]) -> int | None:
@@ -23,7 +24,7 @@ def ordered_words_rank(words: list[str], wanted: list[str]) -> int | None:
     return None if start is None else start * 10 + gaps
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def ordered_word_match_rank(words: pd.Series, wanted: pd.Series) -> pd.Series:
     """``ordered_words_rank`` of two array columns; null where the words don't match."""
     return pd.Series([ordered_words_rank(list(a), list(b)) if a is not None and b is not None else None for a, b in zip(words, wanted, strict=True)], dtype="Int32")
@@ -48,7 +49,7 @@ def top_level_split(text: str, separator: str = ",") -> list[str]:
     return [*out, last] if last or out else []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_arguments(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else top_level_split(t))
 
@@ -70,7 +71,7 @@ def parameter_signature(text: str) -> str:
     return "(" + ", ".join(kept) + ")"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_parameter_signature(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else parameter_signature(t))
 

@@ -104,7 +104,7 @@ def delegate_macros(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, macro, name): delegates declared by macros; names stand first, after a return type where there is one."""
     found = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(DECLARE_(?:DYNAMIC_)?(?:MULTICAST_)?DELEGATE\w*\s*\([^)]*\))"), 1)).alias("d"))
     macro = F.regexp_extract("d", r"^(\w+)", 1)
-    arguments = F.transform(F.split(F.regexp_extract("d", r"\(([^)]*)\)", 1), ","), F.trim)
+    arguments = F.transform(F.split(F.regexp_extract("d", r"\(([^)]*)\)", 1), ","), lambda x: F.trim(x))
     return found.select(key, macro.alias("macro"), F.when(macro.contains("RetVal"), F.get(arguments, F.lit(1))).otherwise(F.get(arguments, F.lit(0))).alias("name"))
 
 
@@ -124,7 +124,7 @@ def includes(df: DataFrame, key: str, text: str) -> DataFrame:
 def ascii_strings(content: Column | str, least: int = 4) -> Column:
     """Runs of printable ASCII of at least ``least`` characters in binary content, in order."""
     c = F.col(content) if isinstance(content, str) else content
-    return F.regexp_extract_all(F.decode(c, F.lit("ISO-8859-1")), F.lit("([ -~]{%d,})" % least), 1)
+    return F.regexp_extract_all(F.decode(c, "ISO-8859-1"), F.lit("([ -~]{%d,})" % least), 1)
 
 
 def build_diagnostics(rows: DataFrame, key: str = "path") -> DataFrame:
