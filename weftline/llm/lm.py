@@ -1,18 +1,17 @@
 """Language-model scores by logistic context mixing.
 
 A text is coded as its words, lower-cased, each ended by a space, and a last empty word. A byte is coded
-as a path of binary decisions in a Huffman tree. For every decision five hashed contexts (the last one,
-two, three and four bytes, and the whole word so far) each predict a bit from corpus counts; a mixer adds
+as a path of binary decisions in a Huffman tree. For every decision four hashed contexts (the last two,
+three and four bytes, and the whole word so far) each predict a bit from corpus counts; a mixer adds
 their log-odds with weights chosen by a gate, and an adaptive probability map refines the sum. The
 weights are learned online, decision by decision, over a bounded sample of the training texts, with each
 occurrence taken out of the counts that predict it.
 
-Contexts are told apart by kinds of text: a mixture of unigrams, fitted to the sample, sorts every training
-text into one of four kinds, and counts are kept for each. All contexts end at the word's beginning, so a
-word's probability is worked out once for each distinct word of the corpus and each kind. Over a text,
-eight experts (for each kind the mixer's spelling of the word and the word's own frequency) are weighed
-online: a text's weights start alike and follow what has been seen of it so far. The counts cover every
-training text, whatever the size.
+All contexts end at the word's beginning, so the probability of a word's spelling is worked out once for
+each distinct word of the corpus. A mixture of unigrams, fitted to the sample, sorts every training text
+into one of four kinds, and word counts are kept for each. Over a text, five experts (the spelling, and
+the word's frequency in each kind) are weighed online: a text's weights start alike and follow what has
+been seen of it so far. The counts cover every training text, whatever the size.
 """
 
 from __future__ import annotations
@@ -31,20 +30,18 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: documents and bytes of text in a block
-BLOCK_DOCS, BLOCK_BYTES = 4096, 24_000_000
-#: bits of the tables of the five contexts, slots in a piece of a table
-TABLE_BITS = (16, 18, 20, 20, 22)
+BLOCK_DOCS, BLOCK_BYTES = 8192, 24_000_000
+#: bits of the tables of the four contexts, slots in a piece of a table, decisions counted at a time
+TABLE_BITS, FLUSH = (18, 20, 20, 21), 1_500_000
 PIECE = 1 << 16
 #: training texts in the sample that teaches kinds and mixers, characters of each; those that teach the mixer
 SAMPLE_DOCS, SAMPLE_CHARS, TEACHING_DOCS = 1200, 6000, 300
 #: kinds of text, words that tell them apart
 KINDS, KIND_WORDS = 4, 4000
-#: from so many occurrences on a word's spelling is not looked at: its frequency tells more
-FREQUENT = 64
 NEVER = -1e9
 SMOOTH = 0.4
 END = 0x20
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE, TOKENS_AT_ONCE = 2_500, 100_000
 #: tokens between two corrections of a text's weights: few at first, then as many as the last number
 SEGMENTS = (2, 2, 4, 8, 16, 32, 64)
 LOG2_10 = float(np.log2(10))
@@ -82,8 +79,8 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return length, nodes, bits
 
 
-def decisions(words: list[bytes], code: tuple, kind: np.ndarray | int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions that spell the words of given kinds: slot in each table, bit, word number, place in the word."""
+def decisions(words: list[bytes], code: tuple) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions that spell the words: slot in each table, bit, word number, place in the word."""
     length, nodes, bits = code
     data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -102,11 +99,7 @@ def decisions(words: list[bytes], code: tuple, kind: np.ndarray | int) -> tuple[
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + _U(1)) * _U(0xD6E8FEB86659FD93) * power)])
         at = np.arange(len(data))
         prefix = (total[at] - total[start]) * inverse[start]
-        contexts = [b1, b1 | b2 << _U(8), b1 | b2 << _U(8) | b3 << _U(16), b1 | b2 << _U(8) | b3 << _U(16) | b4 << _U(24), prefix]
-        if not np.isscalar(kind):
-            kind = kind.astype(np.uint64)[word]
-        own = (np.zeros(1, np.uint64) + _U(1) + kind) * _U(0xA24BAED4963EE407)
-        contexts = [c if k == 3 else c ^ own for k, c in enumerate(contexts)]
+        contexts = [b1 | b2 << _U(8), b1 | b2 << _U(8) | b3 << _U(16), b1 | b2 << _U(8) | b3 << _U(16) | b4 << _U(24), prefix]
         of = np.repeat(at, length[data])
         step = np.arange(len(of)) - np.repeat(np.cumsum(length[data]) - length[data], length[data])
         node = nodes[data[of], step].astype(np.uint64)
@@ -202,8 +195,14 @@ def fit_kinds(texts: list[str]) -> dict[bytes, np.ndarray]:
     return {w: logs[:, i] for w, i in at.items()}
 
 
-def kind_of(text: str, kinds: dict[bytes, np.ndarray]) -> int:
-    return int(sum((kinds[w] for w in words_of(text) if w in kinds), np.zeros(KINDS)).argmax())
+def runs_of(size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of texts of about TOKENS_AT_ONCE tokens: first text, the one after the last, first token, the one after the last."""
+    stop, first = np.cumsum(size), 0
+    while first < len(size):
+        begin = int(stop[first] - size[first])
+        last = max(first + 1, int(np.searchsorted(stop, begin + TOKENS_AT_ONCE)))
+        yield first, last, begin, int(stop[last - 1])
+        first = last
 
 
 def blocks_of(docs: DataFrame, learnable: Column, kinds: dict[bytes, np.ndarray]) -> DataFrame:
@@ -226,15 +225,19 @@ def blocks_of(docs: DataFrame, learnable: Column, kinds: dict[bytes, np.ndarray]
             block = task * (1 << 24) + made
             made += 1
             size = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            flat, owner = np.concatenate(numbers), np.repeat(np.arange(len(ids)), size)
+            flat = np.concatenate(numbers)
+            numbers.clear()
             tell = np.zeros((len(place), KINDS))
             for w in place.keys() & shared.value.keys():
                 tell[place[w]] = shared.value[w]
-            kind = np.stack([np.bincount(owner, tell[flat, j], len(ids)) for j in range(KINDS)], axis=1).argmax(axis=1)
-            own = np.array(learn)
-            told = own[owner]
-            n = np.bincount(flat[told] * KINDS + kind[owner[told]], minlength=KINDS * len(place)).reshape(-1, KINDS)
-            many = len(place)
+            own, kind, many = np.array(learn), np.zeros(len(ids), np.int64), len(place)
+            n = np.zeros(KINDS * many, np.int64)
+            for first, last, begin, end in runs_of(size):  # some texts at a time
+                part, owner = flat[begin:end].astype(np.int64), np.repeat(np.arange(last - first), size[first:last])
+                kind[first:last] = np.stack([np.bincount(owner, tell[part, j], last - first) for j in range(KINDS)], axis=1).argmax(axis=1)
+                told = own[first:last][owner]
+                np.add.at(n, part[told] * KINDS + kind[first:last][owner[told]], 1)
+            n = n.reshape(-1, KINDS)
             if many:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(many, block)), pa.array(np.zeros(many, np.int32)), pa.array(list(place), pa.binary()), pa.array(np.arange(many, dtype=np.int32)), pa.nulls(many, pa.binary()), *(pa.array(n[:, j]) for j in range(KINDS))], names=names)
             null = np.array([x is None for x in ids])
@@ -252,7 +255,7 @@ def blocks_of(docs: DataFrame, learnable: Column, kinds: dict[bytes, np.ndarray]
                         place[w] = len(place)
                 ids.append(doc_id)
                 learn.append(own)
-                numbers.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+                numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
                 size += len(text or "")
                 if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
                     yield from close(ids, learn, numbers, place)
@@ -290,23 +293,32 @@ def context_tables(counts: DataFrame, code: tuple, tasks: int = 16) -> list[tupl
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [(np.zeros(1 << w, np.float32), np.zeros(1 << w, np.float32)) for w in TABLE_BITS]
+        tables = [np.zeros(2 << w, np.float32) for w in TABLE_BITS]
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                weight = np.concatenate([w for _, w in held])
+                for k, table in enumerate(tables):
+                    table += np.bincount(np.concatenate([slots[k] for slots, _ in held]), weight, len(table))
+            held, size = [], 0
+
         for batch in batches:
-            every = batch.column(0).to_pylist()
-            n = np.stack([batch.column(1 + j).to_numpy(zero_copy_only=False) for j in range(KINDS)], axis=1)
-            at, kind = np.nonzero(n)
-            if not len(at):
-                continue
-            slots, bit, word, _ = decisions([every[i] for i in at], code, kind)
-            weight = n[at, kind][word].astype(np.float64)
-            for (n0, n1), slot, w in zip(tables, slots, TABLE_BITS, strict=True):
-                n1 += np.bincount(slot, weight * bit, 1 << w).astype(np.float32)
-                n0 += np.bincount(slot, weight * (1 - bit), 1 << w).astype(np.float32)
-        for k, (n0, n1) in enumerate(tables):
-            for piece in range(len(n0) // PIECE):
-                at = slice(piece * PIECE, (piece + 1) * PIECE)
-                if n0[at].any() or n1[at].any():
-                    data = zlib.compress(n0[at].tobytes() + n1[at].tobytes(), 1)
+            for i in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.slice(i, WORDS_AT_ONCE)
+                slots, bit, word, _ = decisions(part.column(0).to_pylist(), code)
+                held.append(([slot * 2 + bit for slot in slots], part.column(1).to_numpy(zero_copy_only=False).astype(np.float32)[word]))
+                size += len(bit)
+                if size >= FLUSH:
+                    flush()
+        flush()
+        for k, table in enumerate(tables):
+            for piece in range(len(table) // (2 * PIECE)):
+                both = table[piece * 2 * PIECE : (piece + 1) * 2 * PIECE]
+                if both.any():
+                    data = zlib.compress(both[::2].tobytes() + both[1::2].tobytes(), 1)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece], pa.int32()), pa.array([data], pa.binary())], names=["t", "piece", "data"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -316,7 +328,7 @@ def context_tables(counts: DataFrame, code: tuple, tasks: int = 16) -> list[tupl
         return pd.DataFrame({"t": group["t"].iloc[:1].values, "piece": group["piece"].iloc[:1].values, "data": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
     schema = "t int, piece int, data binary"
-    pieces = counts.filter("c > 0").select("word", *COUNTS).coalesce(tasks).mapInArrow(run, schema).groupBy("t", "piece").applyInPandas(add, schema)
+    pieces = counts.filter("c > 0").select("word", "c").coalesce(tasks).mapInArrow(run, schema).groupBy("t", "piece").applyInPandas(add, schema)
     tables = [(np.zeros(1 << w, np.float32), np.zeros(1 << w, np.float32)) for w in TABLE_BITS]
     for r in pieces.toLocalIterator():
         both = np.frombuffer(zlib.decompress(r["data"]), np.float32)
@@ -325,12 +337,12 @@ def context_tables(counts: DataFrame, code: tuple, tasks: int = 16) -> list[tupl
     return tables
 
 
-def learn_mixer(texts: list[str], kinds: dict[bytes, np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]], code: tuple) -> Mixer:
+def learn_mixer(texts: list[str], tables: list[tuple[np.ndarray, np.ndarray]], code: tuple) -> Mixer:
     """The mixer taught online by sample texts, each decision predicted without its own occurrence."""
     mixer = Mixer()
     for _ in range(2):
         for text in texts:
-            slots, bit, _, place = decisions([*words_of(text), b""], code, kind_of(text, kinds))
+            slots, bit, _, place = decisions([*words_of(text), b""], code)
             n0 = [np.maximum(t[0][s] - (bit == 0), 0) for t, s in zip(tables, slots, strict=True)]
             n1 = [np.maximum(t[1][s] - (bit == 1), 0) for t, s in zip(tables, slots, strict=True)]
             x, gate = Mixer.inputs(n0, n1, place)
@@ -338,15 +350,13 @@ def learn_mixer(texts: list[str], kinds: dict[bytes, np.ndarray], tables: list[t
     return mixer
 
 
-SPELLED = [f"a{k}" for k in range(KINDS)]
-SCORED = "word binary, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} float" for c in SPELLED)
+SCORED = "word binary, told binary"
 
 
 def score_words(counts: DataFrame, tables: list[tuple[np.ndarray, np.ndarray]], mixer: Mixer, code: tuple) -> DataFrame:
-    """The natural log-probability of spelling every distinct word, as a text of each kind would.
+    """What texts need of every distinct word, as one short binary value (``pack_told``).
 
-    Words of FREQUENT occurrences or more are left at a probability of nearly nothing: experts may give
-    away what they like. The tables, of a size fixed by TABLE_BITS, are broadcast.
+    The tables, of a size fixed by TABLE_BITS, are broadcast.
     """
     shared = counts.sparkSession.sparkContext.broadcast((tables, mixer.weights, mixer.refined, code))
 
@@ -357,20 +367,55 @@ def score_words(counts: DataFrame, tables: list[tuple[np.ndarray, np.ndarray]],
             for i in range(0, batch.num_rows, WORDS_AT_ONCE):
                 part = batch.slice(i, WORDS_AT_ONCE)
                 words = part.column(0).to_pylist()
-                rare = np.flatnonzero(sum(part.column(1 + j).to_numpy(zero_copy_only=False) for j in range(KINDS)) < FREQUENT)
-                few = [words[j] for j in rare]
-                logs = np.full((KINDS, len(words)), NEVER, np.float32)
-                for kind in range(KINDS) if few else []:
-                    slots, bit, word, place = decisions(few, code_, kind)
-                    x, gate = Mixer.inputs([t[0][s] for t, s in zip(tables_, slots, strict=True)], [t[1][s] for t, s in zip(tables_, slots, strict=True)], place)
-                    logs[kind, rare] = -np.log(2) * np.bincount(word, mixer_.bits(x, gate, bit), len(few))
-                yield pa.RecordBatch.from_arrays([*part.columns[: 1 + KINDS], *map(pa.array, logs)], names=["word", *COUNTS, *SPELLED])
+                slots, bit, word, place = decisions(words, code_)
+                x, gate = Mixer.inputs([t[0][s] for t, s in zip(tables_, slots, strict=True)], [t[1][s] for t, s in zip(tables_, slots, strict=True)], place)
+                spelled = -np.log(2) * np.bincount(word, mixer_.bits(x, gate, bit), len(words))
+                n = np.stack([part.column(1 + j).to_numpy(zero_copy_only=False) for j in range(KINDS)], axis=1)
+                told = pack_told(spelled, np.fromiter(map(len, words), np.int64, len(words)), n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(told, pa.binary())], names=["word", "told"])
 
     return counts.select("word", *COUNTS).mapInArrow(run, SCORED)
 
 
-#: weights of the experts before a text begins, in tokens: spelling, then frequency, each by kind
-PRIOR = np.repeat([0.15, 0.6], KINDS)
+def pack_told(spelled: np.ndarray, size: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Per word its spelling's log-probability, its bytes, and its training counts by kind.
+
+    Eight bytes, then the counts: none for an unknown word, kind and count for a word of one kind, all
+    counts otherwise.
+    """
+    head = np.zeros(len(size), np.dtype([("a", "<f4"), ("s", "<u4")]))
+    head["a"], head["s"] = spelled, size
+    kinds = (n > 0).sum(axis=1)
+    first, most = n.argmax(axis=1), n.max(axis=1)
+    one = np.zeros(len(size), np.dtype([("k", "u1"), ("n", "<u4")]))
+    one["k"], one["n"] = first, np.minimum(most, 0xFFFFFFFF)
+    heads, ones, every = head.tobytes(), one.tobytes(), n.astype("<u8").tobytes()
+    wide = 8 * KINDS
+    return [
+        heads[8 * i : 8 * i + 8] + (b"" if not k else ones[5 * i : 5 * i + 5] if k == 1 and m < 0xFFFFFFFF else every[wide * i : wide * i + wide])
+        for i, (k, m) in enumerate(zip(kinds.tolist(), most.tolist(), strict=True))
+    ]
+
+
+def unpack_told(told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spelled, size, counts by kind) of packed words."""
+    length = np.fromiter(map(len, told), np.int64, len(told))
+    data = np.frombuffer(b"".join(told), np.uint8)
+    start = np.cumsum(length) - length
+    head = data[start[:, None] + np.arange(8)].copy().view(np.dtype([("a", "<f4"), ("s", "<u4")]))[:, 0] if len(told) else np.zeros(0, np.dtype([("a", "<f4"), ("s", "<u4")]))
+    n = np.zeros((len(told), KINDS), np.int64)
+    ones = np.flatnonzero(length == 13)
+    if len(ones):
+        one = data[start[ones, None] + np.arange(8, 13)]
+        n[ones, one[:, 0]] = one[:, 1:].copy().view("<u4")[:, 0]
+    full = np.flatnonzero(length == 8 + 8 * KINDS)
+    if len(full):
+        n[full] = data[start[full, None] + np.arange(8, 8 + 8 * KINDS)].copy().view("<u8").astype(np.int64)
+    return head["a"].astype(float), head["s"].astype(np.int64), n
+
+
+#: weights of the experts before a text begins, in tokens: spelling, then frequency by kind
+PRIOR = np.array([0.6] + [0.6] * KINDS)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
@@ -424,10 +469,10 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
     every, distinct = int(by_kind.sum()), int(totals["distinct"])
     code = huffman(byte_counts(counts))
     tables = context_tables(counts, code)
-    mixer = learn_mixer(texts[:TEACHING_DOCS], kinds, tables, code)
+    mixer = learn_mixer(texts[:TEACHING_DOCS], tables, code)
     scored = materialise(score_words(counts, tables, mixer, code), "lm-words")
     end = scored.filter(F.length("word") == 0).first()
-    end_row = [end[c] for c in [*COUNTS, *SPELLED]]
+    end_told = bytes(end["told"])
     # Unigrams of a kind fall back on those of all texts.
     lean = 200.0
 
@@ -438,37 +483,40 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
         null = np.frombuffer(data, "u1", n, 8 + 8 * n).astype(bool)
         own = np.frombuffer(data, "u1", n, 8 + 9 * n).astype(bool)
         size = np.frombuffer(data, "<i8", n, 8 + 10 * n)
-        number = np.frombuffer(data, "<u4", int(size.sum()), 8 + 18 * n).astype(np.int64)
+        number = np.frombuffer(data, "<u4", int(size.sum()), 8 + 18 * n)
         most = len(words)
-        k = words["k"].to_numpy()
-        n, logs, width = np.zeros((most + 1, KINDS)), np.zeros((most + 1, 2 * KINDS)), np.zeros(most + 1, np.int64)
-        n[k] = words[COUNTS].to_numpy()
-        n[most] = end_row[:KINDS]
-        logs[k, :KINDS] = words[SPELLED].to_numpy()
-        logs[most, :KINDS] = end_row[KINDS:]
-        width[k] = words["size"]
+        k = np.concatenate([words["k"].to_numpy(), [most]])
+        told = unpack_told([*words["told"], end_told])
+        spelled, width, n = (np.empty_like(x) for x in told)
+        spelled[k], width[k], n[k] = told
         c = n.sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             frequency = np.log((n + lean * (c / max(every, 1))[:, None]) / (by_kind + lean))
-        logs[:, KINDS:] = np.where(c[:, None] > 0, frequency, NEVER)
-        # The end comes after each text's words.
-        token = np.insert(number, np.cumsum(size), most)
-        size = size + 1
-        owner = np.repeat(np.arange(len(size)), size)
-        base = np.log10((c + 1) / (every + distinct + 1))[token]
-        total = weigh_online(logs[token], np.cumsum(size) - size, size, PRIOR)
-        n = len(size)
+        logs = np.concatenate([spelled[:, None], np.where(c[:, None] > 0, frequency, NEVER)], axis=1)
+        base = np.log10((c + 1) / (every + distinct + 1))
+        known_, total, score, n_bytes = (np.zeros(len(size)) for _ in range(4))
+        for first, last, begin, stop in runs_of(size):
+            # The end comes after each text's words.
+            mine = size[first:last]
+            token = np.insert(number[begin:stop].astype(np.int64), np.cumsum(mine), most)
+            mine = mine + 1
+            owner = np.repeat(np.arange(last - first), mine)
+            at = slice(first, last)
+            known_[at] = np.bincount(owner, c[token] > 0, last - first)
+            total[at] = np.bincount(owner, base[token], last - first)
+            n_bytes[at] = np.bincount(owner, width[token] + 1, last - first)
+            score[at] = weigh_online(logs[token], np.cumsum(mine) - mine, mine, PRIOR)
         return pd.DataFrame({
             "doc_id": pd.array(ids, "Int64") if not null.any() else pd.array([None if z else int(x) for x, z in zip(ids, null, strict=True)], "Int64"),
             "held_out": ~own,
-            "n_tokens": size,
-            "n_known": np.bincount(owner, (c > 0)[token], n).astype(np.int64),
-            "base_score": np.bincount(owner, base, n),
-            "score": total / np.log(10),
-            "n_bytes": np.bincount(owner, (width + 1)[token], n).astype(np.int64),
+            "n_tokens": size + 1,
+            "n_known": known_.astype(np.int64),
+            "base_score": total,
+            "score": score / np.log(10),
+            "n_bytes": n_bytes.astype(np.int64),
         })
 
-    known = vocabulary.select("block", "word", "k").join(scored, "word").select("block", "k", *COUNTS, *SPELLED, F.length("word").alias("size"))
+    known = vocabulary.select("block", "word", "k").join(scored, "word").select("block", "k", "told")
     texts_in = blocks.filter("part = 1").select(F.col("block").alias("of"), "payload")
     found = texts_in.groupBy("of").cogroup(known.groupBy("block")).applyInPandas(run, OUT)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(every)).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * LOG2_10 / F.col("n_bytes")).alias("bits_per_byte"))
