@@ -1,0 +1,524 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from weftline.llm import decontaminate, fingerprint, id_files, langid, lm, packing, pii, queries, sharding, simhash, tokens, toxicity
+from weftline.llm.common import held_out, numbered
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [None, "", " ", "a", "ß Ä é", "same text here for all of us", "same text here for all of us", "x" * 5000, "one two three four five six", "Z\tz\n\nz  z", "mail a.b@c.de now", "\x01 <|endoftext|> don't"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, long and repeated texts, a repeated row, a null id, and columns with the names of results."""
+    rows = [(i, t, "en", i) for i, t in enumerate(ODD)] + [(3, "a", "en", 3), (None, "no id", None, 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, shard long").withColumn("fingerprint", F.lit("x")).withColumn("score", F.lit(1))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def test_numbering_is_gapless_with_repeats(spark):
+    df = spark.createDataFrame([(g, i % 7) for g in "ab" for i in range(50)], "g string, v int")
+    for g, rows in _by(numbered(df, ["g"], ["v"], "r", rows_each=9).collect(), "g").items():
+        assert sorted(r["r"] for r in rows) == list(range(50)), g
+
+
+def _by(rows, key):
+    out = {}
+    for r in rows:
+        out.setdefault(r[key], []).append(r)
+    return out
+
+
+# ------------------------------------------------------------ language
+
+
+def test_language_held_out_accuracy(spark, docs, sf_dir):
+    got = queries.op1_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_edge_rows(odd):
+    got = langid.identify(odd.select("doc_id", "text"), langid.train(odd, F.lit(True))).collect()
+    assert len(got) == odd.count()
+    assert {r["lang_pred"] for r in got if not (r["text"] or "").strip()} == {"und"}
+    empty = langid.identify(odd.limit(0).select("doc_id", "text"), langid.fit([], []))
+    assert empty.count() == 0 and langid.fit([], []).languages == []
+    assert {r["lang_pred"] for r in langid.identify(odd.select("doc_id", "text"), langid.fit([], [])).collect()} == {"und"}
+
+
+# ------------------------------------------------------------ near duplicates
+
+
+def _simhash(text):
+    import xxhash
+
+    w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(fps, radius=3):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+def test_simhash_is_brute_force(spark, sf_dir, texts):
+    ids = sorted(texts)
+    fps = [_simhash(texts[i]) for i in ids]
+    want = {i: (f"{f:016x}", ids[r]) for i, f, r in zip(ids, fps, _components(fps), strict=True)}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op2_simhash(spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_tiles_lose_no_link(spark):
+    """Chains and clusters of near fingerprints, in tiles of eight, against all pairs."""
+    rng = np.random.default_rng(1)
+    fps = set()
+    for _ in range(40):
+        f = int(rng.integers(0, 1 << 63))
+        for _ in range(12):
+            fps.add(f)
+            for b in rng.integers(0, 64, rng.integers(1, 4)):
+                f ^= 1 << int(b)
+    hot = int(rng.integers(0, 1 << 63)) & ~0xFFFFFF
+    fps |= {hot | int(x) for x in rng.integers(0, 1 << 20, 300)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash.tile_links(spark.createDataFrame([(s,) for s in signed], "fp long"), tile=8)
+    found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    want = _components(fps)
+    classes = {}
+    for s, w in zip(signed, want, strict=True):
+        classes.setdefault(w, []).append(s)
+    got = {}
+    for s in signed:
+        got.setdefault(found.get(s, s), []).append(s)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, got.values()))
+
+
+def test_simhash_edge_rows(odd):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count()
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["fp"] == by[1]["fp"] == 0 and by[2]["component_id"] == 0 and by[6]["component_id"] == 5
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    kept = simhash.keep_one_each(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id = 6").count() == 0 and kept.filter("doc_id = 3").count() == 1
+
+
+# ------------------------------------------------------------ decontamination
+
+
+def test_leaks_are_those_with_thirteen_words(spark, sf_dir, texts):
+    norm = lambda s: re.findall(r"[^\W_]+", s.lower())
+    grams = {}
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        w = norm(r["text"])
+        for k in range(len(w) - 12):
+            grams.setdefault(tuple(w[k : k + 13]), set()).add(r["item_id"])
+    want = {(d, i) for d, t in texts.items() for w in [norm(t or "")] for k in range(len(w) - 12) for i in grams.get(tuple(w[k : k + 13]), ())}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontaminate(spark, sf_dir).collect()}
+    assert want and want <= got
+
+
+ITEMS = [(1, "A train leaves Boston at 60 km per hour and meets Alice after 3 hours while she walks home from the market slowly."), (2, "Compute the total price when each of the 12 apples costs 3 dollars and every one of the 12 bags is free of charge today."), (3, None)]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Once. A train leaves Denver at 75 km per hour and meets Maria after 9 hours while she walks home from the market slowly. End", [1]),
+    ("A TRAIN LEAVES BOSTON AT 60 KM PER HOUR AND MEETS ALICE AFTER 3 HOURS WHILE SHE WALKS HOME FROM THE MARKET SLOWLY", [1]),
+    ("Compute the total price when each of the 7 apples costs 5 dollars and every one of the 7 bags is free of charge today.", [2]),
+    ("A train of thought leaves nobody at home, and the market was slow for 3 hours while she walks.", []),
+    ("", []),
+])
+def test_reparameterised_questions(spark, text, want):
+    got = decontaminate.find_leaks(spark.createDataFrame([(5, text)], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert [r["item_id"] for r in got.collect()] == want
+
+
+def test_slots_must_agree():
+    assert decontaminate.consistent([("12", "7", "n"), ("12", "7", "n")]) == 1.0
+    assert decontaminate.consistent([("12", "7", "n"), ("12", "9", "n")]) == 0.5
+    assert decontaminate.consistent([("1", "7", "n"), ("2", "7", "n")]) == 0.5
+
+
+def test_decontamination_edge_rows(spark, odd):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontaminate.find_leaks(odd, items).count() == 0
+    assert decontaminate.find_leaks(odd, items.limit(0)).count() == 0
+    assert decontaminate.drop_leaked(odd, items).count() == odd.count()
+
+
+# ------------------------------------------------------------ language model
+
+
+def test_base_scores_and_counts_are_brute_force(spark, sf_dir, texts):
+    words = {d: (t or "").encode().lower().split() for d, t in texts.items()}
+    out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in words}
+    c = Counter()
+    for d, w in words.items():
+        if not out[d]:
+            c.update([*w, b" "])
+    n, v = sum(c.values()), len(c)
+    got = {r["doc_id"]: r for r in queries.op4_lm_score(spark, sf_dir).collect()}
+    assert got.keys() == words.keys()
+    for d, w in words.items():
+        r, t = got[d], [*w, b" "]
+        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel_tol=1e-9)
+        assert (r["n_tokens"], r["n_known"], r["held_out"], r["train_tokens"]) == (len(t), sum(c[x] > 0 for x in t), out[d], n)
+        assert r["score"] < 0 and r["bits_per_byte"] > 0
+    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
+
+
+def test_words_spell_a_distribution():
+    """Over all continuations of a prefix the coder's decisions are a prefix code: its lengths fill the space exactly."""
+    length, nodes, bits = lm.huffman(np.bincount(np.frombuffer(b"the quick brown fox ", np.uint8), minlength=256).astype(float))
+    assert math.isclose(sum(2.0 ** -float(n) for n in length), 1.0)
+    slots, bit, word, place = lm.decisions([b"ab", b""], (length, nodes, bits))
+    assert len(bit) == length[ord("a")] + length[ord("b")] + 2 * length[lm.END]
+    assert place.max() == 2 and word.max() == 1 and all(len(s) == len(bit) for s in slots)
+
+
+def test_told_words_round_trip():
+    n = np.array([[0, 0, 0, 0], [0, 5, 0, 0], [1, 2, 0, 9], [1 << 40, 0, 0, 0]])
+    a, s, got = lm.unpack_told(lm.pack_told(np.array([-1.5, -2, -3, -4]), np.array([1, 2, 3, 4]), n))
+    assert (got == n).all() and list(s) == [1, 2, 3, 4] and a[0] == -1.5
+
+
+def test_lm_edge_rows(odd):
+    got = lm.score_documents(odd, ~held_out("doc_id", 7, 2)).collect()
+    assert len(got) == odd.count() and all(r["n_tokens"] >= 1 for r in got)
+    none = lm.score_documents(odd, F.lit(False)).collect()
+    assert {r["train_tokens"] for r in none} == {0} and {r["n_known"] for r in none} == {0}
+    assert lm.score_documents(odd.limit(0), F.lit(True)).count() == 0
+
+
+# ------------------------------------------------------------ toxicity
+
+
+@pytest.fixture(scope="module")
+def costs(docs):
+    return toxicity.trigram_costs(toxicity.trigram_counts(docs))
+
+
+@pytest.mark.parametrize("token,want", [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooot", "idiot"), ("m0r0n!", "moron"), ("$cum", "scum")])
+def test_restoring(spark, costs, token, want):
+    words = spark.createDataFrame([(" ".join(["idiot moron scum"] * 200),)], "text string")
+    assert want in toxicity.token_words(token, toxicity.trigram_costs(toxicity.trigram_counts(words)))
+
+
+def test_toxic_words_are_learned_and_found(spark):
+    clean = ["the house is big and the sky is blue", "we went home by the river today", "an apple a day keeps it away"]
+    rows = [(i, clean[i % 3] + (" you zorgon fool" if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    costs = toxicity.trigram_costs(toxicity.trigram_counts(docs))
+    listed, otherwise = toxicity.fit(docs, labels, F.lit(True), costs)
+    test = spark.createDataFrame([(1, "what a z0rg0n"), (2, "a blue sky"), (3, None), (4, "z o r g o n")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(test, costs, listed, otherwise).collect()}
+    assert got[1] > 0.3 and got[4] > 0.3 and got[2] < 0.3 and got[3] < 0.3
+
+
+def test_toxicity_edge_rows(spark, odd, costs):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(odd, labels, F.lit(True), costs) == ({}, 0.0)
+    got = toxicity.score(odd, costs, {}, 0.0).collect()
+    assert len(got) == odd.count() and all(r["score"] == 0 for r in got)
+
+
+def test_toxicity_query(spark, sf_dir, texts):
+    got = queries.op5_toxicity(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in got} == texts.keys()
+    assert all((r["score"] >= 0.3) == bool(r["predicted"]) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+
+
+# ------------------------------------------------------------ sharding
+
+
+def _tree_shard(doc_id, tree):
+    import xxhash
+
+    def chain(name):
+        h = xxhash.xxh64_intdigest(int(doc_id).to_bytes(8, "little", signed=True), 42)
+        return xxhash.xxh64_intdigest(name.encode(), h)
+
+    def draw(name, weight):
+        return (math.log(((chain(name) >> 11) + 0.5) / (1 << 53)) / weight, name)
+
+    region = max(tree, key=lambda r: draw(r, sum(x.weight for k in tree[r].values() for x in k)))
+    rack = max(tree[region], key=lambda k: draw(f"{region}/{k}", sum(x.weight for x in tree[region][k])))
+    return max(tree[region][rack], key=lambda x: draw(f"{region}/{rack}/{x.number}", x.weight)).number
+
+
+def test_sharding_is_brute_force_and_grows_into_the_new_shard(spark, sf_dir, texts):
+    tree = sharding.even_tree(16)
+    got = queries.op6_sharding(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in got} == texts.keys()
+    for r in got:
+        b = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["shard"]) == (len(b) + 1, zlib.crc32(b), _tree_shard(r["doc_id"], tree))
+        assert r["grown_shard"] in (r["shard"], 16)
+    for rows in _by(got, "shard").values():
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    assert any(r["grown_shard"] == 16 for r in got)
+
+
+def test_weights_move_rows_within_their_subtree_only(spark):
+    ids = spark.range(4000)
+    before = sharding.even_tree(16)
+    heavier = {r: {k: [sharding.Shard(x.number, 3.0 if x.number == 5 else 1.0) for x in leaves] for k, leaves in racks.items()} for r, racks in before.items()}
+    rows = ids.select(sharding.tree_shard(F.col("id"), before).alias("a"), sharding.tree_shard(F.col("id"), heavier).alias("b")).collect()
+    moved = [(r["a"], r["b"]) for r in rows if r["a"] != r["b"]]
+    assert moved and all(b in range(8) for _, b in moved)  # shard 5 lies in the first region
+    assert all(not (a >= 8 and b >= 8) for a, b in moved)
+
+
+def test_sharding_edge_rows(odd):
+    tree = sharding.even_tree(16)
+    got = sharding.shard_documents(odd, tree, rows_each=3).collect()
+    assert len(got) == odd.count() and {r["grown_shard"] for r in got} == {None}
+    for rows in _by(got, "shard").values():
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    assert sharding.shard_documents(odd.limit(0), tree).count() == 0
+
+
+# ------------------------------------------------------------ tokens, packing, files
+
+
+def _ids(path, values):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return [e.ids for e in t.encode_batch([v or "" for v in values], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path,splitter", [(BYTE, "spaces"), (WORD, "words"), (BYTE, "none")])
+def test_chunks_give_the_tokenizers_ids(path, splitter, texts):
+    rng = np.random.default_rng(3)
+    parts = ["a", "B", "é", "É", "'s", "'", " ", "  ", "\n", "\t", "1", "²", "٣", "!", "...", "_", "İ", "Σ", "é", "ह", "ि", "中", "😀", " ", "don't", "ß", "<|endoftext|>", "\x1c", "\x85", "\x01"]
+    values = [*texts.values(), *ODD, *("".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4000))]
+    e = tokens.ChunkEncoder(path, splitter, tokens.character_classes())
+    got = [np.frombuffer(x, e.dtype).tolist() for x in e.encode(values)]
+    assert got == _ids(path, values)
+
+
+def _check_pack(rows, ids, capacity):
+    for doc, pieces in _by(rows, "doc_id").items():
+        pieces.sort(key=lambda r: r["piece"])
+        assert [r["piece"] for r in pieces] == list(range(len(pieces))) and sum(r["length"] for r in pieces) == len(ids[doc])
+        assert all(r["length"] == capacity for r in pieces[1:])
+        for r in pieces:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[doc][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    for seq in _by(rows, "sequence_id").values():
+        seq.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in seq] == [sum(x["length"] for x in seq[:i]) for i in range(len(seq))]
+        assert sum(r["length"] for r in seq) <= capacity
+
+
+def test_packing_round_trip(spark, sf_dir, texts):
+    ids = {d: [*i, 2] for d, i in zip(texts, _ids(BYTE, texts.values()), strict=True)}
+    got = queries.op7_packing(spark, sf_dir).collect()
+    _check_pack(got, ids, 1024)
+    assert {r["doc_id"] for r in got} == texts.keys()
+    least = -(-sum(map(len, ids.values())) // 1024)
+    assert len({r["sequence_id"] for r in got}) <= least + max(2, least // 50)
+
+
+@pytest.mark.parametrize("counts", [{}, {1: 1}, {1024: 3}, {600: 10, 424: 7, 300: 5}, {513: 9}, {512: 4}, {1: 5000}, {i: i % 7 for i in range(1, 1024)}])
+def test_plan_uses_every_piece_once(counts):
+    used, n = Counter(), 0
+    for pattern, times in packing.plan(counts, 1024):
+        assert sum(pattern) <= 1024 and times > 0
+        n += times
+        for k in pattern:
+            used[k] += times
+    assert used == Counter({k: v for k, v in counts.items() if v})
+    assert n >= -(-sum(k * v for k, v in counts.items()) // 1024)
+
+
+def test_packing_edge_rows(odd):
+    got = packing.pack_documents(odd, BYTE, "spaces", 2, 16).collect()
+    assert sum(r["piece"] == 0 for r in got) == odd.count()
+    assert packing.pack_documents(odd.limit(0), BYTE, "spaces", 2).count() == 0
+
+
+def test_id_files_round_trip(spark, sf_dir, texts):
+    order = sorted(texts)
+    ids = [[*i, 2] for i in _ids(WORD, [texts[d] for d in order])]
+    got = sorted(queries.op8_token_files(spark, sf_dir).collect(), key=lambda r: r["doc_id"])
+    start = 0
+    for d, i, r in zip(order, ids, got, strict=True):
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, start, len(i), zlib.crc32(np.array(i, "<u4").tobytes()))
+        start += len(i)
+
+
+def test_perfect_hash_index():
+    rng = np.random.default_rng(5)
+    ids = np.unique(rng.integers(-(1 << 62), 1 << 62, 3000))
+    ids, occ = np.concatenate([ids, ids[:5]]), np.concatenate([np.zeros(len(ids), np.int64), np.ones(5, np.int64)])
+    slots = id_files.PerfectHash.build(ids, occ).slots(ids, occ)
+    assert sorted(slots.tolist()) == list(range(len(ids)))
+    lengths = rng.integers(1, 9, len(ids))
+    payload = rng.integers(0, 60000, lengths.sum()).astype("<u2")
+    offsets = np.cumsum(lengths) - lengths
+    r = id_files.ShardReader(id_files.pack_index(ids, occ, offsets, lengths, 2), payload.tobytes())
+    for k in (0, 17, len(ids) - 1):
+        assert (r.get(int(ids[k]), int(occ[k])) == payload[offsets[k] : offsets[k] + lengths[k]]).all()
+    assert sum(r.get(int(x)) is not None for x in rng.integers(1 << 62, 1 << 63, 500)) == 0
+
+
+def test_id_files_edge_rows(spark, odd, tmp_path):
+    for df in (odd, odd.limit(0)):
+        path = f"file://{tmp_path}/{df.count()}"
+        got = id_files.read_id_files(spark, path, id_files.write_id_files(df, path, WORD, "words", 2, docs_per_shard=4))
+        assert got.count() == df.count()
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+# ------------------------------------------------------------ fingerprints
+
+
+def _edited(texts):
+    order = sorted(texts, reverse=True)
+    out = {}
+    for i, d in enumerate(order):
+        t, nxt = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
+        k = len(t) // 3
+        out[d] = t[: len(t) - k] + nxt[:k]
+    return out, {d: order[(i + 1) % len(order)] for i, d in enumerate(order)}
+
+
+def test_fingerprints(spark, sf_dir, texts):
+    edited, nxt = _edited(texts)
+    got = {r["doc_id"]: r for r in queries.op9_fingerprint(spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+
+    def grams(t):
+        w = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    errors = []
+    by_text = {}
+    for d, r in got.items():
+        assert (r["n_chars"], r["edited_sha256"]) == (len(texts[d] or ""), hashlib.sha256(edited[d].encode()).hexdigest())
+        by_text.setdefault(texts[d], set()).add(r["fingerprint"])
+        for near, other in ((r["near_edited"], edited[d]), (r["near_next"], texts[nxt[d]])):
+            a, b = grams(texts[d]), grams(other)
+            errors.append(abs(near - len(a & b) / len(a | b)))
+    assert all(len(f) == 1 for f in by_text.values())
+    assert np.mean(errors) < 0.04 and np.quantile(errors, 0.99) < 0.2
+
+
+def test_fingerprint_edge_rows(odd):
+    for each in (3, 1000):
+        got = fingerprint.fingerprint_documents(odd, rows_each=each).collect()
+        assert len(got) == odd.count() and all(len(r["fingerprint"]) == 128 and 0 <= r["near_next"] <= 1 for r in got)
+    assert fingerprint.fingerprint_documents(odd.limit(0)).count() == 0
+    alone = fingerprint.fingerprint_documents(odd.filter("doc_id = 8")).first()
+    assert alone["near_next"] == 1.0
+
+
+# ------------------------------------------------------------ personal data
+
+_EMAIL, _IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CARD, _PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def _base(t):
+    plain = lambda m: re.sub(r"[^0-9]", "", m.group())
+    return {
+        "email": [m.span() for m in _EMAIL.finditer(t)],
+        "ip": [m.span() for m in _IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))],
+        "card": [m.span() for m in _CARD.finditer(t) if 16 <= len(plain(m)) <= 19 and pii._luhn(plain(m))],
+        "phone": [m.span() for m in _PHONE.finditer(t) if 8 <= len(plain(m)) <= 15],
+    }
+
+
+def test_base_spans_are_those_of_the_patterns(spark, sf_dir, texts):
+    for r in queries.op10_personal_data(spark, sf_dir).collect():
+        want = _base(texts[r["doc_id"]] or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k in pii.BASE_KINDS for a, b in want[k])
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(len(want[k]) for k in pii.BASE_KINDS)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and r["spans"].startswith(listed)
+
+
+def test_base_spans_on_hard_strings():
+    rng = np.random.default_rng(7)
+    parts = ["a@b.c", "@", ".", "..", "1", "12", "256", "1.2.3.4", "0001.2.3.4", " ", "-", "+", "+1 (885) 555-8183", "(", "x", "é", "٣", "4111 1111 1111 1111", "4111111111111111"]
+    finder = pii.AnchorFinder()
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts, rng.integers(1, 9)))
+        got, want = finder.spans(t), _base(t)
+        assert {k: got[k] for k in want} == want, t
+
+
+def test_masking(odd):
+    assert pii.masked("to a@b.co, iban: DE12345678 x", pii.AnchorFinder().spans("to a@b.co, iban: DE12345678 x")) == "to <EMAIL>, iban: <ACCOUNT> x"
+    got = pii.mask_personal_data(odd)
+    assert got.columns == odd.columns and got.count() == odd.count()
+    assert got.filter("doc_id = 10").first()["text"] == "mail <EMAIL> now"
+    assert pii.find_personal_data(odd.limit(0)).count() == 0 and pii.find_personal_data(odd).count() == odd.count()
+
+
+# ------------------------------------------------------------ pipeline
+
+
+def test_pipeline_stages(spark, sf_dir, docs, texts):
+    columns = docs.columns
+    assert [len(corpus_pipeline.STAGES)] == [5]
+    rows = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
+    assert rows.columns == columns
+    kept = {r["doc_id"] for r in rows.collect()}
+    assert {d for d, t in texts.items() if t and any(c.isalpha() for c in t)} >= kept and len(kept) >= 0.98 * len(texts)
+    rows = corpus_pipeline.STAGES[1][1](spark, docs, sf_dir)
+    ids = sorted(texts)
+    comp = _components([_simhash(texts[i]) for i in ids])
+    assert rows.columns == columns and sorted(r["doc_id"] for r in rows.collect()) == sorted({ids[c] for c in comp})
+    rows = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir)
+    leaked = {r["doc_id"] for r in queries.op3_decontaminate(spark, sf_dir).collect()}
+    assert rows.columns == columns and {r["doc_id"] for r in rows.collect()} == texts.keys() - leaked
+    rows = corpus_pipeline.STAGES[3][1](spark, docs, sf_dir)
+    assert rows.columns == columns
+    assert all(not any(_base(r["text"] or "").values()) and r["n_chars"] == len(r["text"]) for r in rows.collect())
+    whole = corpus_pipeline.run(spark, sf_dir).collect()
+    assert 0 < len({r["doc_id"] for r in whole}) < len(texts)
+
+
+def test_pipeline_edge_rows(spark, sf_dir, odd):
+    for df in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            stage(spark, df, sf_dir).collect()

@@ -1,11 +1,4 @@
 """Operators for preparing language-model training data; nothing else in the library imports them.
 
-Functions that run in Python workers are sent there by value, so the workers need not have the package.
-What is broadcast is made of numpy arrays and built-in types for the same reason.
+What is broadcast is made of numpy arrays and built-in types, as Python workers need not have the package.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
