@@ -14,7 +14,7 @@ def rows(df):
     df = df[sorted(df.columns)]
 
     def plain(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) in ("<NA>", "nan"):
             return "~"
         if isinstance(v, float):
             return f"{v:.6g}" if not math.isclose(v, round(v)) else str(round(v))
