@@ -182,3 +182,35 @@ def test_requests(index):
 
 def test_exact_type_suppresses_others(index):
     assert set(r["name"] for r in search.suppress_for_exact_type(index["search_symbols"], "AHero").collect()) == {"AHero"}
+
+
+def _package():
+    import struct
+
+    text = lambda s: struct.pack("<i", len(s) + 1) + s.encode() + b"\0"
+    names = ["/Script/Engine", "Class", "Package", "Actor", "Function", "Jump", "Hero_C", "None"]
+    head = lambda n, i, e: struct.pack("<Iiiiiii", 0x9E2A83C1, -7, 0, 522, 0, 0, 0) + text("None") + struct.pack("<Iii", 0x80000000, len(names), n) + struct.pack("<ii", 0, 0) + struct.pack("<iiii", 1, e, 3, i)
+    n = len(head(0, 0, 0))
+    table = b"".join(text(x) + b"\0\0\0\0" for x in names)
+    rows = struct.pack("<qqiqq", 0, 2, 0, 0, 7) + struct.pack("<qqiqq", 0, 1, -1, 3, 7) + struct.pack("<qqiqq", 0, 4, -2, 5, 7)
+    i = n + len(table)
+    e = i + len(rows)
+    return head(n, i, e) + table + rows + struct.pack("<iiiiqI", -2, -2, 0, 0, 6, 0) + bytes(120)
+
+
+def test_packages(spark):
+    from weftline.sources.packages import packages
+
+    df = spark.createDataFrame([("/x/Hero.uasset", bytearray(_package())), ("/x/bad.uasset", bytearray(b"nothing")), ("/x/cut.uasset", bytearray(_package()[:60]))], "path string, content binary")
+    got = {r["path"]: r for r in packages(df).collect()}
+    hero = got["/x/Hero.uasset"]
+    assert hero["imports"] == ["/Script/Engine", "/Script/Engine.Actor"] and hero["functions"] == ["/Script/Engine.Actor.Jump"]
+    assert hero["parent_class"] == "/Script/Engine.Actor" and hero["error"] is None
+    assert got["/x/bad.uasset"]["error"] and got["/x/cut.uasset"]["error"]
+
+
+def test_plugin_audit(spark):
+    s = spark.createDataFrame([("/e/Engine/Plugins/A/B/Source/x.h",), ("/e/Engine/Plugins/A/B/Source/y.h",), ("/e/Engine/Plugins/C/Source/z.h",), ("/e/q.h",)], "path string")
+    r = checks.plugin_audit(s, spark.createDataFrame([("A/B",), ("D",)], "plugin string")).first()
+    assert (r["n_symbols"], r["n_plugin_symbols"], r["n_known"], r["n_on_disk"]) == (4, 3, 2, 2)
+    assert (r["missing_sample"], r["extra_sample"], r["top_plugins"]) == (["D"], ["C"], ["A/B:2", "C:1"])

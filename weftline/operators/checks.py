@@ -74,3 +74,23 @@ def latency_stats(rows: DataFrame, ts: str, label: str, millis: Column, failed:
 
 def top_groups(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_first(key)).limit(most)
+
+
+def plugin_audit(symbols: DataFrame, on_disk: DataFrame, limit: int = 20) -> DataFrame:
+    """One row about plugins: symbol counts, plugins known and on disk, the differences and the largest plugins.
+
+    ``symbols(path)``, ``on_disk(plugin)``. A plugin is the path between ``/Engine/Plugins/`` and its
+    ``Source`` folder.
+    """
+    plugin = F.regexp_extract(S.normalize_path("path"), "/Engine/Plugins/(.+?)/Source/", 1)
+    rows = symbols.select(F.col("path"), F.nullif(plugin, F.lit("")).alias("plugin"))
+    known, disk = rows.select("plugin").filter("plugin is not null").distinct(), on_disk.select("plugin").distinct()
+    first = lambda df, name: df.orderBy("plugin").limit(limit).agg(F.array_sort(F.collect_list("plugin")).alias(name))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    missing, extra = disk.subtract(known), known.subtract(disk)
+    largest = top_groups(rows.filter("plugin is not null"), "plugin", limit)
+    top = largest.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "plugin"))).alias("t")).select(F.transform("t", lambda x: F.concat_ws(":", x["plugin"], (-x["minus_n"]).cast("string"))).alias("top_plugins"))
+    out = rows.agg(F.count(F.lit(1)).alias("n_symbols"), F.count("plugin").alias("n_plugin_symbols"))
+    for part in (count(known, "n_known"), count(disk, "n_on_disk"), count(missing, "n_missing"), count(extra, "n_extra"), first(missing, "missing_sample"), first(extra, "extra_sample"), top):
+        out = out.crossJoin(part)
+    return out
