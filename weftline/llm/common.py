@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,34 +59,49 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(id_remainder(doc_id, modulus) == remainder, F.lit(False))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], rank: str, rows_each: int = 50_000) -> DataFrame:
+#: a table of at most so many rows of a few numbers may be broadcast; a larger one is joined by shuffle
+BROADCAST_ROWS = 100_000
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], rank: str, rows_each: int = 1000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, without gathering a group in one task.
 
-    Rows are dealt by a hash of ``order`` into buckets of about ``rows_each`` rows; each bucket is
-    numbered on its own and shifted by the counts of the group's earlier buckets. Equal rows are
-    folded into one with a multiplicity first, so a key that repeats without bound stays one row
-    until it is unfolded. ``df`` is read twice; pass a scan or a materialised table.
+    A group is dealt by a hash of ``order`` into one bucket for every ``rows_each`` of its rows; each
+    bucket is numbered on its own and shifted by the counts of the group's earlier buckets. So a window
+    sees about ``rows_each`` rows whatever the share of one group. Equal rows are folded into one with a
+    multiplicity first: a row that repeats without bound stays one row until it is unfolded.
 
-    The number of buckets follows the row count, so every window partition stays bounded whatever
-    the share of one group. All columns of ``df`` must be groupable.
+    ``df`` is read several times; pass a scan or a materialised table. Its columns must be groupable.
     """
     cols = df.columns
     folded = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__wl_many"))
-    buckets = max(1, -(-df.count() // rows_each))
-    folded = folded.withColumn("__wl_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    from pyspark.sql import Window
-
+    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__wl_all"))
+    totals = totals.select(*[F.col(c).alias(f"__wl_t{i}") for i, c in enumerate(group)], "__wl_all")
+    if totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        totals = F.broadcast(totals)
+    same = [F.col(c).eqNullSafe(F.col(f"__wl_t{i}")) for i, c in enumerate(group)]
+    buckets = F.ceil(F.col("__wl_all") / rows_each)
+    folded = folded.join(totals, same).withColumn("__wl_bucket", F.pmod(F.xxhash64(*order), buckets)).select(*cols, "__wl_many", "__wl_bucket")
+    earlier = (Window.unboundedPreceding, -1)
+    of_group = Window.partitionBy(*group).orderBy("__wl_bucket").rowsBetween(*earlier)
+    of_bucket = Window.partitionBy(*group, "__wl_bucket").orderBy(*order, *[c for c in cols if c not in order]).rowsBetween(*earlier)
     sizes = folded.groupBy(*group, "__wl_bucket").agg(F.sum("__wl_many").alias("__wl_size"))
-    shift = F.coalesce(
-        F.sum("__wl_size").over(Window.partitionBy(*group).orderBy("__wl_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    sizes = sizes.select(*[F.col(c).alias(f"__wl_g{i}") for i, c in enumerate(group)], F.col("__wl_bucket").alias("__wl_b"), shift.alias("__wl_shift"))
-    inner = F.coalesce(
-        F.sum("__wl_many").over(Window.partitionBy(*group, "__wl_bucket").orderBy(*order, *[c for c in cols if c not in order]).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
+    shifts = sizes.select(*[F.col(c).alias(f"__wl_g{i}") for i, c in enumerate(group)], F.col("__wl_bucket").alias("__wl_b"), F.coalesce(F.sum("__wl_size").over(of_group), F.lit(0)).alias("__wl_shift"))
     on = [F.col(c).eqNullSafe(F.col(f"__wl_g{i}")) for i, c in enumerate(group)] + [F.col("__wl_bucket") == F.col("__wl_b")]
-    joined = folded.withColumn("__wl_inner", inner).join(sizes, on)
+    joined = folded.withColumn("__wl_inner", F.coalesce(F.sum("__wl_many").over(of_bucket), F.lit(0))).join(shifts, on)
     base = F.col("__wl_shift") + F.col("__wl_inner")
     return joined.select(*cols, F.explode(F.sequence(base, base + F.col("__wl_many") - 1)).alias(rank))
+
+
+def least_hashed(rows: DataFrame, key: str, ties: list[str], most: int) -> DataFrame:
+    """The ``most`` rows with the least hashes of ``key``: a bounded sample that any partitioning gives alike.
+
+    The row count sets how small a hash must be to be looked at, so that tasks send on a few times the
+    sample together, and not the whole sample each. Should that leave too few rows by chance, which is
+    next to impossible, the sample is smaller.
+    """
+    count = rows.count()
+    hashed = rows.withColumn("__wl_h", F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long"))
+    if count > 4 * most:
+        hashed = hashed.filter(F.col("__wl_h") <= int(2.0 * most / count * 0xFFFFFFFF) + 1)
+    return hashed.orderBy("__wl_h", key, *ties).limit(most).drop("__wl_h")

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import least_hashed, materialise
 
 #: documents and bytes of text in a block
-BLOCK_DOCS, BLOCK_BYTES = 8192, 24_000_000
+BLOCK_DOCS, BLOCK_BYTES = 8192, 16_000_000
 #: bits of the tables of the four contexts, slots in a piece of a table, decisions counted at a time
-TABLE_BITS, FLUSH = (18, 20, 20, 21), 1_500_000
+TABLE_BITS, FLUSH = (18, 20, 20, 20), 400_000
 PIECE = 1 << 16
 #: training texts in the sample that teaches kinds and mixers, characters of each; those that teach the mixer
 SAMPLE_DOCS, SAMPLE_CHARS, TEACHING_DOCS = 1200, 6000, 300
@@ -247,19 +247,18 @@ def blocks_of(docs: DataFrame, learnable: Column, kinds: dict[bytes, np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([packed], pa.binary()), *(pa.array([x], pa.int64()) for x in ends.tolist())], names=names)
 
         ids, learn, numbers, place, size = [], [], [], {}, 0
-        for batch in batches:
-            for doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                for w in words:
-                    if w not in place:
-                        place[w] = len(place)
-                ids.append(doc_id)
-                learn.append(own)
-                numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-                size += len(text or "")
-                if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
-                    yield from close(ids, learn, numbers, place)
-                    ids, learn, numbers, place, size = [], [], [], {}, 0
+        for doc_id, text, own in (row for b in batches for i in range(0, b.num_rows, 256) for row in zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True)):
+            words = words_of(text)
+            for w in words:
+                if w not in place:
+                    place[w] = len(place)
+            ids.append(doc_id)
+            learn.append(own)
+            numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+            size += len(text or "")
+            if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
+                yield from close(ids, learn, numbers, place)
+                ids, learn, numbers, place, size = [], [], [], {}, 0
         if ids:
             yield from close(ids, learn, numbers, place)
 
@@ -285,7 +284,7 @@ def byte_counts(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def context_tables(counts: DataFrame, code: tuple, tasks: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
+def context_tables(counts: DataFrame, code: tuple, tasks: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Counts of zeros and ones in every slot of every table, over all training texts.
 
     Each task sums its words into whole tables, whose size is fixed, and sends the pieces that are not
@@ -309,7 +308,7 @@ def context_tables(counts: DataFrame, code: tuple, tasks: int = 16) -> list[tupl
             for i in range(0, batch.num_rows, WORDS_AT_ONCE):
                 part = batch.slice(i, WORDS_AT_ONCE)
                 slots, bit, word, _ = decisions(part.column(0).to_pylist(), code)
-                held.append(([slot * 2 + bit for slot in slots], part.column(1).to_numpy(zero_copy_only=False).astype(np.float32)[word]))
+                held.append(([(slot * 2 + bit).astype(np.int32) for slot in slots], part.column(1).to_numpy(zero_copy_only=False).astype(np.float32)[word]))
                 size += len(bit)
                 if size >= FLUSH:
                     flush()
@@ -455,8 +454,8 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
     zero throughout. Other columns are not read.
     """
     spark = docs.sparkSession
-    sample = docs.filter(learnable & F.col("text").isNotNull()).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
-    texts = [r["text"] for r in sample.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    sample = docs.filter(learnable & F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    texts = [r["text"] for r in least_hashed(sample, "doc_id", ["text"], SAMPLE_DOCS).collect()]
     kinds = fit_kinds(texts)
     blocks = materialise(blocks_of(docs, learnable, kinds), "lm-blocks")
     vocabulary = blocks.filter("part = 0")
@@ -468,7 +467,7 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
     by_kind = np.array([totals[c] for c in COUNTS], float)
     every, distinct = int(by_kind.sum()), int(totals["distinct"])
     code = huffman(byte_counts(counts))
-    tables = context_tables(counts, code)
+    tables = context_tables(counts, code, max(16, min(256, distinct // 2_000_000)))
     mixer = learn_mixer(texts[:TEACHING_DOCS], tables, code)
     scored = materialise(score_words(counts, tables, mixer, code), "lm-words")
     end = scored.filter(F.length("word") == 0).first()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import least_hashed, materialise
 from .tokens import text_batches
 
 #: labelled rows in the fitted sample, features in the fitted list
@@ -131,6 +131,8 @@ def restore(token: str, costs: np.ndarray) -> str:
 _WORDS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~¿¡«»“”„…–—"
+_PLAIN_EDGES = "".join(c for c in _EDGES if c not in STANDS_FOR)
+_CLOSING = "".join(c for c in _EDGES if c not in "$@")
 _APART = re.compile(b"\x01{3,}")
 
 
@@ -141,16 +143,17 @@ def token_words(token: str, costs: np.ndarray) -> list[str]:
     only cut at everything but letters.
     """
     core = token.strip(_EDGES)
+    # A symbol with a letter's look may begin the word, or end it where it is one of the usual two.
+    whole = token.lstrip(_PLAIN_EDGES).rstrip(_CLOSING)
+    disguised = [restore(whole, costs)] if len(core) < len(whole) <= LONGEST_WORD and any(map(str.isalpha, core)) else []
     if core.isalpha():
         if len(core) > LONGEST_WORD or not _TRIPLE.search(core):
-            return [core]
-        return [core, restore(core, costs)]
+            return [core, *disguised]
+        return [core, restore(core, costs), *disguised]
     words = _WORDS.findall(core)
     if len(core) > LONGEST_WORD or not words or len(core) - sum(map(len, words)) > 3 * sum(map(len, words)):
         return words
-    # A symbol with a letter's look may begin or end the word, so the whole token is read as well.
-    whole = token.strip("".join(set(_EDGES) - set(STANDS_FOR)))
-    return [*words, restore(core, costs), *([restore(whole, costs)] if whole != core and len(whole) <= LONGEST_WORD else [])]
+    return [*words, restore(core, costs), *disguised]
 
 
 def text_tokens(text: str) -> set[str]:
@@ -176,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, costs: np.ndarray
     """
     spark = docs.sparkSession
     sample = labels.filter(learnable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = sample.orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id").limit(SAMPLE_ROWS)
+    sample = least_hashed(sample, "doc_id", [], SAMPLE_ROWS)
     shared = spark.sparkContext.broadcast(costs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
