@@ -74,7 +74,7 @@ def tree_shard(key: Column, tree: Tree) -> Column:
     return _best(key, [c for c in regions if c[1] > 0])
 
 
-def shard_documents(docs: DataFrame, tree: Tree, grown: Tree | None = None, rows_each: int = 50_000) -> DataFrame:
+def shard_documents(docs: DataFrame, tree: Tree, grown: Tree | None = None, rows_each: int = 1000) -> DataFrame:
     """Place every row of ``docs(doc_id, text)`` by the ``key`` law: doc_id and the tree decide.
 
     Returns doc_id, size (UTF-8 bytes of the text, none for null, plus 1), text_crc32, law, shard,
