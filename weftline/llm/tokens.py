@@ -14,7 +14,7 @@ import unicodedata
 import numpy as np
 
 #: chunks remembered; beyond so many the memory is emptied and filled anew
-MOST_KEPT = 1_200_000
+MOST_KEPT = 800_000
 #: characters handled at a time
 STRETCH = 1_000_000
 
