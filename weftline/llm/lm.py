@@ -20,6 +20,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, materialise
+from .common import discard, least_hashed, materialise
 
-#: documents and bytes of text in a block
-BLOCK_DOCS, BLOCK_BYTES = 8192, 16_000_000
+#: documents and characters of text in a block, rows sent to Spark at a time
+BLOCK_DOCS, BLOCK_BYTES, ROWS_SENT = 8192, 16_000_000, 20_000
 #: bits of the tables of the four contexts, slots in a piece of a table, decisions counted at a time
 TABLE_BITS, FLUSH = (18, 20, 20, 20), 400_000
 PIECE = 1 << 16
@@ -238,11 +239,15 @@ def blocks_of(docs: DataFrame, learnable: Column, kinds: dict[bytes, np.ndarray]
                 told = own[first:last][owner]
                 np.add.at(n, part[told] * KINDS + kind[first:last][owner[told]], 1)
             n = n.reshape(-1, KINDS)
-            if many:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(many, block)), pa.array(np.zeros(many, np.int32)), pa.array(list(place), pa.binary()), pa.array(np.arange(many, dtype=np.int32)), pa.nulls(many, pa.binary()), *(pa.array(n[:, j]) for j in range(KINDS))], names=names)
+            words = iter(place)
+            for i in range(0, many, ROWS_SENT):
+                rows = min(ROWS_SENT, many - i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), pa.array(np.zeros(rows, np.int32)), pa.array(list(islice(words, rows)), pa.binary()), pa.array(np.arange(i, i + rows, dtype=np.int32)), pa.nulls(rows, pa.binary()), *(pa.array(np.ascontiguousarray(n[i : i + rows, j])) for j in range(KINDS))], names=names)
+            place.clear()
             null = np.array([x is None for x in ids])
-            head = [np.array([len(ids)], "<i8"), np.array([x or 0 for x in ids], "<i8"), null.astype("u1"), own.astype("u1"), size.astype("<i8"), flat.astype("<u4")]
-            packed = zlib.compress(b"".join(x.tobytes() for x in head), 1)
+            head = [np.array([len(ids)], "<i8"), np.array([x or 0 for x in ids], "<i8"), null.astype("u1"), own.astype("u1"), size.astype("<i8"), flat]
+            press = zlib.compressobj(1)
+            packed = b"".join([*(press.compress(x) for x in head), press.flush()])
             ends = np.bincount(kind[own], minlength=KINDS)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([packed], pa.binary()), *(pa.array([x], pa.int64()) for x in ends.tolist())], names=names)
 
@@ -413,34 +418,38 @@ def unpack_told(told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return head["a"].astype(float), head["s"].astype(np.int64), n
 
 
-#: weights of the experts before a text begins, in tokens: spelling, then frequency by kind
-PRIOR = np.array([0.6] + [0.6] * KINDS)
+#: tokens' worth of belief, before a text begins, in the share of spelled words and in the shares of kinds
+SPELLED_BELIEF, KIND_BELIEF = 20.0, 2.0
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
-def weigh_online(logs: np.ndarray, owner_start: np.ndarray, owner_size: np.ndarray, prior: np.ndarray) -> np.ndarray:
+def weigh_online(logs: np.ndarray, owner_start: np.ndarray, owner_size: np.ndarray, spelled: float, kinds: np.ndarray) -> np.ndarray:
     """Natural log-probability of each text: experts' weights follow the share of the text so far that each explains.
 
-    ``logs`` holds a row a token and a column an expert, text after text. Weights stay for a segment of
-    tokens (SEGMENTS); all texts of the block advance together.
+    ``logs`` holds a row a token and a column an expert (the spelling, then kinds), text after text. A
+    token is spelled with a share that starts at ``spelled``, or else comes from a kind, whose shares
+    start at ``kinds``. Weights stay for a segment of tokens (SEGMENTS); all texts advance together.
     """
     shown = logs.max(axis=1)
     near = np.exp(logs - shown[:, None])
     total = np.zeros(len(owner_size))
-    weight = np.tile(prior, (len(owner_size), 1))
+    told = np.full(len(owner_size), spelled * SPELLED_BELIEF)
+    weight = np.tile(kinds * KIND_BELIEF, (len(owner_size), 1))
     done, step = 0, 0
     while (live := np.flatnonzero(owner_size > done)).size:
         many = SEGMENTS[min(step, len(SEGMENTS) - 1)]
         size = np.minimum(owner_size[live] - done, many)
         row = np.repeat(np.arange(len(live)), size)
         at = np.repeat(owner_start[live] + done - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        done, step = done + many, step + 1
-        share = weight[live] / weight[live].sum(axis=1, keepdims=True)
+        first = (told[live] / (SPELLED_BELIEF + done))[:, None]
+        share = np.concatenate([first, (1 - first) * weight[live] / weight[live].sum(axis=1, keepdims=True)], axis=1)
         joint = near[at] * share[row]
         p = joint.sum(axis=1)
         total[live] += np.bincount(row, np.log(p) + shown[at], len(live))
-        for e in range(logs.shape[1]):
-            weight[live, e] += np.bincount(row, joint[:, e] / p, len(live))
+        told[live] += np.bincount(row, joint[:, 0] / p, len(live))
+        for e in range(weight.shape[1]):
+            weight[live, e] += np.bincount(row, joint[:, e + 1] / p, len(live))
+        done, step = done + many, step + 1
     return total
 
 
@@ -463,13 +472,17 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
     end_counts = blocks.filter("part = 1").agg(*sums).select(F.lit(b"").alias("word"), *COUNTS)
     counts = vocabulary.groupBy("word").agg(*sums).unionByName(end_counts)
     counts = materialise(counts.withColumn("c", sum(F.col(c) for c in COUNTS)), "lm-counts")
-    totals = counts.agg(*sums, F.count_if(F.col("c") > 0).alias("distinct")).first()
+    totals = counts.agg(*sums, F.count_if(F.col("c") > 0).alias("distinct"), F.count_if(F.col("c") == 1).alias("once")).first()
     by_kind = np.array([totals[c] for c in COUNTS], float)
     every, distinct = int(by_kind.sum()), int(totals["distinct"])
+    # Good and Turing: words met once tell how often a new one comes.
+    spelled = min(max(totals["once"] / max(every, 1), 0.002), 0.5)
+    kind_shares = (by_kind + 1) / (every + KINDS)
     code = huffman(byte_counts(counts))
     tables = context_tables(counts, code, max(16, min(256, distinct // 2_000_000)))
     mixer = learn_mixer(texts[:TEACHING_DOCS], tables, code)
     scored = materialise(score_words(counts, tables, mixer, code), "lm-words")
+    discard(counts)
     end = scored.filter(F.length("word") == 0).first()
     end_told = bytes(end["told"])
     # Unigrams of a kind fall back on those of all texts.
@@ -486,12 +499,12 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
         most = len(words)
         k = np.concatenate([words["k"].to_numpy(), [most]])
         told = unpack_told([*words["told"], end_told])
-        spelled, width, n = (np.empty_like(x) for x in told)
-        spelled[k], width[k], n[k] = told
+        spelling, width, n = (np.empty_like(x) for x in told)
+        spelling[k], width[k], n[k] = told
         c = n.sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             frequency = np.log((n + lean * (c / max(every, 1))[:, None]) / (by_kind + lean))
-        logs = np.concatenate([spelled[:, None], np.where(c[:, None] > 0, frequency, NEVER)], axis=1)
+        logs = np.concatenate([spelling[:, None], np.where(c[:, None] > 0, frequency, NEVER)], axis=1)
         base = np.log10((c + 1) / (every + distinct + 1))
         known_, total, score, n_bytes = (np.zeros(len(size)) for _ in range(4))
         for first, last, begin, stop in runs_of(size):
@@ -504,7 +517,7 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
             known_[at] = np.bincount(owner, c[token] > 0, last - first)
             total[at] = np.bincount(owner, base[token], last - first)
             n_bytes[at] = np.bincount(owner, width[token] + 1, last - first)
-            score[at] = weigh_online(logs[token], np.cumsum(mine) - mine, mine, PRIOR)
+            score[at] = weigh_online(logs[token], np.cumsum(mine) - mine, mine, spelled, kind_shares)
         return pd.DataFrame({
             "doc_id": pd.array(ids, "Int64") if not null.any() else pd.array([None if z else int(x) for x, z in zip(ids, null, strict=True)], "Int64"),
             "held_out": ~own,
