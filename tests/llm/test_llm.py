@@ -226,6 +226,26 @@ def test_lm_edge_rows(odd):
     assert lm.score_documents(odd.limit(0), F.lit(True)).count() == 0
 
 
+def test_contexts_are_five_and_told_apart_by_kind():
+    code = lm.huffman(np.ones(256))
+    one, two = lm.decisions([b"abcde"], code, 0)[0], lm.decisions([b"abcde"], code, 1)[0]
+    assert lm.TABLE_BITS == (16, 18, 20, 20, 22) and len(one) == 5
+    assert [bool((a == b).all()) for a, b in zip(one, two, strict=True)] == [False, False, False, True, False]
+    # The first context is the last byte alone: 'e' after 'd' is coded in the same slots whatever came before.
+    other = lm.decisions([b"xyzde"], code, 0)[0]
+    assert (one[0][32:] == other[0][32:]).all() and not (one[1][24:32] == other[1][24:32]).all()
+
+
+def test_every_kind_spells_a_word():
+    a, s, n = lm.unpack_told(lm.pack_told(np.arange(8.0).reshape(2, 4), np.array([1, 2]), np.array([[0, 0, 0, 0], [0, 5, 0, 0]])), 4)
+    assert a.tolist() == [[0, 1, 2, 3], [4, 5, 6, 7]] and list(s) == [1, 2] and n[1].tolist() == [0, 5, 0, 0]
+    # A text spelled by the third kind alone is scored by that kind's spelling soon.
+    logs = np.full((400, 8), -50.0)
+    logs[:, 2] = -3.0
+    total = lm.weigh_online(logs, np.array([0]), np.array([400]), 0.1, np.full(4, 0.25))
+    assert -1300 < total[0] < -1200
+
+
 # ------------------------------------------------------------ toxicity
 
 

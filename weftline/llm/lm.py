@@ -1,17 +1,18 @@
 """Language-model scores by logistic context mixing.
 
 A text is coded as its words, lower-cased, each ended by a space, and a last empty word. A byte is coded
-as a path of binary decisions in a Huffman tree. For every decision four hashed contexts (the last two,
-three and four bytes, and the whole word so far) each predict a bit from corpus counts; a mixer adds
+as a path of binary decisions in a Huffman tree. For every decision five hashed contexts (the last one,
+two, three and four bytes, and the whole word so far) each predict a bit from corpus counts; a mixer adds
 their log-odds with weights chosen by a gate, and an adaptive probability map refines the sum. The
 weights are learned online, decision by decision, over a bounded sample of the training texts, with each
 occurrence taken out of the counts that predict it.
 
-All contexts end at the word's beginning, so the probability of a word's spelling is worked out once for
-each distinct word of the corpus. A mixture of unigrams, fitted to the sample, sorts every training text
-into one of four kinds, and word counts are kept for each. Over a text, five experts (the spelling, and
-the word's frequency in each kind) are weighed online: a text's weights start alike and follow what has
-been seen of it so far. The counts cover every training text, whatever the size.
+Contexts are told apart by kinds of text (the four-byte one is shared): a mixture of unigrams, fitted to
+the sample, sorts every training text into one of four kinds, and counts are kept for each. All contexts
+end at the word's beginning, so the probability of a word's spelling is worked out once for each distinct
+word of the corpus and each kind. Over a text, eight experts (for each kind the spelling of the word and
+its frequency) are weighed online: a text's weights start alike and follow what has been seen of it so
+far. The counts cover every training text, whatever the size.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .common import discard, least_hashed, materialise
 
 #: documents and characters of text in a block, rows sent to Spark at a time
 BLOCK_DOCS, BLOCK_BYTES, ROWS_SENT = 8192, 16_000_000, 20_000
-#: bits of the tables of the four contexts, slots in a piece of a table, decisions counted at a time
-TABLE_BITS, FLUSH = (18, 20, 20, 20), 400_000
+#: bits of the tables of the five contexts, decisions counted at a time, slots in a piece of a table
+TABLE_BITS, FLUSH = (16, 18, 20, 20, 22), 400_000
 PIECE = 1 << 16
 #: training texts in the sample that teaches kinds and mixers, characters of each; those that teach the mixer
 SAMPLE_DOCS, SAMPLE_CHARS, TEACHING_DOCS = 1200, 6000, 300
@@ -80,8 +81,8 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return length, nodes, bits
 
 
-def decisions(words: list[bytes], code: tuple) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions that spell the words: slot in each table, bit, word number, place in the word."""
+def decisions(words: list[bytes], code: tuple, kind: np.ndarray | int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions that spell the words of given kinds: slot in each table, bit, word number, place in the word."""
     length, nodes, bits = code
     data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -100,7 +101,10 @@ def decisions(words: list[bytes], code: tuple) -> tuple[list[np.ndarray], np.nda
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + _U(1)) * _U(0xD6E8FEB86659FD93) * power)])
         at = np.arange(len(data))
         prefix = (total[at] - total[start]) * inverse[start]
-        contexts = [b1 | b2 << _U(8), b1 | b2 << _U(8) | b3 << _U(16), b1 | b2 << _U(8) | b3 << _U(16) | b4 << _U(24), prefix]
+        of_kind = _U(kind) if np.isscalar(kind) else kind.astype(np.uint64)[word]
+        own = (np.ones(1, np.uint64) + of_kind) * _U(0xA24BAED4963EE407)
+        contexts = [b1, b1 | b2 << _U(8), b1 | b2 << _U(8) | b3 << _U(16), b1 | b2 << _U(8) | b3 << _U(16) | b4 << _U(24), prefix]
+        contexts = [c if k == 3 else c ^ own for k, c in enumerate(contexts)]
         of = np.repeat(at, length[data])
         step = np.arange(len(of)) - np.repeat(np.cumsum(length[data]) - length[data], length[data])
         node = nodes[data[of], step].astype(np.uint64)
@@ -196,6 +200,11 @@ def fit_kinds(texts: list[str]) -> dict[bytes, np.ndarray]:
     return {w: logs[:, i] for w, i in at.items()}
 
 
+def kind_of(text: str, kinds: dict[bytes, np.ndarray]) -> int:
+    """The kind that a text's telling words are likeliest in."""
+    return int(sum((kinds[w] for w in words_of(text) if w in kinds), np.zeros(KINDS)).argmax())
+
+
 def runs_of(size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Runs of texts of about TOKENS_AT_ONCE tokens: first text, the one after the last, first token, the one after the last."""
     stop, first = np.cumsum(size), 0
@@ -306,14 +315,20 @@ def context_tables(counts: DataFrame, code: tuple, tasks: int) -> list[tuple[np.
             if held:
                 weight = np.concatenate([w for _, w in held])
                 for k, table in enumerate(tables):
-                    table += np.bincount(np.concatenate([slots[k] for slots, _ in held]), weight, len(table))
+                    at, which = np.unique(np.concatenate([slots[k] for slots, _ in held]), return_inverse=True)
+                    table[at] += np.bincount(which, weight)
             held, size = [], 0
 
         for batch in batches:
             for i in range(0, batch.num_rows, WORDS_AT_ONCE):
                 part = batch.slice(i, WORDS_AT_ONCE)
-                slots, bit, word, _ = decisions(part.column(0).to_pylist(), code)
-                held.append(([(slot * 2 + bit).astype(np.int32) for slot in slots], part.column(1).to_numpy(zero_copy_only=False).astype(np.float32)[word]))
+                every = part.column(0).to_pylist()
+                n = np.stack([part.column(1 + j).to_numpy(zero_copy_only=False) for j in range(KINDS)], axis=1)
+                at, kind = np.nonzero(n)
+                if not len(at):
+                    continue
+                slots, bit, word, _ = decisions([every[j] for j in at.tolist()], code, kind)
+                held.append(([(slot * 2 + bit).astype(np.int32) for slot in slots], n[at, kind][word].astype(np.float32)))
                 size += len(bit)
                 if size >= FLUSH:
                     flush()
@@ -332,7 +347,7 @@ def context_tables(counts: DataFrame, code: tuple, tasks: int) -> list[tuple[np.
         return pd.DataFrame({"t": group["t"].iloc[:1].values, "piece": group["piece"].iloc[:1].values, "data": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
     schema = "t int, piece int, data binary"
-    pieces = counts.filter("c > 0").select("word", "c").coalesce(tasks).mapInArrow(run, schema).groupBy("t", "piece").applyInPandas(add, schema)
+    pieces = counts.filter("c > 0").select("word", *COUNTS).coalesce(tasks).mapInArrow(run, schema).groupBy("t", "piece").applyInPandas(add, schema)
     tables = [(np.zeros(1 << w, np.float32), np.zeros(1 << w, np.float32)) for w in TABLE_BITS]
     for r in pieces.toLocalIterator():
         both = np.frombuffer(zlib.decompress(r["data"]), np.float32)
@@ -341,12 +356,12 @@ def context_tables(counts: DataFrame, code: tuple, tasks: int) -> list[tuple[np.
     return tables
 
 
-def learn_mixer(texts: list[str], tables: list[tuple[np.ndarray, np.ndarray]], code: tuple) -> Mixer:
+def learn_mixer(texts: list[str], kinds: dict[bytes, np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]], code: tuple) -> Mixer:
     """The mixer taught online by sample texts, each decision predicted without its own occurrence."""
     mixer = Mixer()
     for _ in range(2):
         for text in texts:
-            slots, bit, _, place = decisions([*words_of(text), b""], code)
+            slots, bit, _, place = decisions([*words_of(text), b""], code, kind_of(text, kinds))
             n0 = [np.maximum(t[0][s] - (bit == 0), 0) for t, s in zip(tables, slots, strict=True)]
             n1 = [np.maximum(t[1][s] - (bit == 1), 0) for t, s in zip(tables, slots, strict=True)]
             x, gate = Mixer.inputs(n0, n1, place)
@@ -371,9 +386,11 @@ def score_words(counts: DataFrame, tables: list[tuple[np.ndarray, np.ndarray]],
             for i in range(0, batch.num_rows, WORDS_AT_ONCE):
                 part = batch.slice(i, WORDS_AT_ONCE)
                 words = part.column(0).to_pylist()
-                slots, bit, word, place = decisions(words, code_)
-                x, gate = Mixer.inputs([t[0][s] for t, s in zip(tables_, slots, strict=True)], [t[1][s] for t, s in zip(tables_, slots, strict=True)], place)
-                spelled = -np.log(2) * np.bincount(word, mixer_.bits(x, gate, bit), len(words))
+                spelled = np.empty((len(words), KINDS))
+                for kind in range(KINDS):
+                    slots, bit, word, place = decisions(words, code_, kind)
+                    x, gate = Mixer.inputs([t[0][s] for t, s in zip(tables_, slots, strict=True)], [t[1][s] for t, s in zip(tables_, slots, strict=True)], place)
+                    spelled[:, kind] = -np.log(2) * np.bincount(word, mixer_.bits(x, gate, bit), len(words))
                 n = np.stack([part.column(1 + j).to_numpy(zero_copy_only=False) for j in range(KINDS)], axis=1)
                 told = pack_told(spelled, np.fromiter(map(len, words), np.int64, len(words)), n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(told, pa.binary())], names=["word", "told"])
@@ -381,41 +398,48 @@ def score_words(counts: DataFrame, tables: list[tuple[np.ndarray, np.ndarray]],
     return counts.select("word", *COUNTS).mapInArrow(run, SCORED)
 
 
+def head_of(ways: int) -> np.dtype:
+    return np.dtype([("a", "<f4", (ways,)), ("s", "<u4")])
+
+
 def pack_told(spelled: np.ndarray, size: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Per word its spelling's log-probability, its bytes, and its training counts by kind.
+    """Per word the log-probabilities of its spelling (one, or a row of them), its bytes, and its training counts by kind.
 
-    Eight bytes, then the counts: none for an unknown word, kind and count for a word of one kind, all
-    counts otherwise.
+    Four bytes each for spellings and size, then the counts: none for an unknown word, kind and count for
+    a word of one kind, all counts otherwise.
     """
-    head = np.zeros(len(size), np.dtype([("a", "<f4"), ("s", "<u4")]))
+    spelled = np.asarray(spelled).reshape(len(size), -1)
+    head = np.zeros(len(size), head_of(spelled.shape[1]))
     head["a"], head["s"] = spelled, size
     kinds = (n > 0).sum(axis=1)
     first, most = n.argmax(axis=1), n.max(axis=1)
     one = np.zeros(len(size), np.dtype([("k", "u1"), ("n", "<u4")]))
     one["k"], one["n"] = first, np.minimum(most, 0xFFFFFFFF)
     heads, ones, every = head.tobytes(), one.tobytes(), n.astype("<u8").tobytes()
-    wide = 8 * KINDS
+    start, wide = head.dtype.itemsize, 8 * KINDS
     return [
-        heads[8 * i : 8 * i + 8] + (b"" if not k else ones[5 * i : 5 * i + 5] if k == 1 and m < 0xFFFFFFFF else every[wide * i : wide * i + wide])
+        heads[start * i : start * i + start] + (b"" if not k else ones[5 * i : 5 * i + 5] if k == 1 and m < 0xFFFFFFFF else every[wide * i : wide * i + wide])
         for i, (k, m) in enumerate(zip(kinds.tolist(), most.tolist(), strict=True))
     ]
 
 
-def unpack_told(told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(spelled, size, counts by kind) of packed words."""
+def unpack_told(told: list[bytes], ways: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spelled, size, counts by kind) of packed words; ``spelled`` has a column a way if there are several."""
+    kind = head_of(ways)
+    wide = kind.itemsize
     length = np.fromiter(map(len, told), np.int64, len(told))
     data = np.frombuffer(b"".join(told), np.uint8)
     start = np.cumsum(length) - length
-    head = data[start[:, None] + np.arange(8)].copy().view(np.dtype([("a", "<f4"), ("s", "<u4")]))[:, 0] if len(told) else np.zeros(0, np.dtype([("a", "<f4"), ("s", "<u4")]))
+    head = data[start[:, None] + np.arange(wide)].copy().view(kind)[:, 0] if len(told) else np.zeros(0, kind)
     n = np.zeros((len(told), KINDS), np.int64)
-    ones = np.flatnonzero(length == 13)
+    ones = np.flatnonzero(length == wide + 5)
     if len(ones):
-        one = data[start[ones, None] + np.arange(8, 13)]
+        one = data[start[ones, None] + np.arange(wide, wide + 5)]
         n[ones, one[:, 0]] = one[:, 1:].copy().view("<u4")[:, 0]
-    full = np.flatnonzero(length == 8 + 8 * KINDS)
+    full = np.flatnonzero(length == wide + 8 * KINDS)
     if len(full):
-        n[full] = data[start[full, None] + np.arange(8, 8 + 8 * KINDS)].copy().view("<u8").astype(np.int64)
-    return head["a"].astype(float), head["s"].astype(np.int64), n
+        n[full] = data[start[full, None] + np.arange(wide, wide + 8 * KINDS)].copy().view("<u8").astype(np.int64)
+    return (head["a"] if ways > 1 else head["a"][:, 0]).astype(float), head["s"].astype(np.int64), n
 
 
 #: tokens' worth of belief, before a text begins, in the share of spelled words and in the shares of kinds
@@ -426,15 +450,16 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score do
 def weigh_online(logs: np.ndarray, owner_start: np.ndarray, owner_size: np.ndarray, spelled: float, kinds: np.ndarray) -> np.ndarray:
     """Natural log-probability of each text: experts' weights follow the share of the text so far that each explains.
 
-    ``logs`` holds a row a token and a column an expert (the spelling, then kinds), text after text. A
-    token is spelled with a share that starts at ``spelled``, or else comes from a kind, whose shares
-    start at ``kinds``. Weights stay for a segment of tokens (SEGMENTS); all texts advance together.
+    ``logs`` holds a row a token and a column an expert (spellings by kind, then frequencies by kind),
+    text after text. A token is spelled with a share that starts at ``spelled``, or else is taken by its
+    frequency; in both the shares of kinds start at ``kinds`` and are followed apart. Weights stay for a segment of tokens (SEGMENTS); all texts advance together.
     """
     shown = logs.max(axis=1)
     near = np.exp(logs - shown[:, None])
     total = np.zeros(len(owner_size))
     told = np.full(len(owner_size), spelled * SPELLED_BELIEF)
-    weight = np.tile(kinds * KIND_BELIEF, (len(owner_size), 1))
+    many_kinds = len(kinds)
+    weight = np.tile(kinds * KIND_BELIEF, (len(owner_size), 2))
     done, step = 0, 0
     while (live := np.flatnonzero(owner_size > done)).size:
         many = SEGMENTS[min(step, len(SEGMENTS) - 1)]
@@ -442,13 +467,15 @@ def weigh_online(logs: np.ndarray, owner_start: np.ndarray, owner_size: np.ndarr
         row = np.repeat(np.arange(len(live)), size)
         at = np.repeat(owner_start[live] + done - (np.cumsum(size) - size), size) + np.arange(size.sum())
         first = (told[live] / (SPELLED_BELIEF + done))[:, None]
-        share = np.concatenate([first, (1 - first) * weight[live] / weight[live].sum(axis=1, keepdims=True)], axis=1)
+        ways = weight[live].reshape(-1, 2, many_kinds)
+        ways = ways / ways.sum(axis=2, keepdims=True)
+        share = np.concatenate([first * ways[:, 0], (1 - first) * ways[:, 1]], axis=1)
         joint = near[at] * share[row]
         p = joint.sum(axis=1)
         total[live] += np.bincount(row, np.log(p) + shown[at], len(live))
-        told[live] += np.bincount(row, joint[:, 0] / p, len(live))
+        told[live] += np.bincount(row, joint[:, :many_kinds].sum(axis=1) / p, len(live))
         for e in range(weight.shape[1]):
-            weight[live, e] += np.bincount(row, joint[:, e + 1] / p, len(live))
+            weight[live, e] += np.bincount(row, joint[:, e] / p, len(live))
         done, step = done + many, step + 1
     return total
 
@@ -480,7 +507,7 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
     kind_shares = (by_kind + 1) / (every + KINDS)
     code = huffman(byte_counts(counts))
     tables = context_tables(counts, code, max(16, min(256, distinct // 2_000_000)))
-    mixer = learn_mixer(texts[:TEACHING_DOCS], tables, code)
+    mixer = learn_mixer(texts[:TEACHING_DOCS], kinds, tables, code)
     scored = materialise(score_words(counts, tables, mixer, code), "lm-words")
     discard(counts)
     end = scored.filter(F.length("word") == 0).first()
@@ -498,13 +525,13 @@ def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
         number = np.frombuffer(data, "<u4", int(size.sum()), 8 + 18 * n)
         most = len(words)
         k = np.concatenate([words["k"].to_numpy(), [most]])
-        told = unpack_told([*words["told"], end_told])
+        told = unpack_told([*words["told"], end_told], KINDS)
         spelling, width, n = (np.empty_like(x) for x in told)
         spelling[k], width[k], n[k] = told
         c = n.sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             frequency = np.log((n + lean * (c / max(every, 1))[:, None]) / (by_kind + lean))
-        logs = np.concatenate([spelling[:, None], np.where(c[:, None] > 0, frequency, NEVER)], axis=1)
+        logs = np.concatenate([spelling, np.where(c[:, None] > 0, frequency, NEVER)], axis=1)
         base = np.log10((c + 1) / (every + distinct + 1))
         known_, total, score, n_bytes = (np.zeros(len(size)) for _ in range(4))
         for first, last, begin, stop in runs_of(size):
