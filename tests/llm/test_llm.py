@@ -538,6 +538,17 @@ def test_pipeline_stages(spark, sf_dir, docs, texts):
     assert 0 < len({r["doc_id"] for r in whole}) < len(texts)
 
 
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_by_their_texts(spark):
+    texts = [" ".join(f"{w}{i}{k}" for k in range(30)) for i, w in enumerate(["red", "blue", "green", "gold", "grey", "pink"])]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (4, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (9, texts[5])]
+    got = simhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (4, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, texts[5])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    rows = [(None, ITEMS[0][1]), (None, texts[0]), (7, ITEMS[0][1]), (7, texts[1]), (8, None)]
+    got = decontaminate.drop_leaked(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, texts[0]), (7, texts[1]), (8, None)]))
+
+
 def test_pipeline_edge_rows(spark, sf_dir, odd):
     for df in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:

@@ -229,6 +229,16 @@ def consistent(pairs: list[tuple[str, str, str]]) -> float:
 FOUND = "doc_id long, item_id long, tokens int, share double, consistent double"
 
 
+def _item_blocks(benchmark: DataFrame) -> Iterator:
+    """The benchmark's items in broadcasts of about ITEMS_AT_ONCE."""
+    spark = benchmark.sparkSession
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    for k in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, tokens, share, consistent) of every benchmark item found in ``docs(doc_id, text)``.
 
@@ -237,13 +247,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     is sent is bounded whatever the number of items; documents are not shuffled. Other columns are not
     read.
     """
-    spark = docs.sparkSession
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
     found = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()])
+    for rows in _item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(rows.value)
@@ -259,6 +264,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of ``docs`` for the rows in which no benchmark item is found; rows without an id stay."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__wl_id")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("__wl_id"), "left_anti")
+    """All columns of ``docs`` for the rows in which no benchmark item is found.
+
+    Every row is judged by its own text, whatever its id; nothing is joined or shuffled.
+    """
+    schema, at = docs.schema, docs.columns.index("text")
+    for rows in _item_blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(rows.value)
+            for batch in batches:
+                clean = [not (t and index.passages(t)) for part in text_batches((None, t) for t in batch.column(at).to_pylist()) for _, t in part]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

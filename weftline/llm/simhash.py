@@ -57,16 +57,16 @@ def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprint_rows(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row of ``docs(doc_id, text)``."""
+def fingerprint_rows(docs: DataFrame, shingle: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long) of every row of ``docs(doc_id, text)``, with the long columns ``carried``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [fingerprints([t for _, t in part], shingle) for part in text_batches((None, t) for t in batch.column(1).to_pylist())]
             fp = np.concatenate(got) if got else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in carried))
 
 
 def _first_word(x: np.ndarray) -> np.ndarray:
@@ -214,6 +214,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, least (its least doc_id) and root (the name of its component) of every fingerprint of ``rows(doc_id, fp)``."""
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    links = tile_links(rows.select("fp").distinct(), radius)
+    found = components(links)
+    return first.join(found, first.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs(doc_id, text)``.
 
@@ -222,22 +230,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     Repeated rows are answered each. Other columns are not read.
     """
     rows = materialise(fingerprint_rows(docs, shingle), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = tile_links(rows.select("fp").distinct(), radius)
-    found = components(links)
-    rooted = first.join(found, first.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows, radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """All columns of ``docs``, one document of each component: the one with the least doc_id.
+    """All columns of ``docs``, one row of each component: the one with the least doc_id, then the least text hash.
 
-    Rows that repeat a doc_id are one document here, and one of them stays. Of rows without an id one
-    stays, if no row of its component has an id.
+    Rows without an id come last. A row is told by its id and two 64-bit hashes of its text, so different
+    texts that share an id, or have none, are different documents; rows alike in both are one.
     """
-    found = near_duplicates(docs, shingle, radius)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__wl_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__wl_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    own = ["__wl_h1", "__wl_h2"]
+    told = docs.withColumn(own[0], F.xxhash64("text")).withColumn(own[1], F.xxhash64(F.lit(1), "text"))
+    rows = materialise(fingerprint_rows(told, shingle, tuple(own)), "fingerprints")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", *own)).alias("first")
+    stay = rows.join(_rooted(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(first)
+    stay = stay.select(F.col("first.doc_id").alias("__wl_id"), *[F.col(f"first.{c}").alias(f"{c}_stay") for c in own])
+    same = [F.col(c) == F.col(f"{c}_stay") for c in own]
+    kept = told.join(stay, [F.col("doc_id").cast("long").eqNullSafe(F.col("__wl_id")), *same], "left_semi")
+    return kept.dropDuplicates(["doc_id", *own]).drop(*own)
