@@ -356,6 +356,30 @@ def test_chunks_give_the_tokenizers_ids(path, splitter, texts):
     assert got == _ids(path, values)
 
 
+@pytest.mark.parametrize("path,splitter", [(BYTE, "spaces"), (WORD, "words"), (BYTE, "none")])
+def test_added_tokens_are_matched_as_by_an_unmodified_tokenizer(path, splitter, texts):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(4)
+    parts = ["a", "É", " ", "  ", "\n", "'s", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "1", "İ"]
+    values = ["x <|endoftext|> y", *texts.values(), *(t or "" for t in ODD), *("".join(rng.choice(parts, rng.integers(0, 10))) for _ in range(2000))]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([v or "" for v in values], add_special_tokens=False)]
+    e = tokens.ChunkEncoder(path, splitter, tokens.character_classes(), added=True)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(values)] == want
+
+
+def test_packing_and_files_hold_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "x <|endoftext|> y"), (2, "a<|startoftext|>b"), (3, "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    crc = lambda path: {d: zlib.crc32(np.array([*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for d, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(docs, BYTE, "spaces", 2).collect()} == crc(BYTE)
+    place = f"file://{tmp_path}/ids"
+    got = id_files.read_id_files(spark, place, id_files.write_id_files(docs, place, WORD, "words", end_id=2))
+    assert {r["doc_id"]: r["ids_crc32"] for r in got.collect()} == crc(WORD)
+
+
 def _check_pack(rows, ids, capacity):
     for doc, pieces in _by(rows, "doc_id").items():
         pieces.sort(key=lambda r: r["piece"])

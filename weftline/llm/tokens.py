@@ -115,14 +115,19 @@ class ChunkEncoder:
     ``splitter`` says which cuts are safe: ``words`` for tokenizers that lower-case, drop white space and
     take runs of letters, single numbers and runs of other characters; ``spaces`` for byte-level ones
     that take the same runs with a single space before them; ``none`` for any other (never cut).
+    With ``added`` the strings of added tokens are matched in texts, as the tokenizer does by itself:
+    texts that hold one are encoded uncut. Without it they are ordinary text.
     """
 
-    def __init__(self, path: str, splitter: str, classes: np.ndarray) -> None:
+    def __init__(self, path: str, splitter: str, classes: np.ndarray, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        kept = self.tokenizer.get_added_tokens_decoder().values() if added else ()
+        self.added = [t.content for t in kept if not t.normalized]
+        self.added_after = [t.content for t in kept if t.normalized]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.chunks = Chunks(classes, splitter)
         self._forget()
@@ -150,13 +155,23 @@ class ChunkEncoder:
         self.used = need
         self.place.update(zip(hashes, range(n, n + len(got)), strict=True))
 
+    def holds_added(self, text: str) -> bool:
+        """Whether a text holds an added token's string, before or, where the token asks for it, after normalisation."""
+        if any(x in text for x in self.added):
+            return True
+        if not self.added_after:
+            return False
+        normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        norm = normalise(text)
+        return any(normalise(x) in norm for x in self.added_after)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; a null text counts as empty."""
         out = [b""] * len(texts)
         cut, uncut = [], []
         for i, text in enumerate(texts):
             if text:
-                (uncut if self.chunks.whole(text) else cut).append(i)
+                (uncut if self.chunks.whole(text) or self.holds_added(text) else cut).append(i)
         run: list[int] = []
         n = 0
         for i in [*cut, None]:
@@ -209,7 +224,7 @@ def worker_encoder(path: str, splitter: str, classes: np.ndarray) -> ChunkEncode
     kept = tokenizers.__dict__.setdefault("_kept_by_worker", {})
     if (path, splitter) not in kept:
         kept.clear()
-        kept[path, splitter] = ChunkEncoder(path, splitter, classes)
+        kept[path, splitter] = ChunkEncoder(path, splitter, classes, added=True)
     return kept[path, splitter]
 
 
