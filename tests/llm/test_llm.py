@@ -169,6 +169,29 @@ def test_reparameterised_questions(spark, text, want):
     assert [r["item_id"] for r in got.collect()] == want
 
 
+SHORT = [
+    (11, "What is 12 + 15 + 18 + 22 + 31?"), (12, "Who wrote the old book?"), (13, "7 8 9"),
+    (14, "Table: 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg 10 kg"), (15, "the quick brown fox jumps over the lazy dog while every small bird sings along beneath an open window today"),
+]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Before it. What is 12 + 15 + 18 + 22 + 31? After it", [11]),
+    ("What is 12 + 15 + 18 + 22 + 32?", []),
+    ("they asked WHO WROTE THE OLD BOOK, and left", [12]),
+    ("Who wrote this old book?", []),
+    ("7 8 9", [13]),
+    ("sizes 7 8 9 are in stock", []),
+    ("see table: 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg 10 kg here", [14]),
+    ("so the quick brown fox jumps over the lazy dog while happily every small bird sings along beneath an open window today", [15]),
+    ("so the quick brown fox jumps over the lazy dog every small bird sings along beneath an open window today", [15]),
+    ("the quick brown fox jumps over the lazy dog while he slept, and nothing else of it was ever told in that small house", []),
+])
+def test_short_number_dense_and_edited_items(spark, text, want):
+    got = decontaminate.find_leaks(spark.createDataFrame([(5, text)], "doc_id long, text string"), spark.createDataFrame(SHORT, "item_id long, text string"))
+    assert [r["item_id"] for r in got.collect()] == want
+
+
 def test_slots_must_agree():
     assert decontaminate.consistent([("12", "7", "n"), ("12", "7", "n")]) == 1.0
     assert decontaminate.consistent([("12", "7", "n"), ("12", "9", "n")]) == 0.5

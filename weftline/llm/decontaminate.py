@@ -3,7 +3,9 @@
 Numbers, names and units are replaced by typed placeholders, so a question and its copies with other
 figures have one template. Every window of eight template tokens of every benchmark item is hashed; the
 windows of a document are looked up among them. Windows that match on one diagonal (document place less
-item place) form a passage. Within a passage the slots must be consistent: each value of the item stands
+item place) form a passage. Where no diagonal alone is enough, the item is aligned with the stretch around
+its windows, so that inserted or deleted words do not hide a copy. Items whose windows cannot tell (too
+short, or mostly numbers, names and units) are found by all their literal values in a row. Within a passage the slots must be consistent: each value of the item stands
 for one value in the document and back, as renaming does and chance does not.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,10 @@ LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 LEAST_WORDS = 4
 #: share of a passage's slots that must agree with one renaming of values
 LEAST_CONSISTENT = 0.8
+#: tokens that may be inserted or deleted between two parts of a copy
+EDITS = 4
+#: items of fewer tokens are found only where they are a whole text: one or two words stand anywhere
+LEAST_INSIDE = 4
 #: benchmark items compared at a time; more are worked off in blocks of as many
 ITEMS_AT_ONCE = 50_000
 MOST_KEPT = 400_000
@@ -82,13 +89,17 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {NUMBER: 1, NAME: 2, UNIT: 3}
         self.items = []
+        self.exact: dict[tuple[str, ...], dict[int, dict[tuple[str, ...], list[int]]]] = {}
+        self.least = WINDOW
         for i, text in items:
             forms = [template(text or "", True), template(text or "", False)]
             self.items += [(i, *form) for form in (forms if forms[0] != forms[1] else forms[:1])]
         hashes, where = [], []
         for n, (_, tokens, _) in enumerate(self.items):
             ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens], np.int64)
-            for at, h in enumerate(self.windows(ids)):
+            held = self.windows(ids)
+            self._add_exact(n, held)
+            for at, h in enumerate(held):
                 if h:
                     hashes.append(h)
                     where.append((n, at))
@@ -100,6 +111,19 @@ class ItemIndex:
         self.pairs = np.unique(np.array([a << 32 | b for ids in codes for a, b in zip(ids, ids[1:], strict=False)], np.int64))
         self.slots = {t for _, tokens, _ in self.items for t in tokens} & {NUMBER, NAME, UNIT}
 
+    def _add_exact(self, n: int, held: np.ndarray) -> None:
+        """Keep the literal values of an item that no copy of it could be told by from its windows."""
+        item, tokens, values = self.items[n]
+        covered = np.zeros(len(tokens) + 1, bool)
+        for at in np.flatnonzero(held).tolist():
+            covered[at : at + WINDOW] = True
+        places = np.flatnonzero(covered).tolist()
+        if values and _longest_run(places) < LEAST_TOKENS and len(places) < LEAST_SHARE * len(tokens):
+            same = self.exact.setdefault(tuple(values[:LEAST_INSIDE]), {}).setdefault(len(values), {}).setdefault(tuple(values), [])
+            if item not in same:
+                same.append(item)
+            self.least = min(self.least, len(values))
+
     @staticmethod
     def windows(ids: np.ndarray) -> np.ndarray:
         """A hash for every window of ids; 0 where an id is unknown or too few are words."""
@@ -129,6 +153,8 @@ class ItemIndex:
             forms.append(template(text, False))
         for tokens, values in forms:
             self._match(tokens, values, best)
+        if self.exact:
+            self._match_exact(forms[0][1], best)
         return sorted(best.values())
 
     def _match(self, tokens: list[str], values: list[str], best: dict[int, tuple[int, int, float, float]]) -> None:
@@ -138,6 +164,7 @@ class ItemIndex:
         right = np.searchsorted(self.hashes, h, side="right")
         hit = np.flatnonzero((h > 0) & (right > left))
         runs: dict[tuple[int, int], list[int]] = {}
+        near: dict[int, list[int]] = {}
         for at in hit.tolist():
             for n, place in self.where[left[at] : right[at]].tolist():
                 runs.setdefault((n, at - place), []).append(at)
@@ -154,9 +181,52 @@ class ItemIndex:
             told = (item, len(places), min(share, 1.0), agree)
             if (longest >= LEAST_TOKENS or share >= LEAST_SHARE) and agree >= LEAST_CONSISTENT and (item not in best or best[item][1:] < told[1:]):
                 best[item] = told
+            elif longest < LEAST_TOKENS and share < LEAST_SHARE:
+                near.setdefault(n, []).append(shift)
+        for n, shifts in near.items():
+            if self.items[n][0] not in best:
+                self._align(n, sorted(shifts), tokens, values, best)
+
+    def _align(self, n: int, shifts: list[int], tokens: list[str], values: list[str], best: dict[int, tuple[int, int, float, float]]) -> None:
+        """Align an item with the stretches of a text around its diagonals, over inserted and deleted tokens.
+
+        It is found if its parts, in order, make up the share of it that counts, or if parts of a window
+        or more, at most EDITS tokens apart, have the tokens that count.
+        """
+        item, item_tokens, item_values = self.items[n]
+        end = None
+        for shift in shifts:
+            if end is not None and shift <= end:
+                continue
+            end = shift + EDITS
+            low, high = max(0, shift - EDITS), min(len(tokens), end + len(item_tokens) + EDITS)
+            parts = [b for b in SequenceMatcher(None, item_tokens, tokens[low:high], autojunk=False).get_matching_blocks() if b.size > 1]
+            longest = run = 0
+            before = None
+            for b in (b for b in parts if b.size >= WINDOW):
+                close = before is not None and b.a - before.a - before.size <= EDITS and b.b - before.b - before.size <= EDITS
+                run, before = b.size + (run if close else 0), b
+                longest = max(longest, run)
+            places = [(b.a + k, low + b.b + k) for b in parts for k in range(b.size)]
+            share = len(places) / len(item_tokens)
+            agree = consistent([(item_values[i], values[p], item_tokens[i]) for i, p in places if item_tokens[i] in (NUMBER, NAME, UNIT)])
+            told = (item, len(places), share, agree)
+            if (longest >= LEAST_TOKENS or share >= LEAST_SHARE) and agree >= LEAST_CONSISTENT and (item not in best or best[item][1:] < told[1:]):
+                best[item] = told
+
+    def _match_exact(self, values: list[str], best: dict[int, tuple[int, int, float, float]]) -> None:
+        """Items kept by their literal values: anywhere in a text, those under LEAST_INSIDE tokens as the whole text."""
+        whole = tuple(values)
+        found = dict.fromkeys(self.exact.get(whole, {}).get(len(whole), {}).get(whole, ()), len(whole))
+        for at, start in enumerate(zip(*[values[k:] for k in range(LEAST_INSIDE)], strict=False)):
+            for size, same in self.exact.get(start, {}).items():
+                found.update(dict.fromkeys(same.get(tuple(values[at : at + size]), ()), size))
+        for item, size in found.items():
+            if item not in best:
+                best[item] = (item, size, 1.0, 1.0)
 
     def may_match(self, text: str) -> bool:
-        """Whether the text has a run of tokens as long as a window in which any two neighbours are neighbours in an item.
+        """Whether the text has a run of tokens as long as a window, or as the shortest item kept by its values, in which any two neighbours are neighbours in an item.
 
         Most texts are told off by this, from what is remembered of their white-space separated parts.
         """
@@ -183,7 +253,7 @@ class ItemIndex:
         # Runs end before a part that cannot follow the one before it, and at parts no window can hold.
         ends = np.flatnonzero(np.concatenate([[True], apart | gone[1:] | gone[:-1], [True]]))
         total = np.concatenate([[0], np.cumsum(size)])
-        return bool(np.diff(total[ends]).max() >= WINDOW)
+        return bool(np.diff(total[ends]).max() >= self.least)
 
     def _part(self, part: str) -> int:
         """The number of the word that a part of a text is; less its tokens if it is more than a word or
@@ -242,7 +312,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, tokens, share, consistent) of every benchmark item found in ``docs(doc_id, text)``.
 
-    Null and empty texts hold nothing, and items shorter than a window cannot be found. Repeated rows are
+    Null and empty texts hold nothing, and items under LEAST_INSIDE tokens are found as whole texts only. Repeated rows are
     answered each. The benchmark is worked off in blocks of ITEMS_AT_ONCE items, each broadcast, so what
     is sent is bounded whatever the number of items; documents are not shuffled. Other columns are not
     read.
