@@ -1,562 +1,843 @@
-"""Language-model scores by logistic context mixing.
-
-A text is coded as its words, lower-cased, each ended by a space, and a last empty word. A byte is coded
-as a path of binary decisions in a Huffman tree. For every decision five hashed contexts (the last one,
-two, three and four bytes, and the whole word so far) each predict a bit from corpus counts; a mixer adds
-their log-odds with weights chosen by a gate, and an adaptive probability map refines the sum. The
-weights are learned online, decision by decision, over a bounded sample of the training texts, with each
-occurrence taken out of the counts that predict it.
-
-Contexts are told apart by kinds of text (the four-byte one is shared): a mixture of unigrams, fitted to
-the sample, sorts every training text into one of four kinds, and counts are kept for each. All contexts
-end at the word's beginning, so the probability of a word's spelling is worked out once for each distinct
-word of the corpus and each kind. Over a text, eight experts (for each kind the spelling of the word and
-its frequency) are weighed online: a text's weights start alike and follow what has been seen of it so
-far. The counts cover every training text, whatever the size.
+"""Language-model scores by online logistic context mixing.
+
+A text is coded as its words, lower-cased, each ended by a space, and a last empty word. A byte is coded as
+a path of binary decisions in a prefix code chosen by the two bytes before it. For every decision four
+hashed contexts each predict the bit: the last two bytes and the last four bytes of the word, the whole word
+so far, and the running bytes (at a word's beginning those of the word before, later the last six). Every
+context holds how often the bit was 0 and 1 in the training texts. A mixer adds the log-odds with weights
+that a gate chooses (which contexts have been seen, and how far the code has come), an adaptive map refines
+the sum, and both go on learning along the text that is scored.
+
+Counts, weights and map are fitted to all training texts. What a decision sees of the text ends with the
+word before, so the counts of words, and of word beginnings after the ends of words, are all that fitting
+needs: every pass over them is a pass over every decision of every training text. An occurrence that is
+itself counted is taken out of the counts that predict it.
+
+Long stretches that the corpus holds elsewhere are told by chunks: texts are cut where two neighbouring
+words hash to a mark, and the chunk that comes next is predicted as a whole by how often the corpus has it
+after the chunk before; that prediction is mixed with the bits' one by its success in the text so far. The
+tables of words and chunks grow with the corpus and stay distributed; the hashed tables grow with the number
+of distinct words up to 2^22 slots.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, least_hashed, materialise
-
-#: documents and characters of text in a block, rows sent to Spark at a time
-BLOCK_DOCS, BLOCK_BYTES, ROWS_SENT = 8192, 16_000_000, 20_000
-#: bits of the tables of the five contexts, decisions counted at a time, slots in a piece of a table
-TABLE_BITS, FLUSH = (16, 18, 20, 20, 22), 400_000
-PIECE = 1 << 16
-#: training texts in the sample that teaches kinds and mixers, characters of each; those that teach the mixer
-SAMPLE_DOCS, SAMPLE_CHARS, TEACHING_DOCS = 1200, 6000, 300
-#: kinds of text, words that tell them apart
-KINDS, KIND_WORDS = 4, 4000
-NEVER = -1e9
-SMOOTH = 0.4
-END = 0x20
-WORDS_AT_ONCE, TOKENS_AT_ONCE = 2_500, 100_000
-#: tokens between two corrections of a text's weights: few at first, then as many as the last number
-SEGMENTS = (2, 2, 4, 8, 16, 32, 64)
+from .common import materialise
+
+SPACE = 0x20
+#: hashed contexts; with the bias, the inputs of the mixer
+CONTEXTS = 4
+WIDTH = CONTEXTS + 1
+#: bytes of a word that the running context sees together with the end of the word before
+ACROSS = 3
+#: sets of weights; classes and steps of the map; what a seen running context adds to the gate
+GATES, CLASSES, STEPS, SEEN = 24, 8, 33, 4
+#: log-odds are kept in sixteenths; counts start with so much of each bit
+LEVELS, SMOOTH = 16.0, 0.4
+#: slots of a table, as a power of two; slots in a piece that is sent
+LEAST_BITS, MOST_BITS, PIECE = 16, 22, 1 << 16
+#: pairs of bytes with a code of their own
+MOST_PAIRS = 1024
+#: passes of Newton's method over all training texts
+ROUNDS = 2
+#: tokens between two corrections of a text's weights; how fast weights and map follow a text
+SEGMENT, RATE, MAP_RATE = 16, 0.0005, 0.02
+#: bytes of texts handled together: held at a time, while words are cut, and while decisions are mixed
+POOL_BYTES, WORDS_BYTES, BATCH_BYTES = 8_000_000, 250_000, 400_000
+#: bits of hash that mark the beginning of a chunk: one word in 32
+CHUNK_BITS = 5
+#: the commonest words, at most so many, are looked up in a broadcast; the others by a join
+MOST_COMMON = 1 << 20
 LOG2_10 = float(np.log2(10))
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text: A-Z lower-cased, cut at ASCII white space."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+_RNG = np.random.default_rng(20240607)
+_VALUE = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
+_PLACE = _RNG.integers(0, 1 << 63, (2, 4096), dtype=np.uint64) * _U(2) + _U(1)
+_ODD = _RNG.integers(0, 1 << 31, 16, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def stream_of(text: str | None) -> bytes:
+    """The coded bytes of a text: A-Z lower-cased, cut at ASCII white space, a space after every word and one for the end."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return b" ".join([*words, b"", b""]) if words else b" "
+
+
+def _summed(data: np.ndarray, place: np.ndarray, lane: int) -> np.ndarray:
+    """Running sums of a random number for every byte and place; the first is zero."""
+    value = _VALUE[lane][data]
+    value *= _PLACE[lane][place & 4095]
+    if place.max(initial=0) >= 4096:
+        value ^= (place >> 12).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return total
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte value its code length and, row by row, the nodes on its path and the bits taken."""
-    heap = [(float(n), i) for i, n in enumerate(counts + 1e-3)]
+def _finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> _U(31)) * _U(0xBF58476D1CE4E5B9)
+    return h ^ h >> _U(29)
+
+
+class Tokens:
+    """The tokens of some streams: where each begins and ends (at its space), and how many each stream has."""
+
+    def __init__(self, streams: list[bytes]) -> None:
+        self.data = np.frombuffer(b"".join(streams), np.uint8)
+        self.end = np.flatnonzero(self.data == SPACE)
+        self.start = np.concatenate([[0], self.end[:-1] + 1])
+        limit = np.cumsum(np.fromiter(map(len, streams), np.int64, len(streams)))
+        self.many = np.diff(np.searchsorted(self.end, limit), prepend=0)
+        self.first = np.cumsum(self.many) - self.many
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each token."""
+        width = self.end - self.start
+        place = np.arange(len(self.data)) - np.repeat(self.start, width + 1)
+        long = width.astype(np.uint64) * _U(0x9FB21C651E98DF25)
+        first, second = (_finished(total[self.end] - total[self.start] + long) for total in (_summed(self.data, place, lane) for lane in range(2)))
+        return first, second
+
+    def tails(self) -> np.ndarray:
+        """The last two bytes before the space before each token; spaces at a text's beginning."""
+        padded = np.concatenate([np.full(3, SPACE, np.uint8), self.data])
+        tail = padded[self.start].astype(np.uint32) << np.uint32(8) | padded[self.start + 1]
+        tail[self.first] = SPACE << 8 | SPACE
+        return tail
+
+    def beginnings(self) -> np.ndarray:
+        """The first ACROSS bytes of each token and its space, as a number; zeros after the space."""
+        padded = np.concatenate([self.data, np.zeros(ACROSS, np.uint8)])
+        out = np.zeros(len(self.start), np.int64)
+        for k in range(ACROSS):
+            out = out << 8 | np.where(self.start + k <= self.end, padded[self.start + k], 0)
+        return out
+
+    def words(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of some tokens with their spaces, one after the other, and the length of each."""
+        size = self.end[which] - self.start[which] + 1
+        return self.data[ranges(self.start[which], size)], size
+
+
+def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs of hashes: a member of each class, the class of every row, and the classes' sizes."""
+    order = np.argsort(h1, kind="stable")
+    if ((h1[order][1:] == h1[order][:-1]) & (h2[order][1:] != h2[order][:-1])).any():
+        order = np.lexsort((h2, h1))
+    a, b = h1[order], h2[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return order[at], which, np.diff(np.concatenate([at, [len(order)]]))
+
+
+Code = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def make_code(trigrams: np.ndarray, counts: np.ndarray) -> Code:
+    """A prefix code of bytes for each of the commonest pairs of bytes before, or else for the byte before.
+
+    ``trigrams`` are three bytes as one number, with their counts. Returned are the code of every pair of
+    bytes, and for every code and byte the length and the bits of its path after a leading one. The code
+    decides what the binary decisions are, and not what they cost.
+    """
+    first = np.zeros((256, 256))
+    np.add.at(first, (trigrams >> 8 & 255, trigrams & 255), counts)
+    pairs, which = np.unique(trigrams >> 8, return_inverse=True)
+    many = np.bincount(which, counts, len(pairs))
+    picked = pairs[np.lexsort((pairs, -many))[:MOST_PAIRS]]
+    tree = np.tile(np.arange(256, dtype=np.int64), 256)
+    tree[picked] = 256 + np.arange(len(picked))
+    rows = np.concatenate([first, np.zeros((len(picked), 256))])
+    own = tree[trigrams >> 8] >= 256
+    np.add.at(rows, (tree[trigrams[own] >> 8], trigrams[own] & 255), counts[own])
+    every = first.sum(axis=0) + 1e-3
+    length, path = np.zeros(rows.shape, np.int64), np.zeros(rows.shape, np.uint32)
+    for t, row in enumerate(rows):
+        weight = row + 0.02 * max(row.sum(), 1) * every / every.sum()
+        length[t], path[t] = prefix_code(np.maximum(weight / weight.sum(), 2.0**-18))
+    return tree, length, path
+
+
+def prefix_code(weight: np.ndarray) -> tuple[list[int], list[int]]:
+    """Huffman's code of 256 weights: lengths, and the bits of each path after a leading one."""
+    heap = [(w, i) for i, w in enumerate(weight.tolist())]
     heapq.heapify(heap)
-    up: dict[int, tuple[int, int]] = {}
+    up = [(0, 0)] * 511
     for new in range(256, 511):
         (n0, a), (n1, b) = heapq.heappop(heap), heapq.heappop(heap)
         up[a], up[b] = (new, 0), (new, 1)
         heapq.heappush(heap, (n0 + n1, new))
-    paths = []
-    for s in range(256):
-        path, at = [], s
-        while at in up:
-            at, bit = up[at]
-            path.append((at - 256, bit))
-        paths.append(path[::-1])
-    length = np.array([len(p) for p in paths])
-    nodes, bits = np.zeros((256, length.max()), np.int64), np.zeros((256, length.max()), np.int8)
-    for s, path in enumerate(paths):
-        for i, (node, bit) in enumerate(path):
-            nodes[s, i], bits[s, i] = node, bit
-    return length, nodes, bits
-
-
-def decisions(words: list[bytes], code: tuple, kind: np.ndarray | int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions that spell the words of given kinds: slot in each table, bit, word number, place in the word."""
-    length, nodes, bits = code
-    data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    word = np.repeat(np.arange(len(words)), size)
-    start = (np.cumsum(size) - size)[word]
-    place = np.arange(len(data)) - start
-
-    def back(k: int) -> np.ndarray:
-        shifted = np.concatenate([np.full(k, END, np.uint8), data[:-k]])[: len(data)]
-        return np.where(place >= k, shifted, END if k == 1 else 0).astype(np.uint64)
-
-    b1, b2, b3, b4 = back(1), back(2), back(3), back(4)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(data), _BASE, np.uint64))
-        inverse = np.cumprod(np.full(len(data), pow(_BASE, -1, 1 << 64), np.uint64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + _U(1)) * _U(0xD6E8FEB86659FD93) * power)])
-        at = np.arange(len(data))
-        prefix = (total[at] - total[start]) * inverse[start]
-        of_kind = _U(kind) if np.isscalar(kind) else kind.astype(np.uint64)[word]
-        own = (np.ones(1, np.uint64) + of_kind) * _U(0xA24BAED4963EE407)
-        contexts = [b1, b1 | b2 << _U(8), b1 | b2 << _U(8) | b3 << _U(16), b1 | b2 << _U(8) | b3 << _U(16) | b4 << _U(24), prefix]
-        contexts = [c if k == 3 else c ^ own for k, c in enumerate(contexts)]
-        of = np.repeat(at, length[data])
-        step = np.arange(len(of)) - np.repeat(np.cumsum(length[data]) - length[data], length[data])
-        node = nodes[data[of], step].astype(np.uint64)
-        slots = []
-        for k, (context, width) in enumerate(zip(contexts, TABLE_BITS, strict=True)):
-            h = (context[of] + _U(k + 1)) * _U(0xBF58476D1CE4E5B9) ^ (node + _U(1)) * _U(0x94D049BB133111EB)
-            h = (h ^ h >> _U(31)) * _U(0x9E3779B97F4A7C15)
-            slots.append((h >> _U(64 - width)).astype(np.int64))
-    return slots, bits[data[of], step], word[of], np.minimum(place[of], 4)
-
-
-class Mixer:
-    """Gated weights over the log-odds of the contexts, and the map that refines their sum."""
-
-    INPUTS = len(TABLE_BITS) + 1
-    GATES = 4 * 5
-    STEPS, SPAN = 33, 8.0
-
-    def __init__(self, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> None:
-        self.weights = np.full((self.GATES, self.INPUTS), 0.3, np.float64) if weights is None else weights
-        grid = np.linspace(-self.SPAN, self.SPAN, self.STEPS)
-        self.refined = np.tile(1 / (1 + np.exp(-grid)), (4, 1)) if refined is None else refined
-
-    @staticmethod
-    def inputs(n0: list[np.ndarray], n1: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.ones((len(place), Mixer.INPUTS), np.float32)
-        for k, (a, b) in enumerate(zip(n0, n1, strict=True)):
-            x[:, k] = np.log((b + SMOOTH) / (a + SMOOTH))
-        seen = n0[-1] + n1[-1]
-        known = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 40)
-        x[:, -1] = 0.3
-        return x, known * 5 + place
-
-    def _sum(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, self.weights[gate]).clip(-self.SPAN, self.SPAN)
-
-    def _map(self, s: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = (s + self.SPAN) * ((self.STEPS - 1) / (2 * self.SPAN))
-        low = np.minimum(at.astype(np.int64), self.STEPS - 2)
-        part = at - low
-        return self.refined[known, low] * (1 - part) + self.refined[known, low + 1] * part, low, part
-
-    def bits(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """Bits that each decision costs."""
-        s = self._sum(x, gate)
-        p = (1 / (1 + np.exp(-s)) + self._map(s, gate // 5)[0]) / 2
-        return -np.log2(np.where(bit == 1, p, 1 - p))
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float = 0.05, batch: int = 96) -> None:
-        """One online pass in order: predict a few decisions, then correct the weights and the map."""
-        for i in range(0, len(bit), batch):
-            xs, g, y = x[i : i + batch], gate[i : i + batch], bit[i : i + batch]
-            s = self._sum(xs, g)
-            np.add.at(self.weights, g, rate * (y - 1 / (1 + np.exp(-s)))[:, None] * xs)
-            p, low, part = self._map(s, g // 5)
-            np.add.at(self.refined, (g // 5, low + (part > 0.5)), 0.02 * (y - p))
-        self.refined = self.refined.clip(1e-4, 1 - 1e-4)
-
-
-COUNTS = [f"n{k}" for k in range(KINDS)]
-BLOCKS = "block long, part int, word binary, k int, payload binary, " + ", ".join(f"{c} long" for c in COUNTS)
-
-
-def fit_kinds(texts: list[str]) -> dict[bytes, np.ndarray]:
-    """Log-probabilities of telling words under each kind: a mixture of unigrams by expectation and maximisation."""
-    bags = [Counter(words_of(t)) for t in texts]
-    total: Counter = Counter()
-    for bag in bags:
-        total.update(bag)
-    telling = sorted(total, key=lambda w: (-total[w], w))[:KIND_WORDS]
-    at = {w: i for i, w in enumerate(telling)}
-    x = np.zeros((len(bags), len(telling)))
-    for i, bag in enumerate(bags):
-        for w in bag.keys() & at.keys():
-            x[i, at[w]] = bag[w]
-    if not len(telling):
-        return {}
-    # Starting points: texts unlike each other in their words, the first being like most.
-    near = np.minimum(x, 1) / np.maximum(np.sqrt(np.minimum(x, 1).sum(axis=1, keepdims=True)), 1)
-    like = near @ near.T
-    picks = [int(like.sum(axis=1).argmax())]
-    rich = x.sum(axis=1) >= np.median(x.sum(axis=1))
-    while len(picks) < KINDS:
-        picks.append(int(np.where(rich, like[:, picks].max(axis=1), 9).argmin()))
-    belong = like[:, picks].argmax(axis=1)
-    share = np.eye(KINDS)[belong]
-    for _ in range(20):
-        words = share.T @ x + 0.05
-        logs = np.log(words / words.sum(axis=1, keepdims=True))
-        fit = x @ logs.T + np.log(share.mean(axis=0) + 1e-6)
-        share = np.exp(fit - fit.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-    return {w: logs[:, i] for w, i in at.items()}
-
-
-def kind_of(text: str, kinds: dict[bytes, np.ndarray]) -> int:
-    """The kind that a text's telling words are likeliest in."""
-    return int(sum((kinds[w] for w in words_of(text) if w in kinds), np.zeros(KINDS)).argmax())
-
-
-def runs_of(size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Runs of texts of about TOKENS_AT_ONCE tokens: first text, the one after the last, first token, the one after the last."""
-    stop, first = np.cumsum(size), 0
-    while first < len(size):
-        begin = int(stop[first] - size[first])
-        last = max(first + 1, int(np.searchsorted(stop, begin + TOKENS_AT_ONCE)))
-        yield first, last, begin, int(stop[last - 1])
-        first = last
-
-
-def blocks_of(docs: DataFrame, learnable: Column, kinds: dict[bytes, np.ndarray]) -> DataFrame:
-    """Documents in blocks of bounded size.
-
-    A block has a row (part 0) for each of its distinct words, with the word's number and its training
-    counts by kind, and one row (part 1) that holds the block's texts as word numbers.
+    path, size = [1] * 511, [0] * 511
+    for at in range(509, -1, -1):
+        parent, bit = up[at]
+        path[at], size[at] = path[parent] << 1 | bit, size[parent] + 1
+    return size[:256], path[:256]
+
+
+def _hashed(context: np.ndarray, node: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    h = context + node
+    h ^= h >> np.uint32(15)
+    h *= _ODD[salt]
+    h ^= h >> np.uint32(13)
+    h *= _ODD[salt + 1]
+    return (h >> np.uint32(32 - bits)).astype(np.int64)
+
+
+def _back(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The byte of the same word k bytes before each byte, a space where there is none."""
+    out = np.full(len(data), SPACE, data.dtype)
+    out[k:] = data[: max(len(data) - k, 0)]
+    out[place < k] = SPACE
+    return out
+
+
+class Spelling:
+    """The decisions that spell some words, each word with its space, one word after the other.
+
+    ``bit`` and ``level`` (decisions of the byte before this one, 2 at most) say what is decided; ``slots``
+    has a slot of each table. A running context that looks across words is left open: ``across`` says
+    where, and ``running`` finishes it with the end of the word before.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", learnable.alias("learn"))
-    shared = docs.sparkSession.sparkContext.broadcast(kinds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def __init__(self, data: np.ndarray, size: np.ndarray, code: Code, bits: list[int]) -> None:
+        self.bits = bits
+        start = np.cumsum(size) - size
+        place = np.arange(len(data)) - np.repeat(start, size)
+        wide = data.astype(np.uint32)
+
+        b1, b2, b3, b4, b5, b6 = (_back(wide, place, k) for k in range(1, 7))
+        two = b2 << np.uint32(8) | b1
+        four = b4 << np.uint32(24) | b3 << np.uint32(16) | two
+        six = four ^ (b6 << np.uint32(8) | b5) * _ODD[0]
+        total = _summed(data, place, 0)
+        prefix = total[:-1] - np.repeat(total[start], size)
+        prefix = (prefix >> _U(32)).astype(np.uint32) ^ prefix.astype(np.uint32)
+        trees, lengths, paths = code
+        tree = trees[two]
+        symbol = tree * 256 + data
+        length, path = lengths.ravel()[symbol], paths.ravel()[symbol]
+        salt = tree.astype(np.uint32) * _ODD[1]
+        self.many = np.add.reduceat(length, start) if len(start) else length[:0]  # decisions of each word
+        self.begin = np.cumsum(self.many) - self.many
+        after = np.cumsum(length)
+        left = np.repeat(after, length)
+        left -= np.arange(len(left))
+        self.level = np.minimum(np.repeat(length, length) - left, 2).astype(np.uint8)
+        left = left.astype(np.uint32)
+        path = np.repeat(path, length)
+        node = path >> left
+        self.bit = (path >> (left - np.uint32(1)) & np.uint32(1)).astype(np.uint8)
+        node *= _ODD[2]
+        self.across = np.repeat(place < ACROSS, length)
+        spread = [np.repeat(c * _ODD[3 + k] + salt, length) for k, c in enumerate((two, four, prefix, np.where(place < ACROSS, prefix, six)))]
+        self.slots = [_hashed(c, node, 8, b) for c, b in zip(spread[:3], bits, strict=False)]
+        self.open = spread[3] + node
+        self.slots.append(_hashed(self.open, np.uint32(0), 10, bits[3]))
+
+    def running(self, at: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """The slot of the running context of decisions ``at``, after words that end in ``tail``."""
+        return _hashed(self.open[at], tail * _ODD[7], 10, self.bits[3])
+
+
+def begun(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of up to ACROSS bytes, their lengths, and the tails before them, of numbers ``tail, bytes``."""
+    letters = np.stack([grams >> 8 * (ACROSS - 1 - k) & 255 for k in range(ACROSS)], axis=1).astype(np.uint8)
+    held = letters > 0
+    held[:, 0] = True
+    return letters[held], held.sum(axis=1), (grams >> 8 * ACROSS).astype(np.uint32)
+
+
+def table_bits(distinct_words: int) -> list[int]:
+    """Sizes of the tables: they grow with the vocabulary."""
+    wide = int(np.clip(np.ceil(np.log2(max(distinct_words, 1) * 8)), LEAST_BITS, MOST_BITS))
+    return [min(wide, 18), wide, wide, wide]
+
+
+Tables = list[tuple[np.ndarray, np.ndarray]]
+
+
+@dataclass
+class Model:
+    """What is fitted: the code, the log-odds of every slot, the weights of every gate and the map.
+
+    ``tables`` holds for every context the log-odds of all slots, and those with one 0 or one 1 taken out.
+    """
 
-        task, made = TaskContext.get().partitionId(), 0
-        names = ["block", "part", "word", "k", "payload", *COUNTS]
-
-        def close(ids: list, learn: list[bool], numbers: list[np.ndarray], place: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-            nonlocal made
-            block = task * (1 << 24) + made
-            made += 1
-            size = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            flat = np.concatenate(numbers)
-            numbers.clear()
-            tell = np.zeros((len(place), KINDS))
-            for w in place.keys() & shared.value.keys():
-                tell[place[w]] = shared.value[w]
-            own, kind, many = np.array(learn), np.zeros(len(ids), np.int64), len(place)
-            n = np.zeros(KINDS * many, np.int64)
-            for first, last, begin, end in runs_of(size):  # some texts at a time
-                part, owner = flat[begin:end].astype(np.int64), np.repeat(np.arange(last - first), size[first:last])
-                kind[first:last] = np.stack([np.bincount(owner, tell[part, j], last - first) for j in range(KINDS)], axis=1).argmax(axis=1)
-                told = own[first:last][owner]
-                np.add.at(n, part[told] * KINDS + kind[first:last][owner[told]], 1)
-            n = n.reshape(-1, KINDS)
-            words = iter(place)
-            for i in range(0, many, ROWS_SENT):
-                rows = min(ROWS_SENT, many - i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), pa.array(np.zeros(rows, np.int32)), pa.array(list(islice(words, rows)), pa.binary()), pa.array(np.arange(i, i + rows, dtype=np.int32)), pa.nulls(rows, pa.binary()), *(pa.array(np.ascontiguousarray(n[i : i + rows, j])) for j in range(KINDS))], names=names)
-            place.clear()
-            null = np.array([x is None for x in ids])
-            head = [np.array([len(ids)], "<i8"), np.array([x or 0 for x in ids], "<i8"), null.astype("u1"), own.astype("u1"), size.astype("<i8"), flat]
-            press = zlib.compressobj(1)
-            packed = b"".join([*(press.compress(x) for x in head), press.flush()])
-            ends = np.bincount(kind[own], minlength=KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([packed], pa.binary()), *(pa.array([x], pa.int64()) for x in ends.tolist())], names=names)
-
-        ids, learn, numbers, place, size = [], [], [], {}, 0
-        for doc_id, text, own in (row for b in batches for i in range(0, b.num_rows, 256) for row in zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True)):
-            words = words_of(text)
-            for w in words:
-                if w not in place:
-                    place[w] = len(place)
-            ids.append(doc_id)
-            learn.append(own)
-            numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-            size += len(text or "")
-            if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
-                yield from close(ids, learn, numbers, place)
-                ids, learn, numbers, place, size = [], [], [], {}, 0
-        if ids:
-            yield from close(ids, learn, numbers, place)
-
-    return rows.mapInArrow(run, BLOCKS)
-
-
-def byte_counts(counts: DataFrame) -> np.ndarray:
-    """How often each byte is coded in training texts, spaces that end words included."""
+    code: Code
+    bits: list[int]
+    tables: Tables
+    weights: np.ndarray
+    refined: np.ndarray
+
+
+def look_up(tables: Tables, k: int, slot: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
+    """The log-odds of slots of context k; for texts learned from (``own``) without the occurrence itself."""
+    return tables[k][1].take(slot * 2 + bit) if own else tables[k][0].take(slot)
+
+
+def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(LEVELS * np.log((n1 + SMOOTH) / (n0 + SMOOTH))), -127, 127).astype(np.int8)
+
+
+def as_inputs(logits: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mixer's inputs for rows of int8 log-odds, and their gates (the map's class is the gate modulo CLASSES)."""
+    x = np.empty((len(logits), WIDTH), np.float32)
+    np.multiply(logits, np.float32(1 / LEVELS), out=x[:, :CONTEXTS])
+    x[:, CONTEXTS] = 0.25
+    seen = (logits != 0).view(np.uint8)
+    return x, (seen[:, 1] + 2 * seen[:, 2] + SEEN * seen[:, 3] + CLASSES * level).astype(np.int64)
+
+
+def start_weights() -> np.ndarray:
+    return np.tile(np.array([0.2, 0.3, 0.4, 0.3, 0.0], np.float32), (GATES, 1))
+
+
+def step_of(sums: np.ndarray) -> np.ndarray:
+    """The step of the map that a sum of log-odds falls on."""
+    return (sums * 2 + (STEPS // 2 + 0.5)).clip(0, STEPS - 0.5).astype(np.uint8)
+
+
+def refine(sums: np.ndarray, gate: np.ndarray, refined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of log-odds moved by the map, and the steps that they fell on."""
+    sums = sums.clip(-12, 12)
+    step = step_of(sums)
+    return sums + refined.take((gate & (CLASSES - 1)) * STEPS + step), step
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256)
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            if words:
-                size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-                total += np.bincount(np.frombuffer(b" ".join([*words, b""]), np.uint8), np.repeat(n, size), 256)
-        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int64()), pa.array(total)], names=["b", "n"])
-
-    got = counts.select("word", "c").mapInArrow(run, "b long, n double").groupBy("b").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(256)
-    for r in got:
-        out[r["b"]] = r["n"]
-    return out
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each of several ranges."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-def context_tables(counts: DataFrame, code: tuple, tasks: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of zeros and ones in every slot of every table, over all training texts.
 
-    Each task sums its words into whole tables, whose size is fixed, and sends the pieces that are not
+# ------------------------------------------------------------ fitting
+
+ROWS_AT_ONCE = 1_500
+
+
+def _parts(batches: Iterator[pa.RecordBatch], code: Code, bits: list[int]) -> Iterator[tuple[Spelling, np.ndarray, np.ndarray, list[np.ndarray], bool]]:
+    """Spellings of rows (word, gram, c): how often each decision was made, which of them count, their slots, and whether of words.
+
+    A word's row counts for the contexts within words; of the running context it has what does not look
+    across words. A gram's row has the rest of that, and all inputs at a word's beginning.
+    """
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(i, ROWS_AT_ONCE)
+            n = part.column(2).to_numpy(zero_copy_only=False)
+            grams = part.column(1).to_numpy(zero_copy_only=False)
+            is_word = np.array(part.column(0).is_valid())
+            if is_word.any():
+                words = part.column(0).filter(pa.array(is_word)).to_pylist()
+                data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+                s = Spelling(data, np.fromiter(map(len, words), np.int64, len(words)) + 1, code, bits)
+                yield s, np.repeat(n[is_word], s.many), ~s.across, s.slots, True
+            if not is_word.all():
+                data, size, tail = begun(grams[~is_word].astype(np.int64))
+                s = Spelling(data, size, code, bits)
+                at = np.arange(len(s.bit))
+                yield s, np.repeat(n[~is_word], s.many), s.across, [*s.slots[:3], s.running(at, np.repeat(tail, s.many))], False
+
+
+def fit_tables(counts: DataFrame, code: Code, bits: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The log-odds of every slot of every table, from whole-number counts over all training texts.
+
+    Each task sums its rows into whole tables, whose size is fixed, and sends the pieces that are not
     empty; pieces are added up by their place. What reaches the driver is one set of tables.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << w, np.float32) for w in TABLE_BITS]
-        held: list[tuple[list[np.ndarray], np.ndarray]] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                weight = np.concatenate([w for _, w in held])
-                for k, table in enumerate(tables):
-                    at, which = np.unique(np.concatenate([slots[k] for slots, _ in held]), return_inverse=True)
-                    table[at] += np.bincount(which, weight)
-            held, size = [], 0
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, WORDS_AT_ONCE):
-                part = batch.slice(i, WORDS_AT_ONCE)
-                every = part.column(0).to_pylist()
-                n = np.stack([part.column(1 + j).to_numpy(zero_copy_only=False) for j in range(KINDS)], axis=1)
-                at, kind = np.nonzero(n)
-                if not len(at):
+        tables = [np.zeros(2 << b, np.int64) for b in bits]
+        for s, n, count, slots, words in _parts(batches, code, bits):
+            # Words count for the contexts within words, at all places; grams for the running one alone.
+            for k, table in enumerate(tables):
+                if k < 3 and not words:
                     continue
-                slots, bit, word, _ = decisions([every[j] for j in at.tolist()], code, kind)
-                held.append(([(slot * 2 + bit).astype(np.int32) for slot in slots], n[at, kind][word].astype(np.float32)))
-                size += len(bit)
-                if size >= FLUSH:
-                    flush()
-        flush()
+                at, many = (slots[k] * 2 + s.bit, n) if k < 3 else (slots[k][count] * 2 + s.bit[count], n[count])
+                spots, which = np.unique(at, return_inverse=True)
+                table[spots] += np.bincount(which, many).astype(np.int64)
         for k, table in enumerate(tables):
             for piece in range(len(table) // (2 * PIECE)):
-                both = table[piece * 2 * PIECE : (piece + 1) * 2 * PIECE]
+                both = table[2 * PIECE * piece : 2 * PIECE * (piece + 1)]
                 if both.any():
-                    data = zlib.compress(both[::2].tobytes() + both[1::2].tobytes(), 1)
+                    data = pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece], pa.int32()), pa.array([data], pa.binary())], names=["t", "piece", "data"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(2 * PIECE, np.float64)
+    size = 16 * PIECE
+
+    def add(group):
+        import pandas as pd
+
+        total = np.zeros(2 * PIECE, np.int64)
         for data in group["data"]:
-            total += np.frombuffer(zlib.decompress(data), np.float32)
-        return pd.DataFrame({"t": group["t"].iloc[:1].values, "piece": group["piece"].iloc[:1].values, "data": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
+            total += np.ascontiguousarray(np.frombuffer(pa.decompress(data, size, "zstd"), np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
+        n0, n1 = total[::2], total[1::2]
+        odds = np.stack([log_odds(n0, n1), log_odds(np.maximum(n0 - 1, 0), n1), log_odds(n0, np.maximum(n1 - 1, 0))])
+        return pd.DataFrame({"t": group["t"].iloc[:1].values, "piece": group["piece"].iloc[:1].values, "data": [pa.compress(odds.tobytes(), "zstd", asbytes=True)]})
 
     schema = "t int, piece int, data binary"
-    pieces = counts.filter("c > 0").select("word", *COUNTS).coalesce(tasks).mapInArrow(run, schema).groupBy("t", "piece").applyInPandas(add, schema)
-    tables = [(np.zeros(1 << w, np.float32), np.zeros(1 << w, np.float32)) for w in TABLE_BITS]
+    pieces = counts.select("word", "gram", "c").mapInArrow(run, schema).groupBy("t", "piece").applyInPandas(add, schema)
+    tables = [(np.zeros(1 << b, np.int8), np.zeros(2 << b, np.int8)) for b in bits]
     for r in pieces.toLocalIterator():
-        both = np.frombuffer(zlib.decompress(r["data"]), np.float32)
-        at = slice(r["piece"] * PIECE, (r["piece"] + 1) * PIECE)
-        tables[r["t"]][0][at], tables[r["t"]][1][at] = both[:PIECE], both[PIECE:]
+        odds = np.frombuffer(pa.decompress(r["data"], 3 * PIECE, "zstd"), np.int8).reshape(3, PIECE)
+        plain, without = tables[r["t"]]
+        plain[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = odds[0]
+        without[2 * r["piece"] * PIECE : 2 * (r["piece"] + 1) * PIECE] = odds[1:].T.ravel()
     return tables
 
 
-def learn_mixer(texts: list[str], kinds: dict[bytes, np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]], code: tuple) -> Mixer:
-    """The mixer taught online by sample texts, each decision predicted without its own occurrence."""
-    mixer = Mixer()
-    for _ in range(2):
-        for text in texts:
-            slots, bit, _, place = decisions([*words_of(text), b""], code, kind_of(text, kinds))
-            n0 = [np.maximum(t[0][s] - (bit == 0), 0) for t, s in zip(tables, slots, strict=True)]
-            n1 = [np.maximum(t[1][s] - (bit == 1), 0) for t, s in zip(tables, slots, strict=True)]
-            x, gate = Mixer.inputs(n0, n1, place)
-            mixer.learn(x, gate, bit)
-    return mixer
+def fit_mixer(counts: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
+    """Fit weights and map by Newton's method: every round is a pass over all decisions of all training texts.
 
+    Each decision is predicted without its own occurrence. A round moves the weights of every gate; the
+    last one fits the map. Sums that reach the driver are of fixed size.
+    """
+    spark = counts.sparkSession
+    size = WIDTH + WIDTH * WIDTH
+    shared = spark.sparkContext.broadcast((model.code, model.bits, model.tables))
+    for last in [False] * rounds + [True]:
+        weights = model.weights
+
+        def run(batches: Iterator[pa.RecordBatch], weights=weights, last=last) -> Iterator[pa.RecordBatch]:
+            code, bits, tables = shared.value
+            total = np.zeros(GATES * size + 2 * CLASSES * STEPS)
+            for s, n, count, slots, words in _parts(batches, code, bits):
+                at = np.flatnonzero(count)
+                bit, many = s.bit[at], n[at].astype(np.float64)
+                logits = np.stack([look_up(tables, k, slots[k][at], bit, True) for k in range(CONTEXTS)], axis=1)
+                x, gate = as_inputs(logits, s.level[at])
+                sums = np.einsum("ij,ij->i", x, weights.take(gate, axis=0)).clip(-12, 12)
+                p = 1 / (1 + np.exp(-sums.astype(np.float64)))
+                err, var = many * (bit - p), many * p * (1 - p)
+                if last:
+                    cell = (gate & (CLASSES - 1)) * STEPS + step_of(sums)
+                    total[GATES * size :] += np.concatenate([np.bincount(cell, err, CLASSES * STEPS), np.bincount(cell, var, CLASSES * STEPS)])
+                    continue
+                order = np.argsort(gate.astype(np.uint8), kind="stable")
+                edge = np.searchsorted(gate[order], np.arange(GATES + 1))
+                xs = x[order].astype(np.float64)
+                err, var = err[order], var[order]
+                for g in range(GATES):
+                    a, b = edge[g], edge[g + 1]
+                    if b > a:
+                        of = total[g * size : (g + 1) * size]
+                        of[:WIDTH] += err[a:b] @ xs[a:b]
+                        of[WIDTH:] += ((xs[a:b] * var[a:b, None]).T @ xs[a:b]).ravel()
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "v"])
+
+        rows = counts.select("word", "gram", "c").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        total = np.zeros(GATES * size + 2 * CLASSES * STEPS)
+        for r in rows:
+            total[r["k"]] = r["v"]
+        if last:
+            err, var = total[GATES * size :].reshape(2, CLASSES, STEPS)
+            model.refined = np.round((err / (var + 5)).clip(-2, 2), 5).astype(np.float32)
+            continue
+        moved = model.weights.astype(np.float64)
+        for g in range(GATES):
+            of = total[g * size : (g + 1) * size]
+            step = np.linalg.solve(of[WIDTH:].reshape(WIDTH, WIDTH) + 20 * np.eye(WIDTH), of[:WIDTH])
+            moved[g] += step.clip(-1, 1)
+        model.weights = np.round(moved, 5).astype(np.float32)
+    shared.unpersist()
+
+
+# ------------------------------------------------------------ counting
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
+    """Rows (doc_id, text, learn) in pools of about POOL_BYTES: ids, streams, and which are learned from."""
+    ids, streams, learn, size = [], [], [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            for doc_id, text, own in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
+                ids.append(doc_id)
+                streams.append(stream_of(text))
+                learn.append(own)
+                size += len(streams[-1])
+                if size >= POOL_BYTES:
+                    yield ids, streams, np.array(learn, bool)
+                    ids, streams, learn, size = [], [], [], 0
+    if ids:
+        yield ids, streams, np.array(learn, bool)
+
+
+def _runs(streams: list[bytes], which: np.ndarray, most: int) -> Iterator[list[int]]:
+    """Streams numbered in ``which``, in runs of about ``most`` bytes."""
+    run, size = [], 0
+    for i in which.tolist():
+        if run and size + len(streams[i]) > most:
+            yield run
+            run, size = [], 0
+        run.append(i)
+        size += len(streams[i])
+    if run:
+        yield run
+
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, gram, c): how often each word, and each word's beginning after the end of a word, is in texts to learn from.
+
+    A row holds a word (the end being empty) or a gram. Tasks send each of their distinct words once.
+    """
 
-SCORED = "word binary, told binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, streams, learn in _rows_of(batches):
+            held: list[tuple] = []
+            grams: list[tuple[np.ndarray, np.ndarray]] = []
+            for part in _runs(streams, np.flatnonzero(learn), WORDS_BYTES):
+                t = Tokens([streams[i] for i in part])
+                h1, h2 = t.hashes()
+                first, _, n = distinct(h1, h2)
+                held.append((h1[first], h2[first], n, *t.words(first)))
+                grams.append(np.unique(t.tails().astype(np.int64) << 8 * ACROSS | t.beginnings(), return_counts=True))
+            if not held:
+                continue
+            h1, h2, n, data, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            first, which, _ = distinct(h1, h2)
+            n = np.bincount(which, n, len(first)).astype(np.int64)
+            start = np.cumsum(size) - size
+            size = size[first] - 1  # without the space
+            at = ranges(start[first], size)
+            words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data[at].tobytes())])
+            key, c = (np.concatenate(x) for x in zip(*grams, strict=True))
+            key, which = np.unique(key, return_inverse=True)
+            c = np.bincount(which, c, len(key)).astype(np.int64)
+            for k in range(0, len(words), 50_000):
+                part = words[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.int64()), pa.array(n[k : k + 50_000])], names=["word", "gram", "c"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.binary()), pa.array(key), pa.array(c)], names=["word", "gram", "c"])
+
+    found = rows.mapInArrow(run, "word binary, gram long, c long")
+    return found.groupBy("word", "gram").agg(F.sum("c").alias("c"))
+
+
+def trigram_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a byte with the two before it in its word, over all training texts; the commonest shape the code."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            if not words:
+                continue
+            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            data = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.int64)
+            place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+            key, which = np.unique(_back(data, place, 2) << 16 | _back(data, place, 1) << 8 | data, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(which, np.repeat(n, size)).astype(np.int64))], names=["k", "n"])
 
-def score_words(counts: DataFrame, tables: list[tuple[np.ndarray, np.ndarray]], mixer: Mixer, code: tuple) -> DataFrame:
-    """What texts need of every distinct word, as one short binary value (``pack_told``).
+    table = counts.filter("word is not null").select("word", "c").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(1 << 17).toArrow()
+    return table.column("k").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.float64)
 
-    The tables, of a size fixed by TABLE_BITS, are broadcast.
-    """
-    shared = counts.sparkSession.sparkContext.broadcast((tables, mixer.weights, mixer.refined, code))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables_, weights, refined, code_ = shared.value
-        mixer_ = Mixer(weights, refined)
-        for batch in batches:
-            for i in range(0, batch.num_rows, WORDS_AT_ONCE):
-                part = batch.slice(i, WORDS_AT_ONCE)
-                words = part.column(0).to_pylist()
-                spelled = np.empty((len(words), KINDS))
-                for kind in range(KINDS):
-                    slots, bit, word, place = decisions(words, code_, kind)
-                    x, gate = Mixer.inputs([t[0][s] for t, s in zip(tables_, slots, strict=True)], [t[1][s] for t, s in zip(tables_, slots, strict=True)], place)
-                    spelled[:, kind] = -np.log(2) * np.bincount(word, mixer_.bits(x, gate, bit), len(words))
-                n = np.stack([part.column(1 + j).to_numpy(zero_copy_only=False) for j in range(KINDS)], axis=1)
-                told = pack_told(spelled, np.fromiter(map(len, words), np.int64, len(words)), n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(told, pa.binary())], names=["word", "told"])
+# ------------------------------------------------------------ scoring
 
-    return counts.select("word", *COUNTS).mapInArrow(run, SCORED)
 
+#: what is kept of a decision, and of one whose running context is open
+_TOLD = np.dtype([("sum", "<f4"), ("key", "<u4")])
+_OPEN = np.dtype([("hash", "<u4"), ("gate", "<u4"), ("unseen", "<f4"), ("seen", "<f4")])
 
-def head_of(ways: int) -> np.dtype:
-    return np.dtype([("a", "<f4", (ways,)), ("s", "<u4")])
 
+class Pool:
+    """The distinct words of some streams, with what the contexts within words say of their decisions.
 
-def pack_told(spelled: np.ndarray, size: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Per word the log-probabilities of its spelling (one, or a row of them), its bytes, and its training counts by kind.
+    ``word`` is the number of every token's word, stream after stream.
+    """
 
-    Four bytes each for spellings and size, then the counts: none for an unknown word, kind and count for
-    a word of one kind, all counts otherwise.
+    def __init__(self, streams: list[bytes], model: Model, own: bool) -> None:
+        held, numbers, n = [], [], 0
+        for part in _runs(streams, np.arange(len(streams)), WORDS_BYTES):
+            t = Tokens([streams[i] for i in part])
+            h1, h2 = t.hashes()
+            first, which, _ = distinct(h1, h2)
+            held.append((h1[first], h2[first], *t.words(first)))
+            numbers.append(which + n)
+            n += len(first)
+        h1, h2, data, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        first, which, _ = distinct(h1, h2)
+        self.word = which[np.concatenate(numbers)]
+        self.h1, self.h2 = h1[first], h2[first]
+        start = np.cumsum(size) - size
+        size, at = size[first], start[first]
+        self.data = data[ranges(at, size)]
+        self.size, self.start = size, np.cumsum(size) - size
+        parts, refined = [], model.refined.ravel()
+        for a in range(0, len(size), ROWS_AT_ONCE):
+            b = min(a + ROWS_AT_ONCE, len(size))
+            s = Spelling(self.data[self.start[a] : self.start[b - 1] + size[b - 1]], size[a:b], model.code, model.bits)
+            logits = np.stack([look_up(model.tables, k, s.slots[k], s.bit, own) for k in range(CONTEXTS)], axis=1)
+            open_ = np.flatnonzero(s.across)
+            logits[open_, CONTEXTS - 1] = 0
+            x, gate = as_inputs(logits, s.level)
+            sums, step = refine(np.einsum("ij,ij->i", x, model.weights.take(gate, axis=0)), gate, refined)
+            # Where the running context is still open: the sum of the other inputs if it is unseen, and if it is seen.
+            x, gate = x[open_], gate[open_]
+            told = np.empty(len(sums), _TOLD)
+            told["sum"], told["key"] = sums, step * np.uint8(2) + s.bit
+            held_open = np.empty(len(open_), _OPEN)
+            held_open["hash"], held_open["gate"] = s.open[open_], gate << 1 | s.bit[open_]
+            held_open["unseen"] = np.einsum("ij,ij->i", x, model.weights.take(gate, axis=0))
+            held_open["seen"] = np.einsum("ij,ij->i", x, model.weights.take(gate + SEEN, axis=0))
+            parts.append((told, s.many, held_open, np.add.reduceat(s.across.astype(np.int64), s.begin)))
+        told, self.many, open_, self.many_open = (np.concatenate(c) for c in zip(*parts, strict=True))
+        self.told, self.open = told.view(np.uint64), open_.view(np.complex128)  # taken as one number each
+        self.begin, self.begin_open = np.cumsum(self.many) - self.many, np.cumsum(self.many_open) - self.many_open
+
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        return [self.data[a : a + n - 1].tobytes() for a, n in zip(self.start[which].tolist(), self.size[which].tolist(), strict=True)]
+
+
+def mix(t: Tokens, word: np.ndarray, pool: Pool, model: Model, own: bool) -> np.ndarray:
+    """What every token of some texts costs, in nats.
+
+    Each text has a last mixer and a map of its own, which start as the corpus' and are corrected after
+    every SEGMENT tokens by what was predicted wrongly: how far to trust the sum, and how to bend it on
+    each step. All texts go on together.
     """
-    spelled = np.asarray(spelled).reshape(len(size), -1)
-    head = np.zeros(len(size), head_of(spelled.shape[1]))
-    head["a"], head["s"] = spelled, size
-    kinds = (n > 0).sum(axis=1)
-    first, most = n.argmax(axis=1), n.max(axis=1)
-    one = np.zeros(len(size), np.dtype([("k", "u1"), ("n", "<u4")]))
-    one["k"], one["n"] = first, np.minimum(most, 0xFFFFFFFF)
-    heads, ones, every = head.tobytes(), one.tobytes(), n.astype("<u8").tobytes()
-    start, wide = head.dtype.itemsize, 8 * KINDS
-    return [
-        heads[start * i : start * i + start] + (b"" if not k else ones[5 * i : 5 * i + 5] if k == 1 and m < 0xFFFFFFFF else every[wide * i : wide * i + wide])
-        for i, (k, m) in enumerate(zip(kinds.tolist(), most.tolist(), strict=True))
-    ]
-
-
-def unpack_told(told: list[bytes], ways: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(spelled, size, counts by kind) of packed words; ``spelled`` has a column a way if there are several."""
-    kind = head_of(ways)
-    wide = kind.itemsize
-    length = np.fromiter(map(len, told), np.int64, len(told))
-    data = np.frombuffer(b"".join(told), np.uint8)
-    start = np.cumsum(length) - length
-    head = data[start[:, None] + np.arange(wide)].copy().view(kind)[:, 0] if len(told) else np.zeros(0, kind)
-    n = np.zeros((len(told), KINDS), np.int64)
-    ones = np.flatnonzero(length == wide + 5)
-    if len(ones):
-        one = data[start[ones, None] + np.arange(wide, wide + 5)]
-        n[ones, one[:, 0]] = one[:, 1:].copy().view("<u4")[:, 0]
-    full = np.flatnonzero(length == wide + 8 * KINDS)
-    if len(full):
-        n[full] = data[start[full, None] + np.arange(wide, wide + 8 * KINDS)].copy().view("<u8").astype(np.int64)
-    return (head["a"] if ways > 1 else head["a"][:, 0]).astype(float), head["s"].astype(np.int64), n
-
-
-#: tokens' worth of belief, before a text begins, in the share of spelled words and in the shares of kinds
-SPELLED_BELIEF, KIND_BELIEF = 20.0, 2.0
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-
-
-def weigh_online(logs: np.ndarray, owner_start: np.ndarray, owner_size: np.ndarray, spelled: float, kinds: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each text: experts' weights follow the share of the text so far that each explains.
-
-    ``logs`` holds a row a token and a column an expert (spellings by kind, then frequencies by kind),
-    text after text. A token is spelled with a share that starts at ``spelled``, or else is taken by its
-    frequency; in both the shares of kinds start at ``kinds`` and are followed apart. Weights stay for a segment of tokens (SEGMENTS); all texts advance together.
+    docs = np.repeat(np.arange(len(t.many)), t.many)
+    turn = (np.arange(len(word)) - t.first[docs]) // SEGMENT
+    order = np.argsort(turn.astype(np.uint16) if turn.max(initial=0) < 1 << 16 else turn, kind="stable")
+    cost = np.empty(len(word))
+    trust, bends = np.ones(len(t.many), np.float32), np.zeros((len(t.many), STEPS), np.float32)
+    salt, refined, weight = t.tails() * _ODD[7], model.refined.ravel(), model.weights[:, CONTEXTS - 1] * np.float32(1 / LEVELS)
+    limit = np.cumsum(np.bincount(turn))
+    many = pool.many[word[order]]
+    after = np.cumsum(many)
+    first = done = turn_ = 0
+    while first < len(order):
+        # The decisions of some segments of all texts, about 200,000.
+        past = turn_ + 1
+        while past < len(limit) and after[limit[past] - 1] - done <= 200_000:
+            past += 1
+        last = int(limit[past - 1])
+        tokens = order[first:last]
+        which, size = word[tokens], many[first:last]
+        ends = np.cumsum(size)
+        told = pool.told.take(ranges(pool.begin[which], size)).view(_TOLD)
+        sums, key = np.ascontiguousarray(told["sum"]), told["key"].astype(np.uint8)
+        # The running context of word beginnings, now that the word before is known.
+        n = pool.many_open[which]
+        open_ = pool.open.take(ranges(pool.begin_open[which], n)).view(_OPEN)
+        bit, gate = (open_["gate"] & 1).astype(np.uint8), (open_["gate"] >> 1).astype(np.int64)
+        odds = look_up(model.tables, CONTEXTS - 1, _hashed(open_["hash"], np.repeat(salt[tokens], n), 10, model.bits[-1]), bit, own)
+        held = odds != 0
+        gate += held * SEEN
+        moved, step = refine(np.where(held, open_["seen"] + weight.take(gate) * odds, open_["unseen"]), gate, refined)
+        at = ranges(ends - size, n)
+        sums[at], key[at] = moved, step << np.uint8(1) | bit
+        sign = (key & 1) * np.float32(2) - 1
+        sums *= sign  # for the bit that was
+        key >>= 1
+        # Segments: where each begins, whose it is, and which of them are of one turn.
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(docs[tokens]) != 0) | (np.diff(turn[tokens]) != 0)]))
+        whose, starts = docs[tokens[new]], (ends - size)[new]
+        runs = np.diff(starts, append=len(sums))
+        edge = np.searchsorted(new, limit[turn_:past] - first)
+        loss = np.empty(len(sums), np.float32)
+        i = a = 0
+        for j in edge.tolist():
+            here, length = whose[i:j], runs[i:j]
+            b = int(starts[j]) if j < len(starts) else len(sums)
+            z, turned = sums[a:b], sign[a:b]
+            cell = np.repeat(np.arange(0, len(here) * STEPS, STEPS), length)
+            cell += key[a:b]
+            p = np.repeat(trust[here], length)
+            p *= z
+            p += turned * bends[here].ravel().take(cell)
+            np.negative(p, out=p)
+            np.exp(p, out=p)
+            p += 1
+            np.log(p, out=loss[a:b])
+            np.divide(-1, p, out=p)
+            p += 1  # by so much the prediction was short of the bit
+            z *= p
+            trust[here] += RATE * np.add.reduceat(z, starts[i:j] - a)
+            p *= turned
+            bends[here] += MAP_RATE * np.bincount(cell, p, len(here) * STEPS).reshape(-1, STEPS)
+            i, a = j, b
+        cost[tokens] = np.add.reduceat(loss, ends - size, dtype=np.float64)
+        first, done, turn_ = last, int(after[last - 1]), past
+    return cost
+
+
+def chunks_of(t: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks begin among the tokens, of words with hashes ``h``, and a hash of each chunk."""
+    before = np.concatenate([h[:1], h[:-1]])
+    new = _finished(h + before * _U(0x94D049BB133111EB)) >> _U(64 - CHUNK_BITS) == 0
+    new[t.first] = True
+    begin = np.flatnonzero(new)
+    place = np.arange(len(h)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(h)]])))
+    return begin, np.add.reduceat(_finished(h ^ (place + 1).astype(np.uint64) * _U(0xD1342543DE82EF95)), begin)
+
+
+SCORED = (
+    "part int, row long, doc_id long, own boolean, n long, known long, base double, cost double, bytes long, "
+    "word binary, m int, before long, chunk long, own_before int, own_both int"
+)
+_FIELDS = {"part": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "own": pa.bool_(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "cost": pa.float64(), "bytes": pa.int64(), "word": pa.binary(), "m": pa.int32(), "before": pa.int64(), "chunk": pa.int64(), "own_before": pa.int32(), "own_both": pa.int32()}
+
+
+def _batch(size: int, /, **cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(size, k) for c, k in _FIELDS.items()], names=list(_FIELDS))
+
+
+def _within(docs: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each row's text holds the row's key."""
+    _, which, n = distinct(_finished(key + docs.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), key)
+    return n[which].astype(np.int32)
+
+
+def score_texts(rows: DataFrame, model: Model, common: tuple[np.ndarray, np.ndarray, np.ndarray], weight: float) -> DataFrame:
+    """What the bits of every text cost, in parts: texts (0), rarer words of texts (1) and chunks of texts (2).
+
+    ``common`` has the hashes and counts of the commonest words; ``weight`` is the denominator of the base.
+    Memory: a pool of texts of about POOL_BYTES (or one longer text), the model and the common words.
     """
-    shown = logs.max(axis=1)
-    near = np.exp(logs - shown[:, None])
-    total = np.zeros(len(owner_size))
-    told = np.full(len(owner_size), spelled * SPELLED_BELIEF)
-    many_kinds = len(kinds)
-    weight = np.tile(kinds * KIND_BELIEF, (len(owner_size), 2))
-    done, step = 0, 0
-    while (live := np.flatnonzero(owner_size > done)).size:
-        many = SEGMENTS[min(step, len(SEGMENTS) - 1)]
-        size = np.minimum(owner_size[live] - done, many)
-        row = np.repeat(np.arange(len(live)), size)
-        at = np.repeat(owner_start[live] + done - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        first = (told[live] / (SPELLED_BELIEF + done))[:, None]
-        ways = weight[live].reshape(-1, 2, many_kinds)
-        ways = ways / ways.sum(axis=2, keepdims=True)
-        share = np.concatenate([first * ways[:, 0], (1 - first) * ways[:, 1]], axis=1)
-        joint = near[at] * share[row]
-        p = joint.sum(axis=1)
-        total[live] += np.bincount(row, np.log(p) + shown[at], len(live))
-        told[live] += np.bincount(row, joint[:, :many_kinds].sum(axis=1) / p, len(live))
-        for e in range(weight.shape[1]):
-            weight[live, e] += np.bincount(row, joint[:, e] / p, len(live))
-        done, step = done + many, step + 1
-    return total
+    shared = rows.sparkSession.sparkContext.broadcast(((model.code, model.bits, model.tables, model.weights, model.refined), common))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def score_documents(docs: DataFrame, learnable: Column) -> DataFrame:
+        fitted, (c1, c2, cn) = shared.value
+        model_ = Model(*fitted)
+        made = TaskContext.get().partitionId() << 40
+        for ids, streams, learn in _rows_of(batches):
+            size = np.fromiter(map(len, streams), np.int64, len(streams))
+            for own in (False, True):
+                which = np.flatnonzero(learn == own)
+                if not len(which):
+                    continue
+                which = which[np.argsort(size[which], kind="stable")]
+                mine = [streams[i] for i in which.tolist()]
+                pool = Pool(mine, model_, own)
+                at = np.searchsorted(c1, pool.h1)
+                while (wrong := np.flatnonzero((c1[np.minimum(at, len(c1) - 1)] == pool.h1) & (c2[np.minimum(at, len(c1) - 1)] < pool.h2) & (at < len(c1)))).size if len(c1) else 0:
+                    at[wrong] += 1
+                at = np.minimum(at, max(len(c1) - 1, 0))
+                found = (c1[at] == pool.h1) & (c2[at] == pool.h2) if len(c1) else np.zeros(len(at), bool)
+                c = np.where(found, cn[at], 0) if len(c1) else np.zeros(len(at), np.int64)
+                base = np.where(found, np.log10((c + 1) / weight), 0.0)
+                done, first = 0, 0
+                for part in _runs(mine, np.arange(len(mine)), BATCH_BYTES):
+                    t = Tokens([mine[i] for i in part])
+                    word = pool.word[first : first + len(t.start)]
+                    first += len(word)
+                    cost = mix(t, word, pool, model_, own)
+                    docs = np.repeat(np.arange(len(part)), t.many)
+                    row = made + np.arange(len(part))
+                    made += len(part)
+                    here = which[done : done + len(part)]
+                    done += len(part)
+                    sums = lambda v, docs=docs, part=part: np.bincount(docs, v, len(part))
+                    yield _batch(len(part), part=np.zeros(len(part), np.int32), row=row, doc_id=[ids[i] for i in here.tolist()], own=np.full(len(part), own), n=t.many, known=sums(c[word] > 0).astype(np.int64), base=sums(base[word]), cost=sums(cost), bytes=size[here])
+                    rare = np.flatnonzero(~found[word])
+                    if len(rare):
+                        key, m = np.unique(docs[rare] * len(pool.size) + word[rare], return_counts=True)
+                        yield _batch(len(key), part=np.ones(len(key), np.int32), row=row[key // len(pool.size)], word=pool.bytes_of(key % len(pool.size)), m=m.astype(np.int32))
+                    begin, chunk = chunks_of(t, pool.h1[word])
+                    of = docs[begin]
+                    later = np.flatnonzero(of[1:] == of[:-1]) + 1
+                    if len(later):
+                        before, after, of = chunk[later - 1], chunk[later], of[later]
+                        both = _finished(before * _U(0xBF58476D1CE4E5B9) + after)
+                        place = later - np.searchsorted(docs[begin], of)
+                        yield _batch(len(later), part=np.full(len(later), 2, np.int32), row=row[of], own=np.full(len(later), own), n=place, cost=np.add.reduceat(cost, begin)[later], before=before.view(np.int64), chunk=after.view(np.int64), own_before=_within(of, before), own_both=_within(of, both))
+
+    return rows.mapInArrow(run, SCORED)
+
+
+def chunk_gains(scored: DataFrame) -> DataFrame:
+    """(row, gain): the nats that texts save by the prediction of whole chunks; only of texts with a known chunk.
+
+    A chunk that the corpus has elsewhere (a text's own are taken out) predicts the next one by its followers
+    there. The prediction's share in the mixture follows its success in the text so far.
+    """
+    chunks = scored.filter("part = 2").select("row", "n", "cost", "before", "chunk", F.when(F.col("own"), F.col("own_before")).otherwise(0).alias("own_before"), F.when(F.col("own"), F.col("own_both")).otherwise(0).alias("own_both"), "own")
+    pairs = chunks.filter("own").groupBy("before", "chunk").agg(F.count(F.lit(1)).alias("both"))
+    firsts = pairs.groupBy("before").agg(F.sum("both").alias("every"))
+    known = chunks.drop("own").join(firsts, "before").filter("every > own_before")
+    told = known.join(pairs, ["before", "chunk"], "left")
+    share = (F.coalesce("both", F.lit(0)) - F.col("own_both")) / (F.col("every") - F.col("own_before"))
+    lists = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "cost", share.alias("share")))).alias("chunks"))
+
+    def follow(state, c):
+        lean = (state["hits"] + 0.5) / (state["tries"] + 1)
+        gain = F.when(c["share"] > 0, F.log(lean * c["share"] + (1 - lean) * F.exp(-c["cost"])) + c["cost"]).otherwise(F.log(1 - lean))
+        return F.struct((state["hits"] + F.when(c["share"] > 0, 1.0).otherwise(0.0)).alias("hits"), (state["tries"] + 1).alias("tries"), (state["gain"] + gain).alias("gain"))
+
+    start = F.struct(F.lit(0.0).alias("hits"), F.lit(0.0).alias("tries"), F.lit(0.0).alias("gain"))
+    return lists.select("row", F.aggregate("chunks", start, follow, lambda s: s["gain"]).alias("gain"))
+
+
+def commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and counts of the commonest words, at most ``most``, in order of the hashes: all words counted often enough."""
+    words = counts.filter("word is not null")
+    level = F.floor(F.log2("c") * 8)
+    levels = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, least = 0, None
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    table = words.filter(level >= least).select("word", "c").toArrow()
+    t = Tokens([b" ".join([*table.column("word").to_pylist(), b""])])
+    (h1, h2), n = t.hashes(), table.column("c").to_numpy()
+    order = np.lexsort((h2, h1))
+    return h1[order], h2[order], n[order]
+
+
+def fit(counts: DataFrame, distinct_words: int) -> Model:
+    """The model of ``counts(word, gram, c)``."""
+    bits = table_bits(distinct_words)
+    code = make_code(*trigram_counts(counts))
+    model = Model(code, bits, fit_tables(counts, code, bits), start_weights(), np.zeros((CLASSES, STEPS), np.float32))
+    fit_mixer(counts, model)
+    return model
+
+
+def score_documents(docs: DataFrame, learnable: Column, most_common: int = MOST_COMMON) -> DataFrame:
     """Score every text of ``docs(doc_id, text)``, learning from the rows that ``learnable`` admits.
 
     Returns doc_id, held_out (not learned from), n_tokens (words and the end), n_known, train_tokens,
-    base_score (unigrams with add-one counts), score (log10 of the model's probability of the text) and
-    bits_per_byte (over words, spaces and the end). Null and empty texts are one token, the end; a null
+    base_score (unigrams with add-one counts), score (log10 of the model's probability of the text's tokens)
+    and bits_per_byte (over words, spaces and the end). Null and empty texts are one token, the end; a null
     id stays null; repeated rows are answered (and learned) each. With nothing to learn from, counts are
-    zero throughout. Other columns are not read.
+    zero throughout. Other columns are not read. At most ``most_common`` words are broadcast.
     """
-    spark = docs.sparkSession
-    sample = docs.filter(learnable & F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    texts = [r["text"] for r in least_hashed(sample, "doc_id", ["text"], SAMPLE_DOCS).collect()]
-    kinds = fit_kinds(texts)
-    blocks = materialise(blocks_of(docs, learnable, kinds), "lm-blocks")
-    vocabulary = blocks.filter("part = 0")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
-    end_counts = blocks.filter("part = 1").agg(*sums).select(F.lit(b"").alias("word"), *COUNTS)
-    counts = vocabulary.groupBy("word").agg(*sums).unionByName(end_counts)
-    counts = materialise(counts.withColumn("c", sum(F.col(c) for c in COUNTS)), "lm-counts")
-    totals = counts.agg(*sums, F.count_if(F.col("c") > 0).alias("distinct"), F.count_if(F.col("c") == 1).alias("once")).first()
-    by_kind = np.array([totals[c] for c in COUNTS], float)
-    every, distinct = int(by_kind.sum()), int(totals["distinct"])
-    # Good and Turing: words met once tell how often a new one comes.
-    spelled = min(max(totals["once"] / max(every, 1), 0.002), 0.5)
-    kind_shares = (by_kind + 1) / (every + KINDS)
-    code = huffman(byte_counts(counts))
-    tables = context_tables(counts, code, max(16, min(256, distinct // 2_000_000)))
-    mixer = learn_mixer(texts[:TEACHING_DOCS], kinds, tables, code)
-    scored = materialise(score_words(counts, tables, mixer, code), "lm-words")
-    discard(counts)
-    end = scored.filter(F.length("word") == 0).first()
-    end_told = bytes(end["told"])
-    # Unigrams of a kind fall back on those of all texts.
-    lean = 200.0
-
-    def run(held: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        data = zlib.decompress(held["payload"].iloc[0])
-        n = int(np.frombuffer(data, "<i8", 1)[0])
-        ids = np.frombuffer(data, "<i8", n, 8)
-        null = np.frombuffer(data, "u1", n, 8 + 8 * n).astype(bool)
-        own = np.frombuffer(data, "u1", n, 8 + 9 * n).astype(bool)
-        size = np.frombuffer(data, "<i8", n, 8 + 10 * n)
-        number = np.frombuffer(data, "<u4", int(size.sum()), 8 + 18 * n)
-        most = len(words)
-        k = np.concatenate([words["k"].to_numpy(), [most]])
-        told = unpack_told([*words["told"], end_told], KINDS)
-        spelling, width, n = (np.empty_like(x) for x in told)
-        spelling[k], width[k], n[k] = told
-        c = n.sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            frequency = np.log((n + lean * (c / max(every, 1))[:, None]) / (by_kind + lean))
-        logs = np.concatenate([spelling, np.where(c[:, None] > 0, frequency, NEVER)], axis=1)
-        base = np.log10((c + 1) / (every + distinct + 1))
-        known_, total, score, n_bytes = (np.zeros(len(size)) for _ in range(4))
-        for first, last, begin, stop in runs_of(size):
-            # The end comes after each text's words.
-            mine = size[first:last]
-            token = np.insert(number[begin:stop].astype(np.int64), np.cumsum(mine), most)
-            mine = mine + 1
-            owner = np.repeat(np.arange(last - first), mine)
-            at = slice(first, last)
-            known_[at] = np.bincount(owner, c[token] > 0, last - first)
-            total[at] = np.bincount(owner, base[token], last - first)
-            n_bytes[at] = np.bincount(owner, width[token] + 1, last - first)
-            score[at] = weigh_online(logs[token], np.cumsum(mine) - mine, mine, spelled, kind_shares)
-        return pd.DataFrame({
-            "doc_id": pd.array(ids, "Int64") if not null.any() else pd.array([None if z else int(x) for x, z in zip(ids, null, strict=True)], "Int64"),
-            "held_out": ~own,
-            "n_tokens": size + 1,
-            "n_known": known_.astype(np.int64),
-            "base_score": total,
-            "score": score / np.log(10),
-            "n_bytes": n_bytes.astype(np.int64),
-        })
-
-    known = vocabulary.select("block", "word", "k").join(scored, "word").select("block", "k", "told")
-    texts_in = blocks.filter("part = 1").select(F.col("block").alias("of"), "payload")
-    found = texts_in.groupBy("of").cogroup(known.groupBy("block")).applyInPandas(run, OUT)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(every)).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * LOG2_10 / F.col("n_bytes")).alias("bits_per_byte"))
-
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learnable, F.lit(False)).alias("learn"))
+    counts = materialise(count_words(rows), "lm-counts")
+    totals = counts.filter("word is not null").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("every"), F.count(F.lit(1)).alias("distinct")).first()
+    every, different = int(totals["every"]), int(totals["distinct"])
+    weight = float(every + different + 1)
+    scored = materialise(score_texts(rows, fit(counts, different), commonest(counts, most_common), weight), "lm-scored")
+    told = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(weight))
+    rarer = scored.filter("part = 1").select("row", "word", "m").join(counts.filter("word is not null").select("word", "c"), "word", "left")
+    rarer = rarer.groupBy("row").agg(F.sum(F.col("m") * told).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known"))
+    found = scored.filter("part = 0").select("row", "doc_id", "own", "n", "known", "base", "cost", "bytes").join(rarer, "row", "left").join(chunk_gains(scored), "row", "left")
+    score = (F.coalesce("gain", F.lit(0.0)) - F.col("cost")) / float(np.log(10))
+    return found.select(
+        "doc_id",
+        (~F.col("own")).alias("held_out"),
+        F.col("n").alias("n_tokens"),
+        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(every).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        score.alias("score"),
+        (-score * LOG2_10 / F.col("bytes")).alias("bits_per_byte"),
+    )
