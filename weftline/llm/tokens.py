@@ -2,8 +2,9 @@
 
 A chunk is a stretch between two places where the tokenizer surely starts a new pre-token, so the ids of
 a text are the ids of its chunks in order. Chunks are found, hashed and put together again with numpy
-over many texts at a time; only chunks not seen before go through the tokenizer. Two chunks count as
-the same if they agree in a 64-bit hash, in length and in their first and last characters.
+over many texts at a time; only chunks not seen before go through the tokenizer. A hash finds the
+remembered chunk, and every character is compared with it: a text with a chunk that is another one of the
+same hash is encoded uncut.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 
 #: chunks remembered; beyond so many the memory is emptied and filled anew
 MOST_KEPT = 800_000
+#: slots of the hash table of remembered chunks, as a power of two: over twice MOST_KEPT
+SLOT_BITS = 21
 #: characters handled at a time
 STRETCH = 1_000_000
 
@@ -106,9 +109,26 @@ class Chunks:
             hashed ^= hashed >> np.uint64(29)
             mark = (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ code[start].astype(np.uint64) << np.uint64(21) ^ code[end - 1].astype(np.uint64) if len(start) else hashed
             hashed = hashed * np.uint64(0xD6E8FEB86659FD93) + mark
+            hashed ^= hashed >> np.uint64(32)
+            hashed = np.maximum(hashed * np.uint64(0x9E3779B97F4A7C15), np.uint64(1))
         return joined, start, end, owner, hashed, bad
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each of several ranges."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _appended(held: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """An array with more behind its used part, grown by half where it must be, and how much is used then."""
+    if used + len(more) > len(held):
+        grown = np.zeros((used + len(more)) * 3 // 2, held.dtype)
+        grown[:used] = held[:used]
+        held = grown
+    held[used : used + len(more)] = more
+    return held, used + len(more)
+
+
 class ChunkEncoder:
     """Encodes texts to packed little-endian ids of two bytes (four for vocabularies over 65,536).
 
@@ -133,27 +153,53 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.known = 0
+        self.slot_hash, self.slot_entry = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.begin, self.size, self.first, self.length = (np.zeros(1024, np.int64) for _ in range(4))
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.codes, self.spelled = np.zeros(1 << 16, np.uint32), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash; -1 for one not seen before."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, at = np.arange(len(hashes)), (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(left):
+            held = self.slot_hash[at]
+            hit = held == hashes[left]
+            out[left[hit]] = self.slot_entry[at[hit]]
+            on = ~hit & (held != 0)
+            left, at = left[on], at[on] + 1 & (1 << SLOT_BITS) - 1
+        return out
+
+    def _place(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        """Put distinct new hashes into free slots."""
+        at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(hashes):
+            free = self.slot_hash[at] == 0
+            self.slot_hash[at[free]] = hashes[free]  # of several for one slot the last stays
+            won = self.slot_hash[at] == hashes
+            self.slot_entry[at[won]] = entries[won]
+            hashes, entries, at = hashes[~won], entries[~won], at[~won] + 1 & (1 << SLOT_BITS) - 1
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, texts: list[str], codes: np.ndarray, length: np.ndarray) -> None:
+        """Remember chunks: their ids, and their code points, which ``codes`` holds one after the other."""
         got = self._ids(texts)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((x for ids in got for x in ids), self.dtype, int(sizes.sum()))
-        n, need = len(self.place), self.used + len(flat)
-        while len(self.begin) < n + len(got):
-            self.begin, self.size = np.concatenate([self.begin, self.begin]), np.concatenate([self.size, self.size])
-        while len(self.pool) < need:
-            self.pool = np.concatenate([self.pool, self.pool])
-        self.begin[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(got)] = sizes
-        self.pool[self.used : need] = flat
-        self.used = need
-        self.place.update(zip(hashes, range(n, n + len(got)), strict=True))
+        n, m = self.known, self.known + len(got)
+        while len(self.begin) < m:
+            self.begin, self.size, self.first, self.length = (np.concatenate([x, x]) for x in (self.begin, self.size, self.first, self.length))
+        self.begin[n:m] = self.used + np.cumsum(sizes) - sizes
+        self.size[n:m] = sizes
+        self.first[n:m] = self.spelled + np.cumsum(length) - length
+        self.length[n:m] = length
+        self.pool, self.used = _appended(self.pool, self.used, flat)
+        self.codes, self.spelled = _appended(self.codes, self.spelled, codes)
+        self._place(hashes, np.arange(n, m))
+        self.known = m
 
     def holds_added(self, text: str) -> bool:
         """Whether a text holds an added token's string, before or, where the token asks for it, after normalisation."""
@@ -192,15 +238,28 @@ class ChunkEncoder:
         joined, start, end, owner, hashed, bad = self.chunks.cut([self.chunks.prepare(texts[i]) for i in run])
         if not len(start):
             return [i for i, b in zip(run, bad, strict=True) if b]
-        if len(self.place) > MOST_KEPT:
+        if self.known > MOST_KEPT:
             self._forget()
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        length = end - start
         distinct, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.place]
-        if new:
+        found = self._find(distinct)
+        new = np.flatnonzero(found < 0)
+        if len(new):
             at = where[new]
-            self._learn([keys[k] for k in new], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-        entry = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse]
+            self._learn(distinct[new], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], code[ranges(start[at], length[at])], length[at])
+            found[new] = np.arange(self.known - len(new), self.known)
+        entry = found[inverse]
+        # What is not the remembered chunk, though its hash is the same.
+        other = self.length[entry] != length
+        if other.any():
+            bad[owner[other]] = True
+        ours = code if int(length.sum()) == len(code) else code[ranges(start, length)]
+        at = np.repeat(self.first[entry] - (np.cumsum(length) - length), length)
+        at += np.arange(len(at))
+        differ = np.flatnonzero(self.codes.take(at, mode="clip") != ours)
+        if len(differ):
+            bad[owner[np.searchsorted(np.cumsum(length), differ, side="right")]] = True
         size = self.size[entry]
         ends = np.cumsum(size)
         flat = self.pool[np.repeat(self.begin[entry] - (ends - size), size) + np.arange(ends[-1])].tobytes()
