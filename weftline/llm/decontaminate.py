@@ -1,17 +1,22 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units are replaced by typed placeholders, so a question and its copies with other
-figures have one template. Every window of eight template tokens of every benchmark item is hashed; the
-windows of a document are looked up among them. Windows that match on one diagonal (document place less
-item place) form a passage. Where no diagonal alone is enough, the item is aligned with the stretch around
-its windows, so that inserted or deleted words do not hide a copy. Items whose windows cannot tell (too
-short, or mostly numbers, names and units) are found by all their literal values in a row. Within a passage the slots must be consistent: each value of the item stands
-for one value in the document and back, as renaming does and chance does not.
+figures have one template. Every window of eight template tokens is hashed, in items and in documents, and
+the hashes are joined: a document and an item that share one are a candidate pair. Items whose windows
+cannot tell (too short, or mostly numbers, names and units) join by a hash of their first literal values.
+
+A candidate pair is then judged by itself. Windows that match on one diagonal (document place less item
+place) form a passage. Where no diagonal alone is enough, the item is aligned with the stretch around its
+windows, so that inserted or deleted words do not hide a copy. Within a passage the slots must be
+consistent: each value of the item stands for one value in the document and back, as renaming does and
+chance does not. Items with one template and one pattern of equal values cannot be told apart by a copy
+with other figures; they are one class, and its least item id stands for all.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -20,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, materialise
 from .tokens import text_batches
 
 WINDOW = 8
@@ -33,8 +39,9 @@ LEAST_CONSISTENT = 0.8
 EDITS = 4
 #: items of fewer tokens are found only where they are a whole text: one or two words stand anywhere
 LEAST_INSIDE = 4
-#: benchmark items compared at a time; more are worked off in blocks of as many
-ITEMS_AT_ONCE = 50_000
+#: distinct words and neighbouring pairs of words of a benchmark that are sent to tasks as a filter; with more
+#: of them every text is cut into windows
+MOST_PAIRS = 2_000_000
 MOST_KEPT = 400_000
 
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
@@ -106,9 +113,6 @@ class ItemIndex:
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
         self.hashes = np.array(hashes, np.uint64)[order]
         self.where = np.array(where, np.int64).reshape(-1, 2)[order]
-        self.seen: dict[str, int] = {}
-        codes = [[self.vocabulary[t] for t in tokens] for _, tokens, _ in self.items]
-        self.pairs = np.unique(np.array([a << 32 | b for ids in codes for a, b in zip(ids, ids[1:], strict=False)], np.int64))
         self.slots = {t for _, tokens, _ in self.items for t in tokens} & {NUMBER, NAME, UNIT}
 
     def _add_exact(self, n: int, held: np.ndarray) -> None:
@@ -145,8 +149,6 @@ class ItemIndex:
 
         Of several passages of one item the longest is told.
         """
-        if not self.may_match(text):
-            return []
         best: dict[int, tuple[int, int, float, float]] = {}
         forms = [template(text, True)]
         if NAME in self.slots or NAME in forms[0][0]:
@@ -225,6 +227,29 @@ class ItemIndex:
             if item not in best:
                 best[item] = (item, size, 1.0, 1.0)
 
+
+#: a part of a text without a token
+BLANK = -(1 << 40)
+
+
+def numbered_words(words: list[str]) -> dict[str, int]:
+    """Numbers from 1 for the placeholders and the words."""
+    return {w: i + 1 for i, w in enumerate([NUMBER, NAME, UNIT, *sorted(set(words) - {NUMBER, NAME, UNIT})])}
+
+
+class Neighbours:
+    """A filter of texts: which words of a benchmark stand next to each other in it.
+
+    ``words`` are the benchmark's template tokens; ``pairs`` the sorted pairs of the numbers of neighbours,
+    ``least`` the fewest tokens by which an item can be found.
+    """
+
+    def __init__(self, words: list[str], pairs: np.ndarray, least: int) -> None:
+        self.vocabulary = numbered_words(words)
+        self.slots = {NUMBER, NAME, UNIT} & set(words)
+        self.pairs, self.least = pairs, least
+        self.seen: dict[str, int] = {}
+
     def may_match(self, text: str) -> bool:
         """Whether the text has a run of tokens as long as a window, or as the shortest item kept by its values, in which any two neighbours are neighbours in an item.
 
@@ -270,10 +295,6 @@ class ItemIndex:
         return known[0] if len(words) == 1 else -len(words) if any(known) else 0
 
 
-#: a part of a text without a token
-BLANK = -(1 << 40)
-
-
 def _longest_run(places: list[int]) -> int:
     longest = run = 0
     for i, p in enumerate(places):
@@ -296,56 +317,215 @@ def consistent(pairs: list[tuple[str, str, str]]) -> float:
     return min(sum(max(of.values()) for of in side.values()) for side in (there, back)) / len(pairs)
 
 
-FOUND = "doc_id long, item_id long, tokens int, share double, consistent double"
+_SPLIT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator:
-    """The benchmark's items in broadcasts of about ITEMS_AT_ONCE."""
-    spark = benchmark.sparkSession
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()])
+def _hash_of(word: str) -> int:
+    """63 bits of a word that are the same on every machine."""
+    data = word.encode("utf-8", "replace")
+    return (zlib.crc32(data) << 31 ^ zlib.crc32(data, 0x5EED)) & (1 << 63) - 1
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, tokens, share, consistent) of every benchmark item found in ``docs(doc_id, text)``.
+class Hasher:
+    """Hashes of what items and texts are joined by; words already hashed are remembered."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        get = self.seen.get
+        got = list(map(get, words))
+        if None in got:
+            if len(self.seen) > MOST_KEPT:
+                self.seen.clear()
+            for w in set(words):
+                if w not in self.seen:
+                    self.seen[w] = _hash_of(w)
+            got = list(map(self.seen.get, words))
+        return np.array(got, np.uint64)
+
+    def windows(self, tokens: list[str]) -> np.ndarray:
+        """A hash of every window of template tokens with enough words in it; 0 for the others."""
+        n = len(tokens) - WINDOW + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        ids, h = self.numbers(tokens), np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(WINDOW):
+                h = (h ^ ids[k : k + n]) * _SPLIT
+                h ^= h >> np.uint64(29)
+        words = np.concatenate([[0], np.cumsum([t not in (NUMBER, NAME, UNIT) for t in tokens])])
+        return np.where(words[WINDOW:] - words[:-WINDOW] >= LEAST_WORDS, np.maximum(h, np.uint64(1)), np.uint64(0))
 
-    Null and empty texts hold nothing, and items under LEAST_INSIDE tokens are found as whole texts only. Repeated rows are
-    answered each. The benchmark is worked off in blocks of ITEMS_AT_ONCE items, each broadcast, so what
-    is sent is bounded whatever the number of items; documents are not shuffled. Other columns are not
-    read.
+    def literal(self, values: list[str]) -> int:
+        """A hash of literal values in a row."""
+        h = np.uint64(len(values))
+        with np.errstate(over="ignore"):
+            for x in self.numbers(values):
+                h = (h ^ x) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(31)
+        return int(max(h, np.uint64(1)))
+
+    def literals(self, values: list[str]) -> np.ndarray:
+        """Hashes of every LEAST_INSIDE literal values in a row, and of a whole text of fewer."""
+        if len(values) < LEAST_INSIDE:
+            return np.array([self.literal(values)] if values else [], np.uint64)
+        ids, n = self.numbers(values), len(values) - LEAST_INSIDE + 1
+        h = np.full(n, LEAST_INSIDE, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(LEAST_INSIDE):
+                h = (h ^ ids[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(31)
+        return np.maximum(h, np.uint64(1))
+
+    def of_item(self, text: str) -> list[int]:
+        """What an item is joined by: the windows of its forms, or its first values where no window can tell it."""
+        index = ItemIndex([(0, text)])
+        out = {int(h) for _, tokens, _ in index.items for h in self.windows(tokens) if h}
+        return sorted(out | {self.literal(list(start)) for start in index.exact})
+
+    def of_text(self, text: str, named: bool, literal: bool) -> np.ndarray:
+        """The distinct hashes of a text that items may share."""
+        forms = [template(text, True)]
+        if named or NAME in forms[0][0]:
+            forms.append(template(text, False))
+        parts = [self.windows(tokens) for tokens, _ in forms]
+        if literal:
+            parts.append(self.literals(forms[0][1]))
+        out = np.unique(np.concatenate(parts))
+        return out[out > 0]
+
+
+def pattern_of(text: str, named: bool = True) -> str:
+    """The template of an item with its values numbered by first occurrence: what a renaming leaves alone."""
+    first: dict[tuple[str, str], int] = {}
+    out = []
+    for token, value in zip(*template(text, named), strict=True):
+        out.append(f"{token}{first.setdefault((token, value), len(first))}" if token in (NUMBER, NAME, UNIT) else token)
+    return " ".join(out)
+
+
+ITEMS = "item_id long, text string, pattern string, hashes array<long>, words array<string>, pairs array<string>, least int, literal boolean"
+
+
+def prepared_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, items, hashes, ...) a row for each class of items of ``benchmark(item_id, text)``.
+
+    Items with the same templates, with names as slots and as words, and the same pattern of equal values
+    are a class, told by its least item id and that item's text; ``items`` counts them. An item that only its literal values can tell is a
+    class with its equals alone.
     """
-    found = None
-    for rows in _item_blocks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(rows.value)
-            for batch in batches:
-                out = [(d, *p) for part_ in text_batches(zip(*(c.to_pylist() for c in batch.columns), strict=True)) for d, t in part_ if t for p in index.passages(t)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            rows = []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                index = ItemIndex([(item, text)])
+                if not index.items[0][1]:
+                    continue
+                pairs = {f"{a} {b}" for _, tokens, _ in index.items for a, b in zip(tokens, tokens[1:], strict=False)}
+                words = {t for _, tokens, _ in index.items for t in tokens}
+                pattern = "\x04".join(index.items[0][2]) if index.exact else "\x05".join([pattern_of(text), pattern_of(text, False)])
+                rows.append((item, text, pattern, [h - (1 << 64) if h >> 63 else h for h in hasher.of_item(text)], sorted(words), sorted(pairs), index.least, bool(index.exact)))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 8, kinds, strict=True)], names=["item_id", "text", "pattern", "hashes", "words", "pairs", "least", "literal"])
+
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, ITEMS)
+    first = F.min(F.struct("item_id", "text", "hashes", "words", "pairs", "least", "literal")).alias("first")
+    return materialise(items.groupBy(F.sha2("pattern", 256).alias("pattern")).agg(first, F.countDistinct("item_id").alias("items")).select("first.*", "items"), "items")
+
+
+def _neighbours(items: DataFrame) -> tuple[list[str], np.ndarray, int] | None:
+    """The arguments of Neighbours for all items, or None where they are too many to send."""
+    pairs = items.select(F.explode("pairs").alias("p")).distinct().limit(MOST_PAIRS + 1).toArrow().column("p").to_pylist()
+    words = items.select(F.explode("words").alias("w")).distinct().limit(MOST_PAIRS + 1).toArrow().column("w").to_pylist()
+    if max(len(pairs), len(words)) > MOST_PAIRS:
+        return None
+    number = numbered_words(words)
+    codes = [number[a] << 32 | number[b] for a, b in (p.split(" ") for p in pairs)]
+    least = items.agg(F.min("least")).first()[0]
+    return words, np.unique(np.array(codes, np.int64)), least if least is not None else WINDOW
+
+
+_TEXT_KEY = ("__wl_h1", "__wl_h2")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two 64-bit hashes by which texts are told apart."""
+    return docs.withColumn(_TEXT_KEY[0], F.xxhash64("text")).withColumn(_TEXT_KEY[1], F.xxhash64(F.lit(1), "text"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table to be broadcast if it is small enough for that."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def leaking_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(__wl_h1, __wl_h2, item_id, items, tokens, share, consistent): the texts of ``docs`` that hold an item, each once.
+
+    A scan cuts texts into windows, passing over those without a run of words that stand next to each
+    other in the benchmark; the windows of distinct texts are joined with those of items; pairs that share
+    one are judged.
+    """
+    spark = docs.sparkSession
+    items = prepared_items(benchmark)
+    told = spark.sparkContext.broadcast((_neighbours(items), bool(items.filter("literal").limit(1).count())))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, literal = told.value
+        neighbours, hasher = Neighbours(*near) if near is not None else None, Hasher()
+        named = neighbours is None or NAME in neighbours.slots
+        for batch in batches:
+            for part in text_batches(enumerate(batch.column(0).to_pylist()), most=2048):
+                out = [(i, hasher.of_text(t, named, literal)) for i, t in part if t and (neighbours is None or neighbours.may_match(t))]
+                out = [(i, h) for i, h in out if len(h)]
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k_) for c, k_ in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "tokens", "share", "consistent"])
+                    held = batch.take(pa.array([i for i, _ in out], pa.int64()))
+                    hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(h) for _, h in out)]), pa.int32()), pa.array(np.concatenate([h for _, h in out]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*held.columns, hashes], names=["text", *_TEXT_KEY, "hashes"])
+
+    key = list(_TEXT_KEY)
+    texts = _keyed(docs.filter("text is not null and text != ''").select("text")).mapInArrow(cut, "text string, __wl_h1 long, __wl_h2 long, hashes array<long>")
+    texts = materialise(texts.dropDuplicates(key), "windows")
+    of_items = items.select("item_id", F.explode("hashes").alias("h"))
+    pairs = texts.select(*key, F.explode("hashes").alias("h")).join(_small(of_items), "h").select(*key, "item_id").distinct()
+    pairs = pairs.join(texts.select(*key, "text"), key).join(_small(items.select("item_id", F.col("text").alias("item"), "items")), "item_id")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, ItemIndex] = {}
+        for batch in batches:
+            rows = []
+            for h1, h2, text, item, of, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if item not in held:
+                    if len(held) > 20_000:
+                        held.clear()
+                    held[item] = ItemIndex([(item, of)])
+                rows += [(h1, h2, item, many, *p[1:]) for p in held[item].passages(text)]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*key, "item_id", "items", "tokens", "share", "consistent"])
+
+    return materialise(pairs.select(*key, "text", "item_id", "item", "items").mapInArrow(judge, "__wl_h1 long, __wl_h2 long, item_id long, items long, tokens int, share double, consistent double"), "leaks")
+
 
-        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
-        found = got if found is None else found.unionByName(got)
-    return found
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, tokens, share, consistent, items) of every benchmark item found in ``docs(doc_id, text)``.
+
+    ``item_id`` stands for the ``items`` items of its class (one template, one pattern of equal values).
+    Null and empty texts hold nothing, and items under LEAST_INSIDE tokens are found as whole texts only.
+    Items with a null id or text are left out; a null doc_id stays null; repeated rows are answered each.
+    Other columns are not read.
+    """
+    found = leaking_texts(docs, benchmark)
+    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    return rows.join(_small(found), list(_TEXT_KEY)).select("doc_id", "item_id", "tokens", "share", "consistent", "items")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of ``docs`` for the rows in which no benchmark item is found.
 
-    Every row is judged by its own text, whatever its id; nothing is joined or shuffled.
+    Every row is judged by its own text, whatever its id. The table must not have columns __wl_h1, __wl_h2.
     """
-    schema, at = docs.schema, docs.columns.index("text")
-    for rows in _item_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(rows.value)
-            for batch in batches:
-                clean = [not (t and index.passages(t)) for part in text_batches((None, t) for t in batch.column(at).to_pylist()) for _, t in part]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    found = leaking_texts(docs, benchmark).select(*_TEXT_KEY).distinct()
+    return _keyed(docs).join(_small(found), list(_TEXT_KEY), "left_anti").select(*docs.columns)
