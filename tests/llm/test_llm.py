@@ -192,6 +192,55 @@ def test_short_number_dense_and_edited_items(spark, text, want):
     assert [r["item_id"] for r in got.collect()] == want
 
 
+def _brute_leaks(rows, items):
+    """All (document, item, ...) found by judging every pair by itself."""
+    return {(d, i, *p[1:]) for i, item in items if item for p_index in [decontaminate.ItemIndex([(i, item)])] for d, t in rows for p in p_index.passages(t or "")}
+
+
+def _questions(rng, n):
+    """Made-up questions with slots, and two fillings of each: (item, a copy with other figures and names)."""
+    words = ["".join(rng.choice(list("bcdfglmnprst")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 4))) for _ in range(400)]
+    names = ["Alice", "Boris", "Chen", "Dora", "Emil", "Farah", "Goran", "Hana"]
+    out = []
+    for _ in range(n):
+        kinds = [rng.choice(["w", "w", "w", "w", "n", "N", "u"]) for _ in range(rng.integers(10, 32))]
+        body = [str(rng.choice(words)) for _ in kinds]
+        fills = []
+        for _ in range(2):
+            who, many = rng.permutation(names)[:2], rng.integers(2, 99, 3)
+            fills.append(" ".join({"n": str(many[i % 3]), "N": str(who[i % 2]), "u": f"{many[i % 3]} km"}.get(k, b) for i, (k, b) in enumerate(zip(kinds, body, strict=True))))
+        out.append(("so " + fills[0], "so " + fills[1]))
+    return out
+
+
+def test_leaks_are_those_of_all_pairs_and_copies_with_other_figures_are_found(spark, texts):
+    rng = np.random.default_rng(11)
+    made = _questions(rng, 60)
+    items = [*enumerate(a for a, _ in made), *[(100 + i, t) for i, t in SHORT], (200, None), (201, ""), (202, made[0][0])]
+    clean = [t for t in texts.values() if t][:40]
+    rows = [(i, f"{clean[i % 40][:200]}. {b} . {clean[(i + 7) % 40][:300]}") for i, (_, b) in enumerate(made)]
+    rows += [(1000 + i, t) for i, t in enumerate([*clean, *(a for a, _ in made[:10]), "7 8 9", "7", "", made[3][0].upper()])] + [(2000, None), (None, made[5][0]), (5, made[5][0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"], r["tokens"], r["share"], r["consistent"]) for r in found}
+    want = _brute_leaks(rows, items)
+    first = {}
+    for i, item in sorted((i, t) for i, t in items if t):
+        first.setdefault(item, i)
+    assert got == {w for w in want if first[dict(items)[w[1]]] == w[1]}  # equal items are one class
+    told = [i for i, (a, _) in enumerate(made) if decontaminate.Hasher().of_item(a) and not decontaminate.ItemIndex([(0, a)]).exact]
+    assert len(told) >= 40 and sum((i, i) in {g[:2] for g in got} for i in told) >= 0.9 * len(told)
+    assert {r["items"] for r in found if r["item_id"] == 0} == {2}
+
+
+def test_a_benchmark_too_large_for_the_filter_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(ITEMS)] + [(9, "so " + SHORT[3][1]), (10, "nothing of it here")], "doc_id long, text string")
+    items = spark.createDataFrame([*ITEMS, *SHORT], "item_id long, text string")
+    want = sorted(decontaminate.find_leaks(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "MOST_PAIRS", 3)
+    assert want and sorted(decontaminate.find_leaks(docs, items).collect()) == want
+
+
 def test_slots_must_agree():
     assert decontaminate.consistent([("12", "7", "n"), ("12", "7", "n")]) == 1.0
     assert decontaminate.consistent([("12", "7", "n"), ("12", "9", "n")]) == 0.5
@@ -223,22 +272,129 @@ def test_base_scores_and_counts_are_brute_force(spark, sf_dir, texts):
         assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel_tol=1e-9)
         assert (r["n_tokens"], r["n_known"], r["held_out"], r["train_tokens"]) == (len(t), sum(c[x] > 0 for x in t), out[d], n)
         assert r["score"] < 0 and r["bits_per_byte"] > 0
-    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-def test_words_spell_a_distribution():
-    """Over all continuations of a prefix the coder's decisions are a prefix code: its lengths fill the space exactly."""
-    length, nodes, bits = lm.huffman(np.bincount(np.frombuffer(b"the quick brown fox ", np.uint8), minlength=256).astype(float))
-    assert math.isclose(sum(2.0 ** -float(n) for n in length), 1.0)
-    slots, bit, word, place = lm.decisions([b"ab", b""], (length, nodes, bits))
-    assert len(bit) == length[ord("a")] + length[ord("b")] + 2 * length[lm.END]
-    assert place.max() == 2 and word.max() == 1 and all(len(s) == len(bit) for s in slots)
+def _lm_rows(spark, values, learn=None):
+    rows = [(i, v, True if learn is None else learn[i]) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+
+
+def _lm_model(spark, values, learn=None):
+    counts = lm.count_words(_lm_rows(spark, values, learn)).cache()
+    return lm.fit(counts, counts.filter("word is not null").count()), counts
+
+
+def _single(word, tail, model):
+    """The decisions of one word after a word that ends in ``tail``: bit, level and the slot in each table, one by one."""
+    data = np.frombuffer(word + b" ", np.uint8)
+    s = lm.Spelling(data, np.array([len(data)]), model.code, model.bits)
+    for i in range(len(s.bit)):
+        last = s.running(np.array([i]), np.array([tail], np.uint32))[0] if s.across[i] else s.slots[3][i]
+        yield int(s.bit[i]), int(s.level[i]), [int(s.slots[k][i]) for k in range(3)] + [int(last)]
+
+
+def _tails(words):
+    stream = b"   " + b" ".join([*words, b""])
+    at, out = 0, []
+    for w in [*words, b""]:
+        out.append(stream[at] << 8 | stream[at + 1] if at else 0x2020)
+        at += len(w) + 1
+    return out
+
+
+def test_every_code_is_complete(spark, texts):
+    model, _ = _lm_model(spark, list(texts.values())[:40])
+    assert np.allclose((0.5 ** model.code[1].astype(float)).sum(axis=1), 1.0)
+
+
+def test_tables_count_every_decision_of_every_training_text(spark, texts):
+    values = [*list(texts.values())[:25], "", None, "a b a b a", "word " * 50]
+    learn = [i % 5 != 1 for i in range(len(values))]
+    model, _ = _lm_model(spark, values, learn)
+    counts = [Counter() for _ in range(4)]
+    for v, own in zip(values, learn, strict=True):
+        words = (v or "").encode().lower().split()
+        for w, tail in zip([*words, b""], _tails(words), strict=True):
+            if own:
+                for bit, _, slots in _single(w, tail, model):
+                    for k, slot in enumerate(slots):
+                        counts[k][slot, bit] += 1
+    for k, (plain, without) in enumerate(model.tables):
+        want = np.zeros((len(plain), 2))
+        for (slot, bit), n in counts[k].items():
+            want[slot, bit] = n
+        assert (lm.log_odds(want[:, 0], want[:, 1]) == plain).all()
+        assert (lm.log_odds(np.maximum(want[:, 0] - 1, 0), want[:, 1]) == without[::2]).all()
+        assert (lm.log_odds(want[:, 0], np.maximum(want[:, 1] - 1, 0)) == without[1::2]).all()
+
+
+def _cost(text, model, own):
+    """What a text's tokens cost in nats, decision by decision."""
+    words = (text or "").encode().lower().split()
+    trust, bends, out = 1.0, np.zeros(lm.STEPS), []
+    moves = [0.0, np.zeros(lm.STEPS)]
+    for i, (w, tail) in enumerate(zip([*words, b""], _tails(words), strict=True)):
+        if i and i % lm.SEGMENT == 0:
+            trust, bends = trust + lm.RATE * moves[0], bends + lm.MAP_RATE * moves[1]
+            moves = [0.0, np.zeros(lm.STEPS)]
+        total = 0.0
+        for bit, level, slots in _single(w, tail, model):
+            x = [float(model.tables[k][1][2 * s + bit] if own else model.tables[k][0][s]) for k, s in enumerate(slots)]
+            cls = (x[1] != 0) + 2 * (x[2] != 0) + 4 * (x[3] != 0)
+            s = sum(a / 16 * float(b) for a, b in zip(x, model.weights[cls + 8 * level][:4], strict=True)) + 0.25 * float(model.weights[cls + 8 * level][4])
+            s = min(max(s, -12), 12)
+            step = int(min(max(s * 2 + lm.STEPS // 2 + 0.5, 0), lm.STEPS - 0.5))
+            s += float(model.refined[cls][step])
+            p = 1 / (1 + math.exp(-(trust * s + bends[step])))
+            total -= math.log(p if bit else 1 - p)
+            moves[0] += (bit - p) * s
+            moves[1][step] += bit - p
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_mixing_is_brute_force(spark, texts, own):
+    values = list(texts.values())[:30]
+    model, _ = _lm_model(spark, values)
+    asked = [values[0], values[1][:700], "", "unseen Words zzqx " * 40, "x"]
+    streams = [lm.stream_of(v) for v in asked]
+    pool = lm.Pool(streams, model, own)
+    t = lm.Tokens(streams)
+    got = lm.mix(t, pool.word, pool, model, own)
+    for i, v in enumerate(asked):
+        want = _cost(v, model, own)
+        assert np.allclose(got[t.first[i] : t.first[i] + t.many[i]], want, rtol=2e-2, atol=2e-2)
+        assert math.isclose(got[t.first[i] : t.first[i] + t.many[i]].sum(), sum(want), rel_tol=2e-3, abs_tol=0.02)
 
 
-def test_told_words_round_trip():
-    n = np.array([[0, 0, 0, 0], [0, 5, 0, 0], [1, 2, 0, 9], [1 << 40, 0, 0, 0]])
-    a, s, got = lm.unpack_told(lm.pack_told(np.array([-1.5, -2, -3, -4]), np.array([1, 2, 3, 4]), n))
-    assert (got == n).all() and list(s) == [1, 2, 3, 4] and a[0] == -1.5
+def test_rarer_words_are_joined_and_the_model_beats_unigrams(spark, docs):
+    learn = ~held_out("doc_id", 7, 2)
+    own = {r["doc_id"]: r for r in lm.score_documents(docs, learn).collect()}
+    for r in lm.score_documents(docs, learn, most_common=60).collect():
+        assert math.isclose(r["base_score"], own[r["doc_id"]]["base_score"], rel_tol=1e-9) and r["n_known"] == own[r["doc_id"]]["n_known"]
+        assert math.isclose(r["score"], own[r["doc_id"]]["score"], rel_tol=1e-9)
+
+
+def test_held_out_texts_cost_less_than_by_unigrams(spark):
+    got = queries.op4_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_repeated_texts_and_passages_cost_less(spark, texts):
+    values = [v for v in texts.values() if v and len(v.split()) > 300][:12]
+    passage = " ".join(values[3].split()[:250])
+    rows = [*values, values[0], "other words before it here " + passage + " and some after", None]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm.score_documents(_lm_rows(spark, rows), F.lit(True)).collect()}
+    alone = {r["doc_id"]: r["bits_per_byte"] for r in lm.score_documents(_lm_rows(spark, values), F.lit(True)).collect()}
+    assert got[0] < 0.6 * alone[0] and math.isclose(got[0], got[12], rel_tol=1e-6) and got[13] < 0.75 * alone[3]
+    assert all(abs(got[i] / alone[i] - 1) < 0.1 for i in range(1, 12) if i != 3)
+
+
+def test_lm_very_long_text_and_copies_of_words(spark):
+    rows = ["abc " * 500_000, "z" * 1_000_000, "abc abd"]
+    got = lm.score_documents(_lm_rows(spark, rows), F.lit(True)).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [500_001, 2, 3] and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
 def test_lm_edge_rows(odd):
@@ -249,26 +405,6 @@ def test_lm_edge_rows(odd):
     assert lm.score_documents(odd.limit(0), F.lit(True)).count() == 0
 
 
-def test_contexts_are_five_and_told_apart_by_kind():
-    code = lm.huffman(np.ones(256))
-    one, two = lm.decisions([b"abcde"], code, 0)[0], lm.decisions([b"abcde"], code, 1)[0]
-    assert lm.TABLE_BITS == (16, 18, 20, 20, 22) and len(one) == 5
-    assert [bool((a == b).all()) for a, b in zip(one, two, strict=True)] == [False, False, False, True, False]
-    # The first context is the last byte alone: 'e' after 'd' is coded in the same slots whatever came before.
-    other = lm.decisions([b"xyzde"], code, 0)[0]
-    assert (one[0][32:] == other[0][32:]).all() and not (one[1][24:32] == other[1][24:32]).all()
-
-
-def test_every_kind_spells_a_word():
-    a, s, n = lm.unpack_told(lm.pack_told(np.arange(8.0).reshape(2, 4), np.array([1, 2]), np.array([[0, 0, 0, 0], [0, 5, 0, 0]])), 4)
-    assert a.tolist() == [[0, 1, 2, 3], [4, 5, 6, 7]] and list(s) == [1, 2] and n[1].tolist() == [0, 5, 0, 0]
-    # A text spelled by the third kind alone is scored by that kind's spelling soon.
-    logs = np.full((400, 8), -50.0)
-    logs[:, 2] = -3.0
-    total = lm.weigh_online(logs, np.array([0]), np.array([400]), 0.1, np.full(4, 0.25))
-    assert -1300 < total[0] < -1200
-
-
 # ------------------------------------------------------------ toxicity
 
 
@@ -391,6 +527,30 @@ def test_added_tokens_are_matched_as_by_an_unmodified_tokenizer(path, splitter,
     assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(values)] == want
 
 
+def _thue_morse(a, b, n=1024):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("path,splitter", [(BYTE, "spaces"), (WORD, "words")])
+def test_chunks_of_one_hash_are_told_apart(path, splitter):
+    """Strings on which polynomial hashes modulo 2^64 collide, in one call and over two calls."""
+    pair = ["x" + _thue_morse("a", "b") + "x", "x" + _thue_morse("b", "a") + "x"]
+    values = [*pair, "plain words " + pair[1] + " here", pair[0]]
+    for calls in ([values], [[v] for v in values]):
+        e = tokens.ChunkEncoder(path, splitter, tokens.character_classes())
+        got = [np.frombuffer(x, e.dtype).tolist() for part in calls for x in e.encode(part)]
+        assert got == _ids(path, values)
+
+
+@pytest.mark.parametrize("path,splitter", [(BYTE, "spaces"), (WORD, "words")])
+def test_chunk_memory_survives_forgetting_and_long_texts(path, splitter, texts, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_KEPT", 500)
+    values = [*list(texts.values())[:200], "lorem ipsum " * 100_000, "z" * 300_000, *list(texts.values())[:50]]
+    e = tokens.ChunkEncoder(path, splitter, tokens.character_classes())
+    got = [np.frombuffer(x, e.dtype).tolist() for v in values for x in e.encode([v])]
+    assert got == _ids(path, values)
+
+
 def test_packing_and_files_hold_added_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir``; where the session names none (tests, one machine), a fresh
-    temporary folder is made and recorded in the session.
+    Where the session names none and runs on one machine (local master, as in tests), a fresh temporary
+    folder is made and recorded in the session. On a cluster that would be another folder on every machine,
+    so there it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.weftline.scratch", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.weftline.scratch", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.weftline.scratch", path)
     return path.rstrip("/")
