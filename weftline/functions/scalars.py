@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Kinds of symbols and file extensions as the index knows them.
-CLASS_KINDS = ("class", "struct", "enum", "interface", "uclass", "ustruct", "uenum", "uinterface")
+CLASS_KINDS = ("class", "struct", "enum", "uclass", "ustruct", "uenum", "uinterface", "typedef")
 FUNCTION_KINDS = ("function", "method", "delegate")
-SOURCE_EXTENSIONS = ("cpp", "c", "cc", "cxx", "inl", "h", "hpp", "hh")
+SOURCE_EXTENSIONS = ("h", "hh", "hpp", "hxx", "inl", "ipp", "c", "cc", "cpp", "cxx", "cs")
 HEADER_EXTENSIONS = ("h", "hpp", "hh", "inl")
-TEXT_EXTENSIONS = (*SOURCE_EXTENSIONS, "cs", "ini", "json", "py", "lua", "md", "txt", "toml", "xml", "usf", "ush")
+TEXT_EXTENSIONS = (*SOURCE_EXTENSIONS, "ini", "json", "uproject", "uplugin")
 
 
 def _col(c: Column | str) -> Column:
@@ -29,6 +29,11 @@ def compact_identifier(c: Column | str) -> Column:
     return lower_ascii(F.regexp_replace(_col(c), "[^A-Za-z0-9]", ""))
 
 
+def compact_name(c: Column | str) -> Column:
+    """Lower-cased without underscores, colons and spaces; other signs stay, unlike in ``compact_identifier``."""
+    return lower_ascii(F.translate(_col(c), "_: ", ""))
+
+
 def is_class_like(kind: Column | str) -> Column:
     return lower_ascii(kind).isin(*CLASS_KINDS)
 
@@ -39,7 +44,8 @@ def is_function_like(kind: Column | str) -> Column:
 
 
 def is_member_like(kind: Column | str) -> Column:
-    return ~is_class_like(kind)
+    """Neither class-like nor function-like."""
+    return ~is_class_like(kind) & ~is_function_like(kind)
 
 
 def kind_rank(kind: Column | str) -> Column:
@@ -215,18 +221,36 @@ def is_code_occurrence(line: Column | str, column: Column) -> Column:
 
 
 def classify_usage(line: Column | str, column: Column, symbol: str) -> Column:
-    """declaration, definition, call, write or read. Any ``=`` right after the symbol counts as a write, ``==`` too."""
+    """declaration, definition, call, write or read.
+
+    A line with a property or function macro declares; a parenthesis after the symbol defines where ``::``
+    stands before it and calls otherwise. Any ``=`` right after the symbol counts as a write, ``==`` too.
+    """
     line = _col(line)
     before = F.substring(line, F.lit(1), column - 1)
-    after = F.ltrim(F.substring(line, column + len(symbol), F.lit(1 << 30)))
+    after = F.regexp_replace(F.substring(line, column + len(symbol), F.lit(1 << 30)), r"^\s+", "")
     return (
-        F.when(before.rlike(r"\b(class|struct|enum|interface)\s+$"), F.when(after.startswith(";"), "declaration").otherwise("definition"))
+        F.when(line.contains("UPROPERTY(") | line.contains("UFUNCTION("), "declaration")
+        .when(before.contains("::") & after.startswith("("), "definition")
         .when(after.startswith("("), "call")
-        .when(after.startswith("=") | after.rlike(r"^[-+*/|&^%]="), "write")
+        .when(after.rlike(r"^[-+*/]?="), "write")
         .otherwise("read")
     )
 
 
+def classify_location(path: Column | str, context: Column | str, symbol: Column | str, owner: Column | str | None = None) -> Column:
+    """definition or declaration, by the file's kind and the line.
+
+    Members (with an owner) are defined in implementation files on lines that hold ``::`` and the symbol,
+    other symbols there on lines that hold the symbol and a brace or a parenthesis.
+    """
+    context, symbol = _col(context), _col(symbol)
+    implementation = lower_ascii(path).rlike(r"\.(cpp|cc|cxx)$") & context.contains(symbol)
+    free = context.contains("{") | context.contains("(")
+    told = free if owner is None else F.when(_col(owner).isNotNull(), context.contains("::")).otherwise(free)
+    return F.when(implementation & told, "definition").otherwise("declaration")
+
+
 def qualifier_before(line: Column | str, column: Column) -> tuple[Column, Column]:
     """The identifier and the operator (``->``, ``.`` or ``::``) that end right before a place; empty without."""
     before = F.substring(_col(line), F.lit(1), column - 1)

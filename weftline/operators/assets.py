@@ -33,10 +33,14 @@ def usage_hints(usages: DataFrame, names: DataFrame, name: str = "name") -> Data
 
 
 def best_parent(candidates: DataFrame, group: str, path: str = "path", position: str = "position") -> DataFrame:
-    """The likeliest parent class of each asset: project classes over engine classes over other built-ins, then the first seen."""
+    """The likeliest parent class of each asset: project classes over engine classes over other built-ins, then the first seen.
+
+    The module is what stands between ``/Script/`` and the first dot.
+    """
     from .checks import cap_per_group
 
-    score = F.when(F.col(path).startswith("/Script/Engine"), 20).when(F.col(path).startswith("/Script/") & F.col(path).rlike("^/Script/(CoreUObject|UMG|AIModule)"), 10).otherwise(100)
+    module = F.regexp_extract(path, r"^/Script/([^.]*)", 1)
+    score = F.when(module == "Engine", 20).when(module.isin("CoreUObject", "UnrealEd"), 10).otherwise(100)
     return cap_per_group(candidates.withColumn("score", score), [group], [F.desc("score"), F.col(position)], 1)
 
 

@@ -1,36 +1,39 @@
 """Graphs: hierarchy paths, closures and breadth-first ranks.
 
-Closures advance a frontier: each step joins the new pairs with the edges and removes those seen before,
-so cycles end and a node reached on many paths is kept once. Steps are checkpointed to the folder that
-the session names, as their lineage would otherwise grow with depth.
+Without seeds a closure doubles the length of its paths each step, so the number of steps grows with the
+logarithm of the depth. From seeds it advances a frontier. Steps are written to the folder that driver and
+executors share, as their lineage would otherwise grow with depth.
 """
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialise
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
+#: walks from at least one in so many nodes are cut out of those from everywhere
+MANY_SEEDS = 8
 
 
 def hierarchy_paths(spark: SparkSession, nodes: DataFrame, separator: str = "/") -> DataFrame:
-    """(id, full_path, depth) of ``nodes(id, parent_id, name)`` from the roots down, as one recursive query."""
-    nodes.createOrReplaceTempView("__weftline_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, full_path, depth) AS (
-            SELECT id, CAST(name AS STRING), 0 FROM __weftline_nodes WHERE parent_id IS NULL
-            UNION ALL
-            SELECT n.id, concat(w.full_path, '{separator}', n.name), w.depth + 1 FROM __weftline_nodes n JOIN walk w ON n.parent_id = w.id)
-        SELECT id, full_path, depth FROM walk""")
+    """(id, full_path, depth) of ``nodes(id, parent_id, name)`` that hang below a root (a null parent), of any depth.
+
+    Every step puts a node's path behind that of the node it hangs from, which doubles the paths. Nodes
+    below a missing parent or on a cycle have no root and are left out.
+    """
+    state = nodes.select("id", F.col("parent_id").alias("above"), F.col("name").cast("string").alias("full_path"), F.lit(0).alias("depth"))
+    state, steps = materialise(state, "paths"), 0
+    count = state.count()
+    while True:
+        waiting = state.filter("above is not null")
+        if waiting.isEmpty() or 1 << steps > 2 * count:
+            return state.filter("above is null").select("id", "full_path", "depth")
+        up = state.select(F.col("id").alias("__id"), F.col("above").alias("__above"), F.col("full_path").alias("__path"), F.col("depth").alias("__depth"))
+        moved = waiting.join(up, F.col("above") == F.col("__id")).select("id", F.col("__above").alias("above"), F.concat("__path", F.lit(separator), "full_path").alias("full_path"), (F.col("depth") + F.col("__depth") + 1).alias("depth"))
+        state, steps = materialise(state.filter("above is null").unionByName(moved), "paths"), steps + 1
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
@@ -40,16 +43,43 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
     ``seeds(src)`` limits where walks begin; without it they begin everywhere.
     """
     e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    if seeds is None:
+        return _from_everywhere(e, max_depth)
+    e = materialise(e, "edges")
+    begin = materialise(e.select("src").distinct().join(seeds.select("src").distinct(), "src", "left_semi"), "seeds")
+    if begin.count() * MANY_SEEDS < e.select("src").distinct().count():
+        return _from_seeds(e, begin, max_depth)
+    return _from_everywhere(e, max_depth).join(begin, "src", "left_semi")
+
+
+def _from_everywhere(e: DataFrame, max_depth: int | None) -> DataFrame:
+    """Pairs of up to 2, 4, 8, ... edges: a shortest path of d < n <= 2d edges is one of d and one of at most d."""
+    parts, reach = [materialise(e.withColumn("depth", F.lit(1)), "closure")], 1
+    while max_depth is None or reach < max_depth:
+        far = parts[-1].filter(F.col("depth") == reach)
+        if far.isEmpty():
+            break
+        found = reduce(DataFrame.unionByName, parts)
+        on = found.select(F.col("src").alias("__from"), F.col("dst").alias("__to"), F.col("depth").alias("__more"))
+        if max_depth is not None:
+            on = on.filter(F.col("__more") <= max_depth - reach)
+        reached = far.join(on, F.col("dst") == F.col("__from")).groupBy("src", F.col("__to").alias("dst")).agg((F.min("__more") + reach).alias("depth"))
+        parts.append(materialise(reached.join(found.select("src", "dst"), ["src", "dst"], "left_anti"), "closure"))
+        reach *= 2
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _from_seeds(e: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
     step = e.select(F.col("src").alias("__from"), F.col("dst").alias("__to"))
-    first = e if seeds is None else e.join(seeds.select("src").distinct(), "src", "left_semi")
-    parts, depth = [_checkpointed(first.select("src", "dst", F.lit(1).alias("depth")))], 1
+    first = e.join(seeds, "src", "left_semi").withColumn("depth", F.lit(1))
+    parts, depth = [materialise(first, "closure")], 1
     while (max_depth is None or depth < max_depth) and not parts[-1].isEmpty():
         depth += 1
         found = reduce(DataFrame.unionByName, parts)
         reached = parts[-1].join(step, F.col("dst") == F.col("__from")).select("src", F.col("__to").alias("dst")).distinct()
-        parts.append(_checkpointed(reached.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))))
+        parts.append(materialise(reached.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "closure"))
         if len(parts) > 32:  # keep the union short on deep graphs
-            parts = [_checkpointed(reduce(DataFrame.unionByName, parts[:-1])), parts[-1]]
+            parts = [materialise(reduce(DataFrame.unionByName, parts[:-1]), "closure"), parts[-1]]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import assets, build, checks, fold, graph, resolve, search, usages
+from ..operators.scratch import scratch_path
 from ..sources import text as T
 from ..streaming import changes
 from .catalog import SYMBOLS_SQL, compact, document_lines, lines_sql, low, symbols, table
@@ -521,7 +520,7 @@ _HTML = lines_sql("pages", "page_id", "html")
 
 @query(f"""WITH {_HTML}, o AS (SELECT page_id, line_number, line_text, strlen(regexp_extract(' ' || line_text, '^(.*?)[^A-Za-z0-9_]class(?:[^A-Za-z0-9_]|$)', 1)) AS b, length(regexp_extract(' ' || line_text, '^(.*?[^A-Za-z0-9_])class(?:[^A-Za-z0-9_]|$)', 1)) AS c FROM lines WHERE contains(line_text, 'class')),
   p AS (SELECT *, left(line_text, c - 1) AS before, ltrim(substr(line_text, c + 5)) AS after FROM o WHERE c > 0)
-  SELECT page_id, line_number, c AS "column", CASE WHEN regexp_matches(before, '\\b(class|struct|enum|interface)\\s+$') THEN CASE WHEN starts_with(after, ';') THEN 'declaration' ELSE 'definition' END WHEN starts_with(after, '(') THEN 'call' WHEN starts_with(after, '=') OR regexp_matches(after, '^[-+*/|&^%]=') THEN 'write' ELSE 'read' END AS usage FROM p
+  SELECT page_id, line_number, c AS "column", CASE WHEN contains(line_text, 'UPROPERTY(') OR contains(line_text, 'UFUNCTION(') THEN 'declaration' WHEN contains(before, '::') AND starts_with(after, '(') THEN 'definition' WHEN starts_with(after, '(') THEN 'call' WHEN regexp_matches(after, '^[-+*/]?=') THEN 'write' ELSE 'read' END AS usage FROM p
   WHERE NOT contains(before, '//') AND (length(before) - length(replace(regexp_replace(before, '\\\\.', '', 'g'), '"', '')) - (length(before) - length(regexp_replace(before, '\\\\.', '', 'g')))) % 2 = 0""")
 def usage_classify(spark, d):
     return usages.usage_lines(T.lines(table(spark, d, "pages"), "page_id", "html"), "page_id", "class").select("page_id", "line_number", "column", "usage")
@@ -537,25 +536,32 @@ def qualifier_before(spark, d):
 
 def _log(spark, d) -> DataFrame:
     part = table(spark, d, "part")
-    line = F.when(F.col("p_partkey") % 3 == 0, F.format_string("C:\\src\\%s.cpp(%d,%d): error C%d: '%s' is undefined", "p_brand", "p_size", F.col("p_partkey") % 80, F.col("p_partkey") % 9000 + 1000, "p_name"))
-    line = line.when(F.col("p_partkey") % 3 == 1, F.format_string("D:/game/%s.h(%d): Warning: unused %s", "p_type", "p_size", "p_name")).otherwise(F.format_string("building %s", "p_name"))
+    k = F.col("p_partkey") % 6
+    line = F.when(k == 0, F.format_string("C:\\src\\%s.cpp(%d,%d): error C%d: '%s' is undefined", "p_brand", "p_size", F.col("p_partkey") % 80, F.col("p_partkey") % 9000 + 1000, "p_name"))
+    line = line.when(k == 1, F.format_string("D:/game/%s.h:%d: Warning: unused %s", "p_type", "p_size", "p_name"))
+    line = line.when(k == 2, F.format_string("C:/src/%s.h(%d): fatal error C1083: no %s", "p_brand", "p_size", "p_name"))
+    line = line.when(k == 3, F.format_string("C:/a/%s.h:12: Error: bad %s", "p_brand", "p_name"))
+    line = line.when(k == 4, F.format_string("/home/%s.c:3:5: error: not of these forms", "p_brand")).otherwise(F.format_string("building %s", "p_name"))
     return part.select("p_partkey", line.alias("line_text"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'C:/src/' || p_brand || '.cpp' ELSE 'D:/game/' || p_type || '.h' END AS file_path, greatest(p_size - 1, 0) AS line, CASE WHEN p_partkey % 3 = 0 THEN greatest(p_partkey % 80 - 1, 0) ELSE 0 END AS "character",
-  CASE WHEN p_partkey % 3 = 0 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN p_partkey % 3 = 0 THEN 'C' || (p_partkey % 9000 + 1000) END AS code, CASE WHEN p_partkey % 3 = 0 THEN '''' || p_name || ''' is undefined' ELSE 'unused ' || p_name END AS message FROM part WHERE p_partkey % 3 < 2""")
+@query("""WITH p AS (SELECT *, p_partkey % 6 AS k FROM part WHERE p_partkey % 6 < 4)
+  SELECT p_partkey, CASE k WHEN 0 THEN 'C:/src/' || p_brand || '.cpp' WHEN 1 THEN 'D:/game/' || p_type || '.h' WHEN 2 THEN 'C:/src/' || p_brand || '.h' ELSE 'C:/a/' || p_brand || '.h' END AS file_path,
+  CASE k WHEN 3 THEN 11 ELSE greatest(p_size - 1, 0) END AS line, CASE k WHEN 0 THEN greatest(p_partkey % 80 - 1, 0) ELSE 0 END AS "character", CASE k WHEN 1 THEN 'warning' ELSE 'error' END AS severity,
+  CASE WHEN k IN (0, 2) THEN 'MSVC' ELSE 'UHT' END AS source, 'BUILD' AS code,
+  CASE k WHEN 0 THEN 'C' || (p_partkey % 9000 + 1000) || ': ''' || p_name || ''' is undefined' WHEN 1 THEN 'unused ' || p_name WHEN 2 THEN 'C1083: no ' || p_name ELSE 'bad ' || p_name END AS message FROM p""")
 def build_log_parse(spark, d):
     return T.build_diagnostics(_log(spark, d), "p_partkey")
 
 
 def _ini(spark, d) -> DataFrame:
     part = table(spark, d, "part")
-    text = F.concat_ws("\n", F.lit("; head"), F.concat(F.lit("["), F.col("p_type"), F.lit("]")), F.concat(F.lit("Name = "), F.col("p_name")), F.concat(F.lit("+Size="), F.col("p_size").cast("string")), F.lit("!Clear"), F.concat(F.lit("-Brand="), F.col("p_brand"), F.lit("=x")))
+    text = F.concat_ws("\n", F.lit("; head"), F.concat(F.lit("Early="), F.col("p_brand")), F.concat(F.lit("  ["), F.col("p_type"), F.lit("]")), F.concat(F.lit("Name = "), F.col("p_name")), F.concat(F.lit("+Size="), F.col("p_size").cast("string")), F.lit("!Clear"), F.lit("!Gone="), F.lit("=none"), F.concat(F.lit("-Brand="), F.col("p_brand"), F.lit("=x")))
     return T.lines(part.select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
-@query("""SELECT p_partkey, p_type AS section, 'Name' AS name, '' AS op, p_name AS value, 3 AS line FROM part UNION ALL SELECT p_partkey, p_type, 'Size', '+', p_size::VARCHAR, 4 FROM part
-  UNION ALL SELECT p_partkey, p_type, 'Clear', '!', '', 5 FROM part UNION ALL SELECT p_partkey, p_type, 'Brand', '-', p_brand || '=x', 6 FROM part""")
+@query("""SELECT p_partkey, p_type AS section, 'Name' AS name, '' AS op, p_name AS value, 4 AS line FROM part UNION ALL SELECT p_partkey, p_type, 'Size', '+', p_size::VARCHAR, 5 FROM part
+  UNION ALL SELECT p_partkey, 'Default', 'Early', '', p_brand, 2 FROM part UNION ALL SELECT p_partkey, p_type, 'Gone', '!', '', 7 FROM part UNION ALL SELECT p_partkey, p_type, 'Brand', '-', p_brand || '=x', 9 FROM part""")
 def ini_parse(spark, d):
     return T.ini_entries(_ini(spark, d), "p_partkey")
 
@@ -565,7 +571,7 @@ def ini_parse(spark, d):
 
 def _drained(stream: DataFrame, spark: SparkSession, mode: str = "append", each=None) -> str:
     """Run a stream over what is there and return the folder that it wrote."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='weftline-')}/stream-{uuid.uuid4().hex[:12]}"
+    folder = scratch_path(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     started = writer.foreachBatch(each(f"{folder}/rows")).start() if each else writer.format("parquet").option("path", f"{folder}/rows").start()
     started.awaitTermination()
@@ -586,12 +592,17 @@ def stream_throttle(spark, d):
 def stream_upsert(spark, d):
     rows = _stream(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("gone"))
     folder = _drained(rows, spark, "update", lambda store: changes.upsert_each_batch(store, ["o_custkey"], "o_orderkey", "gone"))
-    return spark.read.parquet(f"{folder}/batch=0")
+    return changes.read_store(spark, folder, ["o_custkey"], "o_orderkey", "gone")
 
 
-@query("""WITH e AS (SELECT event_id, '/Game/' || event_type || CASE event_type WHEN 'error' THEN '.ini' WHEN 'view' THEN '.uasset' WHEN 'click' THEN '.cpp' ELSE '.bin' END AS path, value > 5 AS present FROM events)
-  SELECT event_id, CASE WHEN NOT present THEN 'delete' WHEN ends_with(path, '.ini') THEN 'config' WHEN ends_with(path, '.uasset') THEN 'asset' WHEN ends_with(path, '.cpp') THEN 'source' ELSE 'ignore' END AS route FROM e""")
+_EVENT_PATHS = {"error": "/Game/Config/a.ini", "view": "/Game/Maps/b.uasset", "click": "/Game/Source/c.cpp", "signup": "E:\\\\P\\\\INTERMEDIATE\\\\d.h", "purchase": "/Game/Source/e.Generated.h"}
+
+
+@query("""WITH e AS (SELECT event_id, event_type, value > 5 AS present FROM events)
+  SELECT event_id, CASE event_type WHEN 'error' THEN CASE WHEN present THEN 'config' ELSE 'ignore' END WHEN 'view' THEN CASE WHEN present THEN 'asset' ELSE 'delete' END WHEN 'click' THEN CASE WHEN present THEN 'source' ELSE 'ignore' END ELSE 'ignore' END AS route FROM e""")
 def event_routing(spark, d):
-    kind = F.when(F.col("event_type") == "error", ".ini").when(F.col("event_type") == "view", ".uasset").when(F.col("event_type") == "click", ".cpp").otherwise(".bin")
-    rows = table(spark, d, "events").select("event_id", F.concat(F.lit("/Game/"), "event_type", kind).alias("path"), (F.col("value") > 5).alias("exists"))
+    path = F.lit("/Game/f.bin")
+    for kind, p in _EVENT_PATHS.items():
+        path = F.when(F.col("event_type") == kind, p.replace("\\\\", "\\")).otherwise(path)
+    rows = table(spark, d, "events").select("event_id", path.alias("path"), (F.col("value") > 5).alias("exists"))
     return changes.routed(rows).select("event_id", "route")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 # What is indexed by default.
-EXCLUDED_DIRECTORIES = ("Intermediate", "Binaries", "Saved", "DerivedDataCache", ".git", ".vs", "node_modules")
-INCLUDED_EXTENSIONS = S.TEXT_EXTENSIONS
+EXCLUDED_DIRECTORIES = ("Intermediate", "Binaries", "Build", "Saved", ".git", ".vs")
+INCLUDED_EXTENSIONS = ("h", "hh", "hpp", "cpp", "cc", "cxx", "inl", "cs", "ini", "uasset", "umap", "uproject", "uplugin")
+# What makes a header worth parsing, and parts of paths that the text index leaves out.
+INTERESTING = ("#include", "#define", "UCLASS", "USTRUCT", "UENUM", "UINTERFACE", "UDELEGATE", "UFUNCTION", "UPROPERTY", "GENERATED_BODY", "DECLARE_")
+NOT_INDEXED = ("/intermediate/", "/binaries/", "/deriveddatacache/", "/thirdparty/", "/source/thirdparty/", "/framework/libs/", "/external/")
+#: the section of assignments before the first header
+DEFAULT_SECTION = "Default"
 
 
 def scan_files(spark: SparkSession, roots: list[str], include: tuple[str, ...] = INCLUDED_EXTENSIONS, exclude: tuple[str, ...] = EXCLUDED_DIRECTORIES) -> DataFrame:
@@ -32,8 +40,9 @@ def with_cache_status(files: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def worth_parsing(text: Column | str) -> Column:
-    """A cheap test before an expensive parser: does the text declare anything at all?"""
-    return (F.col(text) if isinstance(text, str) else text).rlike(r"\b(class|struct|enum|namespace|interface|define|DECLARE_)")
+    """A cheap test before an expensive parser: does the text hold any of the INTERESTING words?"""
+    t = F.col(text) if isinstance(text, str) else text
+    return reduce(or_, [t.contains(word) for word in INTERESTING])
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,29 +51,28 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return split.select(key, (F.col("at") + 1).alias("line_number"), F.regexp_replace("line", r"\r+$", "").alias("line_text"))
 
 
-def text_eligible(path: Column | str, excluded: tuple[str, ...] = ("/Intermediate/", "/Binaries/", "/ThirdParty/")) -> Column:
-    """Whether a path belongs in the text index: a searchable extension and no excluded part."""
-    p = S.normalize_path(path)
-    out = S.is_searchable_text(S.extension(p))
-    for part in excluded:
-        out = out & ~p.contains(part)
-    return out
+def text_eligible(path: Column | str, excluded: tuple[str, ...] = NOT_INDEXED) -> Column:
+    """Whether a path belongs in the text index: a searchable extension and no excluded part, in any case."""
+    p = S.lower_ascii(S.normalize_path(path))
+    return S.is_searchable_text(S.extension(p)) & ~reduce(or_, [p.contains(part) for part in excluded])
 
 
 def ini_entries(rows: DataFrame, key: str = "path") -> DataFrame:
     """(key, section, name, op, value, line) from lines (key, line_number, line_text) of layered config files.
 
     A line that starts with ``;`` or ``#`` is a comment, ``[x]`` opens a section that holds until the next,
-    the first ``=`` separates; a leading ``+``, ``-`` or ``!`` is the operation.
+    the first ``=`` separates and a line without one says nothing; a leading ``+``, ``-`` or ``!`` is the
+    operation. What comes before the first section belongs to DEFAULT_SECTION.
     """
-    t = F.trim("line_text")
+    t = F.regexp_replace("line_text", r"^\s+|\s+$", "")
     header = F.regexp_extract(t, r"^\[(.*)\]$", 1)
     by_line = Window.partitionBy(key).orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("section", F.last(F.when(t.rlike(r"^\[.*\]$"), header), True).over(by_line))
-    rows = rows.filter(~t.rlike(r"^[;#\[]") & (t.contains("=") | t.startswith("!")) & F.col("section").isNotNull())
-    op = F.regexp_extract(t, r"^([+\-!]?)", 1)
-    name = F.trim(F.regexp_extract(t, r"^[+\-!]?([^=]*)", 1))
-    return rows.select(key, "section", name.alias("name"), op.alias("op"), F.trim(F.regexp_extract(t, r"^[^=]*=(.*)$", 1)).alias("value"), F.col("line_number").alias("line"))
+    section = F.coalesce(F.last(F.when(t.rlike(r"^\[.*\]$"), header), True).over(by_line), F.lit(DEFAULT_SECTION))
+    rows = rows.withColumn("section", section).filter(~t.rlike(r"^[;#]|^\[.*\]$") & t.contains("="))
+    whole = F.regexp_replace(F.regexp_extract(t, r"^([^=]*)=", 1), r"\s+$", "")
+    value = F.regexp_replace(F.regexp_extract(t, r"^[^=]*=(.*)$", 1), r"^\s+", "")
+    found = rows.select(key, "section", F.regexp_replace(whole, r"^[+!-]", "").alias("name"), F.regexp_extract(whole, r"^([+!-]?)", 1).alias("op"), value.alias("value"), F.col("line_number").alias("line"))
+    return found.filter("name != ''")
 
 
 def build_dependencies(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -84,12 +92,12 @@ def json_descriptor(df: DataFrame, text: str, schema: str, out: str = "descripto
 
 
 def gameplay_tags(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, identifier, tag_path, kind): tags defined or declared by macros; a declaration yields to a definition."""
+    """(key, identifier, tag_path, kind): tags defined or declared by macros; a declaration yields to a definition in the same file."""
     define = F.regexp_extract_all(F.col(text), F.lit(r'UE_DEFINE_GAMEPLAY_TAG(?:_COMMENT|_STATIC)?\s*\(\s*(\w+\s*,\s*"[^"]*")'), 1)
     declare = F.regexp_extract_all(F.col(text), F.lit(r"UE_DECLARE_GAMEPLAY_TAG_EXTERN\s*\(\s*(\w+)"), 1)
     defined = df.select(key, F.explode(define).alias("d")).select(key, F.regexp_extract("d", r"^(\w+)", 1).alias("identifier"), F.regexp_extract("d", '"([^"]*)"', 1).alias("tag_path"), F.lit("define").alias("kind"))
     declared = df.select(key, F.explode(declare).alias("identifier")).withColumn("tag_path", F.lit(None).cast("string")).withColumn("kind", F.lit("declare"))
-    return defined.unionByName(declared.join(defined.select("identifier").distinct(), "identifier", "left_anti"))
+    return defined.unionByName(declared.join(defined.select(key, "identifier").distinct(), [key, "identifier"], "left_anti"))
 
 
 def macro_definitions(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -102,9 +110,9 @@ def macro_definitions(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def delegate_macros(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, macro, name): delegates declared by macros; names stand first, after a return type where there is one."""
-    found = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(DECLARE_(?:DYNAMIC_)?(?:MULTICAST_)?DELEGATE\w*\s*\([^)]*\))"), 1)).alias("d"))
+    found = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(DECLARE_(?:DYNAMIC_)?(?:MULTICAST_)?DELEGATE\w*\s*\((?:[^()]|\([^()]*\))*\))"), 1)).alias("d"))
     macro = F.regexp_extract("d", r"^(\w+)", 1)
-    arguments = F.transform(F.split(F.regexp_extract("d", r"\(([^)]*)\)", 1), ","), lambda x: F.trim(x))
+    arguments = F.transform(F.split(F.regexp_extract("d", r"^\w+\s*\((.*)\)$", 1), r",(?![^()]*\))"), lambda x: F.trim(x))
     return found.select(key, macro.alias("macro"), F.when(macro.contains("RetVal"), F.get(arguments, F.lit(1))).otherwise(F.get(arguments, F.lit(0))).alias("name"))
 
 
@@ -128,16 +136,21 @@ def ascii_strings(content: Column | str, least: int = 4) -> Column:
 
 
 def build_diagnostics(rows: DataFrame, key: str = "path") -> DataFrame:
-    """(key, file_path, line, character, severity, code, message) from compiler output lines; places count from 0."""
+    """(key, file_path, line, character, severity, source, code, message) from build output lines; places count from 0.
+
+    Two forms are read, of the compiler, ``C:/f.cpp(3,5): error C2065: ...``, and of the header tool,
+    ``C:/f.h:12: Error: ...``. The compiler's own code stands at the beginning of the message.
+    """
     t = F.col("line_text")
-    msvc = r"^\s*(?:\d+>)?(.+?)\((\d+)(?:,(\d+))?\)\s*:\s*(?:fatal )?(error|warning|note)\s*([A-Z]+\d+)?\s*:\s*(.*)$"
-    uht = r"^\s*(.+?)\((\d+)\)\s*:\s*(Error|Warning|Info)\s*:\s*(.*)$"
-    clang = r"^\s*(.+?):(\d+):(\d+):\s*(?:fatal )?(error|warning|note):\s*(.*)$"
+    compiler = r"^([A-Za-z]:[^\r\n()]+)\((\d+)(?:,(\d+))?\):\s*(fatal error|error|warning)\s*([A-Z]+\d+):\s*(.+)$"
+    headers = r"^([A-Za-z]:[^\r\n:]+):(\d+):\s*(Error|Warning):\s*(.+)$"
     place = lambda c: F.greatest(F.coalesce(F.nullif(c, F.lit("")).cast("int"), F.lit(1)) - 1, F.lit(0))
 
-    def read(pattern: str, groups: tuple[int, int, int, int, int, int]) -> DataFrame:
-        got = lambda g: F.regexp_extract(t, pattern, g) if g else F.lit("")
-        f, ln, ch, sev, code, msg = groups
-        return rows.filter(t.rlike(pattern)).select(key, S.normalize_path(got(f)).alias("file_path"), place(got(ln)).alias("line"), place(got(ch)).alias("character"), S.lower_ascii(got(sev)).alias("severity"), F.nullif(got(code), F.lit("")).alias("code"), got(msg).alias("message"))
+    def read(pattern: str, source: str, column: Column, level: int, message: Column) -> DataFrame:
+        got = rows.filter(t.rlike(pattern))
+        severity = F.when(S.lower_ascii(F.regexp_extract(t, pattern, level)).contains("warning"), "warning").otherwise("error")
+        path = F.replace(F.regexp_extract(t, pattern, 1), F.lit("\\"), F.lit("/"))
+        return got.select(key, path.alias("file_path"), place(F.regexp_extract(t, pattern, 2)).alias("line"), column.alias("character"), severity.alias("severity"), F.lit(source).alias("source"), F.lit("BUILD").alias("code"), message.alias("message"))
 
-    return read(msvc, (1, 2, 3, 4, 5, 6)).unionByName(read(uht, (1, 2, 0, 3, 0, 4))).unionByName(read(clang, (1, 2, 3, 4, 0, 5)))
+    first = read(compiler, "MSVC", place(F.regexp_extract(t, compiler, 3)), 4, F.concat(F.regexp_extract(t, compiler, 5), F.lit(": "), F.regexp_extract(t, compiler, 6)))
+    return first.unionByName(read(headers, "UHT", F.lit(0), 3, F.regexp_extract(t, headers, 4)))
