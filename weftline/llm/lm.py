@@ -52,7 +52,7 @@ ROUNDS = 2
 #: tokens between two corrections of a text's weights; how fast weights and map follow a text
 SEGMENT, RATE, MAP_RATE = 16, 0.0005, 0.02
 #: bytes of texts handled together: held at a time, while words are cut, and while decisions are mixed
-POOL_BYTES, WORDS_BYTES, BATCH_BYTES = 8_000_000, 250_000, 400_000
+POOL_BYTES, WORDS_BYTES, BATCH_BYTES = 5_000_000, 250_000, 400_000
 #: bits of hash that mark the beginning of a chunk: one word in 32
 CHUNK_BITS = 5
 #: the commonest words, at most so many, are looked up in a broadcast; the others by a join
@@ -759,17 +759,33 @@ def score_texts(rows: DataFrame, model: Model, common: tuple[np.ndarray, np.ndar
     return rows.mapInArrow(run, SCORED)
 
 
+#: keys with more rows than this, and than one in HOT_SHARE of all, are joined by a broadcast: at most HOT_SHARE of them
+HOT_ROWS, HOT_SHARE = 1000, 10_000
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: list[str], n: str, limit: int, how: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row a key and the key's number of rows, ``n``.
+
+    Keys with many rows are broadcast, so that no task gets all rows of one.
+    """
+    hot = F.broadcast(table.filter(F.col(n) > limit))
+    usual = rows.join(hot.select(*key), key, "left_anti").join(table.filter(F.col(n) <= limit), key, how)
+    return usual.unionByName(rows.join(hot, key).select(*usual.columns))
+
+
 def chunk_gains(scored: DataFrame) -> DataFrame:
     """(row, gain): the nats that texts save by the prediction of whole chunks; only of texts with a known chunk.
 
     A chunk that the corpus has elsewhere (a text's own are taken out) predicts the next one by its followers
     there. The prediction's share in the mixture follows its success in the text so far.
     """
-    chunks = scored.filter("part = 2").select("row", "n", "cost", "before", "chunk", F.when(F.col("own"), F.col("own_before")).otherwise(0).alias("own_before"), F.when(F.col("own"), F.col("own_both")).otherwise(0).alias("own_both"), "own")
-    pairs = chunks.filter("own").groupBy("before", "chunk").agg(F.count(F.lit(1)).alias("both"))
-    firsts = pairs.groupBy("before").agg(F.sum("both").alias("every"))
-    known = chunks.drop("own").join(firsts, "before").filter("every > own_before")
-    told = known.join(pairs, ["before", "chunk"], "left")
+    own = lambda c: F.when(F.col("own"), F.col(c)).otherwise(0).alias(c)
+    chunks = scored.filter("part = 2").select("row", "n", "cost", "before", "chunk", own("own_before"), own("own_both"), "own")
+    limit = max(HOT_ROWS, chunks.count() // HOT_SHARE)
+    pairs = materialise(chunks.filter("own").groupBy("before", "chunk").agg(F.count(F.lit(1)).alias("both")), "lm-pairs")
+    firsts = materialise(pairs.groupBy("before").agg(F.sum("both").alias("every")), "lm-chunks")
+    known = _joined(chunks.drop("own"), firsts, ["before"], "every", limit, "inner").filter("every > own_before")
+    told = _joined(known, pairs, ["before", "chunk"], "both", limit, "left")
     share = (F.coalesce("both", F.lit(0)) - F.col("own_both")) / (F.col("every") - F.col("own_before"))
     lists = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "cost", share.alias("share")))).alias("chunks"))
 
