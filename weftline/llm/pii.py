@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: found beside the base kinds: web addresses, and account or identity numbers after a cue
-MORE_KINDS = ("url", "account")
+#: found beside the base kinds: web addresses, account or identity numbers after a cue, and secrets
+MORE_KINDS = ("url", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("account", "acct", "iban", "ssn", "passport", "routing", "customer id", "member id")
 
+#: words that a secret follows, and the beginning of access keys that tell themselves
+SECRET_CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "private_key")
+KEY_CUES = ("akia", "asia")
+
 Span = tuple[int, int]
 
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,6 +37,10 @@ _URL = re.compile(r"[^\s<>\"']*[^\s<>\"'.,;:!?)\]]")
 _ACCOUNT = re.compile(r"(?:\s?(?:number|no|nr|id|code)\b)?[\s.:#=-]{1,4}([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)")
 
 
+_SECRET = re.compile(r"\w*[\"']?\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_+/=.~!@#$%^&*-]{8,})")
+_KEY = re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])")
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -136,8 +144,34 @@ def accounts(text: str, cues: list[tuple[int, int]]) -> list[Span]:
     return out
 
 
+def secrets(text: str, cues: list[tuple[int, int]], keys: list[tuple[int, int]]) -> list[Span]:
+    """What is assigned to a word like ``password``, of 8 characters with a digit or more, and access keys by their form."""
+    out = []
+    for _, end in cues:
+        if (m := _SECRET.match(text, end)) and any(c in _DIGITS for c in m.group(1)):
+            out.append((m.start(1), m.end(1)))
+    for begin, end in keys:
+        if text[begin:end].isupper() and not (begin and text[begin - 1].isalnum()) and (m := _KEY.match(text, end)):
+            out.append((begin, m.end()))
+    kept, free = [], 0
+    for begin, end in sorted(out):
+        if begin >= free:
+            kept.append((begin, end))
+            free = end
+    return kept
+
+
+_UPPER_TO_LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_UPPER_TO_LOWER)
+
+
 class AnchorFinder:
-    """The automaton and the parsers behind it."""
+    """The automaton and the parsers behind it. Cues are looked for without case."""
 
     def __init__(self) -> None:
         import ahocorasick
@@ -147,16 +181,16 @@ class AnchorFinder:
             self.automaton.add_word(c, ("digit", 1))
         self.automaton.add_word("@", ("at", 1))
         self.automaton.add_word("+", ("plus", 1))
-        for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
+        for kind, words in (("scheme", SCHEMES), ("cue", CUES), ("secret", SECRET_CUES), ("key", KEY_CUES)):
             for word in words:
-                for form in {word, word.upper(), word.capitalize()}:
-                    self.automaton.add_word(form, (kind, len(form)))
+                self.automaton.add_word(word, (kind, len(word)))
         self.automaton.make_automaton()
 
     def spans(self, text: str) -> dict[str, list[Span]]:
         """Spans by kind, each list in order of its starts; ends are exclusive."""
-        at, plus, digit, scheme, cue = [], [], [], [], []
-        for end, (kind, n) in self.automaton.iter(text):
+        at, plus, digit = [], [], []
+        words: dict[str, list[Span]] = {"scheme": [], "cue": [], "secret": [], "key": []}
+        for end, (kind, n) in self.automaton.iter(lowered(text)):
             if kind == "digit":
                 digit.append(end)
             elif kind == "at":
@@ -164,14 +198,15 @@ class AnchorFinder:
             elif kind == "plus":
                 plus.append(end)
             else:
-                (scheme if kind == "scheme" else cue).append((end - n + 1, end + 1))
+                words[kind].append((end - n + 1, end + 1))
         return {
             "email": emails(text, at) if at else [],
             "ip": addresses(text, digit) if digit else [],
             "card": cards(text, digit) if digit else [],
             "phone": phones(text, plus) if plus else [],
-            "url": urls(text, scheme) if scheme else [],
-            "account": accounts(text, cue) if cue else [],
+            "url": urls(text, words["scheme"]) if words["scheme"] else [],
+            "account": accounts(text, words["cue"]) if words["cue"] else [],
+            "secret": secrets(text, words["secret"], words["key"]) if words["secret"] or words["key"] else [],
         }
 
 
@@ -180,14 +215,14 @@ def listed(found: dict[str, list[Span]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in found[k])
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_all long"
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Find personal data in every text of ``docs(doc_id, text)``.
 
-    Returns doc_id, counts of the base kinds, a digest of the base spans and all spans as text, in code
-    points. Null texts count as empty; a null id stays null; repeated rows are answered each. Other
+    Returns doc_id, counts of the base kinds, a digest of the base spans, all spans as text, in code
+    points, and how many they are. Null texts count as empty; a null id stays null; repeated rows are answered each. Other
     columns are not read. A pass over the rows as they lie; nothing is shuffled.
     """
 
@@ -195,16 +230,17 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         finder = AnchorFinder()
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            digests, spans = [], []
-            for text in batch.column(1).to_pylist():
+            digests, spans, every = [], [], []
+            for text in (t for i in range(0, batch.num_rows, 256) for t in batch.column(1).slice(i, 256).to_pylist()):
                 found = finder.spans(text or "")
+                every.append(sum(map(len, found.values())))
                 for column, kind in zip(counts, BASE_KINDS, strict=True):
                     column.append(len(found[kind]))
                 digests.append(hashlib.sha256(listed(found, BASE_KINDS).encode()).hexdigest())
                 spans.append(listed(found, BASE_KINDS + MORE_KINDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string())],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(every, pa.int64())],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_all"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, FOUND)
@@ -233,7 +269,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = AnchorFinder()
         for batch in batches:
-            texts = [t and masked(t, finder.spans(t)) for t in batch.column(at).to_pylist()]
+            texts = [t and masked(t, finder.spans(t)) for i in range(0, batch.num_rows, 256) for t in batch.column(at).slice(i, 256).to_pylist()]
             arrays = list(batch.columns)
             arrays[at] = pa.array(texts, pa.string())
             if counted is not None:
