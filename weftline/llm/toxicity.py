@@ -2,10 +2,11 @@
 
 A token that looks disguised (letters mixed with digits or symbols, a letter three times or more, single
 letters set apart) is read as a lattice: every character may stand for some letters, a separator for
-nothing, a run for one or two letters. A Viterbi search under a character trigram model of the corpus
-chooses the reading. The restored tokens are then scored by a decision list: words and word beginnings
-that a bounded sample of labelled rows ties to the label, each with the precision it showed there; a
-text scores as the most telling one that it holds.
+nothing or for the end of a word, a run for one or two letters, a masking sign for any letter. A Viterbi
+search under a character trigram model of the corpus chooses the reading. The restored words are then
+scored by a decision list: words and word beginnings that a bounded sample of labelled rows ties to the
+label, each with the precision it showed there; the evidence of a text's words adds up as if each told by
+itself.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ SAMPLE_ROWS, MOST_FEATURES = 20_000, 20_000
 LEAST_G2, LEAST_LEFT, LEAST_PRECISION, BEGINNINGS = 15.0, 6.0, 0.5, (4, 5, 6)
 #: from this ratio on, one toxic text that nothing else explains is enough
 SURE_G2 = 40.0
-LONGEST_WORD = 64
 MOST_KEPT = 400_000
-BEAM = 24
+#: characters of a token read at a time: a longer one is read in stretches that overlap by a word's length
+STRETCH, OVERLAP = 512, 32
 
 # What a character may stand for. Costs are nats.
 STANDS_FOR = {
@@ -41,7 +42,12 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 SEPARATORS = ".-_ ,~^'`/\\"
-SWAP_COST, DROP_COST, RUN_COST, MASK_COST = 1.0, 0.3, 0.5, math.log(26)
+MASKS = "*#"
+SWAP_COST, DROP_COST, RUN_COST, SPLIT_COST = 1.0, 0.3, 0.5, 1.0
+#: a sign for a letter, and one for nothing
+MASK_COST, MASK_DROP_COST = 1.0, 2.0
+#: between single letters set apart: a mark that may end a word
+GAP = "\x1f"
 
 CLASSES = 64
 _CLASS = {chr(97 + i): 1 + i for i in range(26)} | {chr(0xDF + i): 27 + i for i in range(33)}
@@ -91,26 +97,34 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
 
 
 def readings(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a token: for each run of one character, the letters it may be and what that costs."""
+    """The lattice of a token: for each run of one character, the letters it may be and what that costs.
+
+    A space among the letters ends a word. A run of masking signs is read sign by sign, each being any
+    letter or nothing.
+    """
     out = []
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m.group(1), len(m.group())
-        letters = c if letter_class(c) else STANDS_FOR.get(c, "")
-        swap = 0.0 if letter_class(c) else SWAP_COST
-        if c == "*":
-            ways = [(chr(97 + i) * 1, MASK_COST * n) for i in range(26)] + [("", DROP_COST)]
-        elif letters:
-            ways = [(x, swap + (RUN_COST if n > 1 else 0)) for x in letters]
-            if n > 1:
-                ways += [(x * 2, swap + (RUN_COST if n > 2 else 0)) for x in letters]
-        else:
-            ways = [("", DROP_COST)]
-        out.append(ways)
+        if c == GAP:
+            out.append([("", 0.0), (" ", SPLIT_COST)])
+            continue
+        if c in MASKS:
+            out += [[(chr(97 + i), MASK_COST) for i in range(26)] + [("", MASK_DROP_COST)]] * n
+            continue
+        known = letter_class(c)
+        letters = c if known else STANDS_FOR.get(c, "")
+        swap = 0.0 if known else SWAP_COST
+        ways = [(x, swap + (RUN_COST if n > 1 else 0)) for x in letters]
+        if letters and n > 1:
+            ways += [(x * 2, swap + (RUN_COST if n > 2 else 0)) for x in letters]
+        if c in SEPARATORS:
+            ways += [("", DROP_COST), (" ", SPLIT_COST)]
+        out.append(ways or [("", DROP_COST)])
     return out
 
 
 def restore(token: str, costs: np.ndarray) -> str:
-    """The cheapest reading of a lower-case token, by a Viterbi search over the last two letters."""
+    """The cheapest reading of a lower-case token, by a Viterbi search over the last two letters; a space ends a word."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for ways in readings(token):
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -120,49 +134,61 @@ def restore(token: str, costs: np.ndarray) -> str:
                 for letter in letters:
                     k = letter_class(letter)
                     total += float(costs[x, y, k])
-                    x, y = y, k
+                    x, y = (y, k) if k else (0, 0)
                 old = after.get((x, y))
                 if old is None or (total, read + letters) < old:
                     after[x, y] = (total, read + letters)
-        states = dict(sorted(after.items(), key=lambda s: s[1])[:BEAM])
+        states = after
     return min((cost + float(costs[a, b, 0]), read) for (a, b), (cost, read) in states.items())[1]
 
 
+def restored_words(token: str, costs: np.ndarray) -> list[str]:
+    """The words of the cheapest reading of a token of any length."""
+    if len(token) <= STRETCH:
+        return restore(token, costs).split()
+    words = [w for at in range(0, len(token) - OVERLAP, STRETCH - OVERLAP) for w in restore(token[at : at + STRETCH], costs).split()]
+    return list(dict.fromkeys(words))
+
+
 _WORDS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~¿¡«»“”„…–—"
 _PLAIN_EDGES = "".join(c for c in _EDGES if c not in STANDS_FOR)
 _CLOSING = "".join(c for c in _EDGES if c not in "$@")
+_PARTS = re.compile("[" + re.escape(SEPARATORS) + "]+")
 _APART = re.compile(b"\x01{3,}")
 
 
 def token_words(token: str, costs: np.ndarray) -> list[str]:
     """The words that a lower-case token holds, restored where it looks disguised.
 
-    Punctuation at the ends is taken off first. A token beyond 64 characters is no single word and is
-    only cut at everything but letters.
+    Punctuation at the ends is taken off first. A token with separators is read as a whole and part by part.
     """
     core = token.strip(_EDGES)
     # A symbol with a letter's look may begin the word, or end it where it is one of the usual two.
     whole = token.lstrip(_PLAIN_EDGES).rstrip(_CLOSING)
-    disguised = [restore(whole, costs)] if len(core) < len(whole) <= LONGEST_WORD and any(map(str.isalpha, core)) else []
+    disguised = restored_words(whole, costs) if len(core) < len(whole) and any(map(str.isalpha, core)) else []
     if core.isalpha():
-        if len(core) > LONGEST_WORD or not _TRIPLE.search(core):
-            return [core, *disguised]
-        return [core, restore(core, costs), *disguised]
+        return [core, *restored_words(core, costs), *disguised] if _TRIPLE.search(core) else [core, *disguised]
     words = _WORDS.findall(core)
-    if len(core) > LONGEST_WORD or not words or len(core) - sum(map(len, words)) > 3 * sum(map(len, words)):
+    if not words:
         return words
-    return [*words, restore(core, costs), *disguised]
+    parts = [x for x in _PARTS.split(core) if x and not x.isalpha() and any(map(str.isalpha, x))]
+    return [*words, *restored_words(core, costs), *disguised, *(w for x in parts if x != core for w in restored_words(x, costs))]
 
 
 def text_tokens(text: str) -> set[str]:
-    """The distinct lower-case tokens of a whole text, with runs of single characters joined as well."""
+    """The distinct lower-case tokens of a whole text, with runs of single characters joined as well.
+
+    Between the joined characters a mark is left where a word may end; a long run is cut into stretches
+    that overlap.
+    """
     tokens = text.lower().split()
     single = bytes(map((1).__eq__, map(len, tokens)))
     found = set(tokens)
     for m in _APART.finditer(single):
-        found.add("".join(tokens[m.start() : m.end()])[:LONGEST_WORD])
+        for at in range(m.start(), max(m.end() - OVERLAP, m.start() + 1), STRETCH // 2 - OVERLAP):
+            found.add(GAP.join(tokens[at : min(at + STRETCH // 2, m.end())]))
     return found
 
 
@@ -272,26 +298,28 @@ def choose(texts: list[tuple[list[str], bool]], counts: dict[str, tuple[int, int
 def score(docs: DataFrame, costs: np.ndarray, listed: dict[str, float], otherwise: float) -> DataFrame:
     """doc_id and score (0 to 1) of every row of ``docs(doc_id, text)``.
 
-    Null and empty texts score as texts that hold nothing of the list. Nothing is shuffled. What is
-    broadcast is bounded: the trigram costs and at most MOST_FEATURES features.
+    Every distinct listed feature that a text's tokens show best tells by itself: the score is the chance
+    that one of them at least is right, or ``otherwise``. Null and empty texts hold nothing of the list.
+    Nothing is shuffled. What is broadcast is bounded: the trigram costs and at most MOST_FEATURES features.
     """
     shared = docs.sparkSession.sparkContext.broadcast((costs, listed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs_, list_ = shared.value
-        seen: dict[str, float] = {}
+        seen: dict[str, str] = {}
         for batch in batches:
             scores = []
-            for text in batch.column(1).to_pylist():
-                best = otherwise
+            for text in (t for i in range(0, batch.num_rows, 256) for t in batch.column(1).slice(i, 256).to_pylist()):
+                held = set()
                 for token in text_tokens(text or ""):
-                    if (p := seen.get(token)) is None:
+                    if (best := seen.get(token)) is None:
                         if len(seen) > MOST_KEPT:
                             seen.clear()
-                        p = seen[token] = max((list_.get(f, 0.0) for w in token_words(token, costs_) for f in features(w)), default=0.0)
-                    if p > best:
-                        best = p
-                scores.append(best)
+                        told = [(list_[f], f) for w in token_words(token, costs_) for f in features(w) if f in list_]
+                        best = seen[token] = max(told)[1] if told else ""
+                    if best:
+                        held.add(best)
+                scores.append(max(otherwise, 1 - math.prod(1 - list_[f] for f in held)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
