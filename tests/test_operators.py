@@ -8,6 +8,7 @@ from weftline.functions import scalars as S
 from weftline.operators import assets, build, checks, fold, graph, resolve, search, usages
 from weftline.plans.api import Index
 from weftline.sources import text as T
+from weftline.streaming import changes
 
 
 def one(spark, column):
@@ -42,7 +43,7 @@ def test_completion_rank(spark, name, prefix, want):
     assert one(spark, S.completion_match_rank(F.lit(name), prefix)) == want
 
 
-@pytest.mark.parametrize("line,want", [("foo = 1;", "write"), ("if (foo == 2)", "write"), ("foo(1)", "call"), ("class foo;", "declaration"), ("class foo {", "definition"), ("return foo;", "read")])
+@pytest.mark.parametrize("line,want", [("foo = 1;", "write"), ("if (foo == 2)", "write"), ("foo(1)", "call"), ("class foo;", "read"), ("void A::foo(int x)", "definition"), ("UFUNCTION() void foo();", "declaration"), ("foo += 1", "write"), ("foo |= 1", "read"), ("return foo;", "read")])
 def test_usage(spark, line, want):
     df = spark.createDataFrame([("p", 1, line)], "path string, line_number int, line_text string")
     assert [r["usage"] for r in usages.usage_lines(df, "path", "foo").collect()] == [want]
@@ -104,6 +105,9 @@ def test_ini_and_build_rules(spark):
     df = spark.createDataFrame([("f", "; c\n[S]\nA=1=2\n+B = x\r\n[T]\n-C=y\nnoise")], "path string, text string")
     got = [(r["section"], r["name"], r["op"], r["value"], r["line"]) for r in T.ini_entries(T.lines(df, "path", "text")).orderBy("line").collect()]
     assert got == [("S", "A", "", "1=2", 3), ("S", "B", "+", "x", 4), ("T", "C", "-", "y", 6)]
+    early = spark.createDataFrame([("f", "a = 1\n!Key\n!Gone=\n =x\n[open\n[o=1\n [S] \n # c\nb=2")], "path string, text string")
+    got = [(r["section"], r["name"], r["op"], r["value"], r["line"]) for r in T.ini_entries(T.lines(early, "path", "text")).orderBy("line").collect()]
+    assert got == [("Default", "a", "", "1", 1), ("Default", "Gone", "!", "", 3), ("Default", "[o", "", "1", 6), ("S", "b", "", "2", 9)]
     rules = spark.createDataFrame([("b", 'PublicDependencyModuleNames.AddRange(new string[] { "Core", "A" });\nPrivateDependencyModuleNames.Add("Z");')], "path string, text string")
     r = T.build_dependencies(rules, "path", "text").first()
     assert (r["public"], r["private"]) == (["A", "Core"], ["Z"])
@@ -119,6 +123,70 @@ def test_macros_tags_strings(spark):
     assert b.select(T.ascii_strings("content").alias("s")).first()["s"] == ["hello", "world!"]
 
 
+def test_build_log_forms(spark):
+    text = "C:/a/b.h:12: Error: bad\nD:\\x\\y.cpp(3,5): fatal error C1083: no file\nE:/z.cpp(0): warning C4: w\nE:/z.h:1: Note: n\n/home/a.c:1:2: error: no\nlinking"
+    rows = T.lines(spark.createDataFrame([("log", text)], "path string, text string"), "path", "text")
+    got = sorted((r["file_path"], r["line"], r["character"], r["severity"], r["source"], r["message"]) for r in T.build_diagnostics(rows).collect())
+    assert got == [("C:/a/b.h", 11, 0, "error", "UHT", "bad"), ("D:/x/y.cpp", 2, 4, "error", "MSVC", "C1083: no file"), ("E:/z.cpp", 0, 0, "warning", "MSVC", "C4: w")]
+
+
+def test_facts_of_files_and_kinds(spark):
+    for path, want in [("a/B.HPP", True), ("P/ThirdParty/x.h", False), ("a/EXTERNAL/x.cpp", False), ("x.md", False), ("p/Framework/Libs/a.c", False), ("g.uproject", True)]:
+        assert one(spark, T.text_eligible(F.lit(path))) is want, path
+    assert [one(spark, S.kind_rank(F.lit(k))) for k in ("typedef", "interface", "Method", "field")] == [0, 2, 1, 2]
+    assert [one(spark, S.is_member_like(F.lit(k))) for k in ("class", "UFunction", "field")] == [False, False, True]
+    assert one(spark, S.compact_name(F.lit("A_b::C-d e"))) == "abc-de"
+    assert [one(spark, T.worth_parsing(F.lit(t))) for t in ("class A;", "#include <x>", "x DECLARE_Y")] == [False, True, True]
+    told = [("a.h", "void F();", "F", None), ("a.cpp", "void F() {", "F", None), ("a.CC", "void A::F()", "F", "A"), ("a.cc", "F()", "F", "A")]
+    assert [one(spark, S.classify_location(*[F.lit(x).cast("string") for x in t])) for t in told] == ["declaration", "definition", "definition", "declaration"]
+
+
+def test_tags_yield_in_their_own_file_and_delegates_may_nest(spark):
+    df = spark.createDataFrame([("a", 'UE_DEFINE_GAMEPLAY_TAG(TagA, "A")'), ("b", "UE_DECLARE_GAMEPLAY_TAG_EXTERN(TagA)\nDECLARE_DELEGATE_OneParam(FDone, TFunction<void(int, int)>)")], "path string, text string")
+    assert {(r["path"], r["kind"]) for r in T.gameplay_tags(df, "path", "text").collect()} == {("a", "define"), ("b", "declare")}
+    assert [(r["macro"], r["name"]) for r in T.delegate_macros(df, "path", "text").collect()] == [("DECLARE_DELEGATE_OneParam", "FDone")]
+
+
+def test_best_parent_by_module(spark):
+    rows = [("a", "/Script/Engine.Actor", 0), ("a", "/Script/UMG.UserWidget", 1), ("b", "/Script/UnrealEd.X", 0), ("b", "/Script/Engine.Pawn", 1), ("c", "/Script/EngineSettings.Y", 1), ("c", "/Script/Engine.Z", 0)]
+    got = assets.best_parent(spark.createDataFrame(rows, "asset string, path string, position int"), "asset")
+    assert {r["asset"]: r["path"] for r in got.collect()} == {"a": "/Script/UMG.UserWidget", "b": "/Script/Engine.Pawn", "c": "/Script/EngineSettings.Y"}
+
+
+def test_store_keeps_the_greatest_version_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "COMPACT_EVERY", 2)
+    store = f"file://{tmp_path}/store"
+    apply = changes.upsert_each_batch(store, ["k"], "v", "gone")
+    batch = lambda *rows: spark.createDataFrame(rows, "k string, v int, x string, gone boolean")
+    now = lambda: sorted((r["k"], r["v"], r["x"]) for r in changes.read_store(spark, store, ["k"], "v", "gone").collect())
+    apply(batch(("a", 5, "new", False), ("b", 2, "b", False), ("c", 1, "c", False)), 0)
+    apply(batch(("a", 3, "old", False), ("b", 3, "", True)), 1)
+    assert now() == [("a", 5, "new"), ("c", 1, "c")]
+    apply(batch(("b", 2, "late", False), ("c", 2, "c2", False), ("d", 1, "d", False)), 2)
+    apply(batch(("c", 2, "c2", False)), 2)
+    assert now() == [("a", 5, "new"), ("c", 2, "c2")]
+
+
+def test_paths_and_closures_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None, f"n{i}") for i in range(400)] + [(1000, 999, "lost"), (2000, 2001, "x"), (2001, 2000, "y")]
+    got = {r["id"]: (r["full_path"].count("/"), r["depth"]) for r in graph.hierarchy_paths(spark, spark.createDataFrame(chain, "id int, parent_id int, name string")).collect()}
+    assert got == {i: (i, i) for i in range(400)}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(60, 0), (3, 50), (70, 71)], "src int, dst int")
+    want = {}
+    for s in [*range(61), 70]:
+        seen, front, depth = {}, {s}, 0
+        while front:
+            depth += 1
+            front = {b for a in front for b in ([a + 1] if a < 60 else [0] if a == 60 else [71] if a == 70 else []) + ([50] if a == 3 else [])} - seen.keys()
+            seen |= dict.fromkeys(front, depth)
+        want |= {(s, d): n for d, n in seen.items()}
+    rows = lambda df: {(r["src"], r["dst"]): r["depth"] for r in df.collect()}
+    assert rows(graph.closure(edges)) == want
+    assert rows(graph.closure(edges, None, 7)) == {k: n for k, n in want.items() if n <= 7}
+    seeds = spark.createDataFrame([(5,), (70,)], "src int")
+    assert rows(graph.closure(edges, seeds, 9)) == {k: n for k, n in want.items() if k[0] in (5, 70) and n <= 9}
+
+
 def test_brace_ranges(spark):
     df = spark.createDataFrame([("f", "class A {\n x\n}\nint g() {\n{\n}\n y")], "path string, text string")
     got = [(r["name"], r["start"], r["end"]) for r in resolve.brace_ranges(T.lines(df, "path", "text"), "path").orderBy("start").collect()]
