@@ -68,6 +68,55 @@ def test_language_edge_rows(odd):
     assert {r["lang_pred"] for r in langid.identify(odd.select("doc_id", "text"), langid.fit([], [])).collect()} == {"und"}
 
 
+def _grams(text):
+    """The distinct 1-, 2- and 3-grams of a text, all but letters being one character."""
+    c = "".join(x if x.isalpha() else " " for x in text.lower())
+    c = f" {c} "
+    return {c[i : i + n] for n in (1, 2, 3) for i in range(len(c) - n + 1)}
+
+
+def test_language_is_kernel_ridge_regression(docs):
+    """Against kernels of sets, Nyström features and ridge regressors written out for whole matrices."""
+    rows = [(r["text"], r["lang"]) for r in docs.filter("length(text) > 200").limit(60).collect()]
+    train, asked = rows[:48], [t for t, _ in rows[48:]]
+    langs = sorted({x for _, x in train})
+    texts = [*(t for t, _ in train), *(langid.short_of(t) for t, _ in train)]
+    sets, label = list(map(_grams, texts)), np.array([langs.index(x) for _, x in train] * 2)
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = []
+    for k in range(len(langs)):
+        mine = np.flatnonzero(label[: len(train)] == k)
+        marks += [*mine[: langid.LANDMARKS * 3 // 4], *(mine[-(langid.LANDMARKS // 4) :] + len(train))]
+    k_mm = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks])
+    value, vector = np.linalg.eigh(k_mm)
+    root = vector @ np.diag([1 / math.sqrt(v) if v > 1e-6 * value.max() else 0 for v in value]) @ vector.T
+    feature = np.array([[kernel(x, sets[j]) for j in marks] for x in sets]) @ root
+    share = 1 / np.bincount(label)[label]
+    target = np.where(label[:, None] == np.arange(len(langs)), 1.0, -1.0)
+    solved = np.linalg.solve((feature * share[:, None]).T @ feature + langid.RIDGE * np.eye(len(marks)), (feature * share[:, None]).T @ target)
+    want = np.array([[kernel(_grams(x), sets[j]) for j in marks] for x in asked]) @ root @ solved
+    model = langid.fit(*map(list, zip(*train, strict=True)))
+    names, scores, known = langid.Scorer(model).score(asked)
+    assert names == [langs[k] for k in want.argmax(axis=1)]
+    shown = np.exp(langid.SHARPNESS * (want - want.max(axis=1, keepdims=True)))
+    assert np.allclose(scores, shown.max(axis=1) / shown.sum(axis=1), atol=2e-2)
+    held = set().union(*(sets[i] for i in marks))
+    assert np.allclose(known, [len(_grams(x) & held) / len(_grams(x)) for x in asked], atol=1e-2)
+
+
+def test_language_columns_may_clash_and_unknown_scripts_go(spark, docs, sf_dir):
+    clashing = docs.withColumn("lang_pred", F.lit("x")).withColumn("lang_score", F.lit("y")).withColumn("__wl_lang", F.lit(1))
+    got = langid.identify(clashing, langid.train(clashing, F.lit(True)))
+    assert sorted(got.columns) == sorted([*clashing.columns, "lang_known"]) and got.filter("lang_pred = 'x'").count() == 0
+    foreign = [(90001, "Это русский текст о погоде и природе", "en"), (90002, "中文文本的一个例子，用来测试", None), (90003, "123", None), (90004, None, None)]
+    mixed = docs.select("doc_id", "text", "lang").withColumn("lang_pred", F.lit("x")).unionByName(spark.createDataFrame(foreign, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x")).filter("doc_id > 90001"))
+    kept = corpus_pipeline.identify_language(spark, mixed, sf_dir)
+    assert kept.columns == mixed.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()}
+    model = langid.fit([r["text"] for r in docs.collect()], [r["lang"] for r in docs.collect()])
+    assert langid.Scorer(model).score([foreign[0][1]])[2][0] < corpus_pipeline.LEAST_KNOWN
+
+
 # ------------------------------------------------------------ near duplicates
 
 
