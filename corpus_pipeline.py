@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from weftline.llm import decontaminate, langid, packing, pii, simhash
 from weftline.llm.common import held_out, materialise
 
-#: a document whose language score is lower is rejected: it is like no learned language more than another
-LEAST_LANGUAGE_SCORE = 0.34
+#: a document is rejected if the model has met less than this share of its distinct n-grams: it is in none of
+#: the languages, however many there are
+LEAST_KNOWN = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model learns from the labelled part of the same documents, outside the held-out fold.
     """
     model = langid.train(docs, ~held_out("doc_id", 3, 1))
-    columns = docs.columns
-    found = langid.identify(docs, model)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*columns)
+    names = ("__wl_lang", "__wl_score", "__wl_known")
+    found = langid.identify(docs, model, names)
+    return found.filter((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[2]) >= LEAST_KNOWN)).drop(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
