@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from ..operators.scratch import materialise, scratch_path, shared_dir  # noqa: F401
 
 
+#: rows of text that go to a Python worker at a time
+ROWS_SENT = 1000
+
+
+def read_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` for an operator that reads texts in Python workers.
+
+    Rows hold whole texts, so the session's number of rows sent to a worker at a time, meant for rows of a
+    few numbers, is lowered to ROWS_SENT: both sides hold a batch.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(key))
+    if now <= 0 or now > ROWS_SENT:
+        docs.sparkSession.conf.set(key, str(ROWS_SENT))
+    return docs
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise
-from .tokens import text_batches
+from .common import BROADCAST_ROWS, materialise, read_texts
+from .tokens import release_memory, rows_of, text_batches
 
 WINDOW = 8
 #: a passage counts from so many consecutive tokens, or from this share of its item's tokens
@@ -473,11 +473,12 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     told = spark.sparkContext.broadcast((_neighbours(items), bool(items.filter("literal").limit(1).count())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         near, literal = told.value
         neighbours, hasher = Neighbours(*near) if near is not None else None, Hasher()
         named = neighbours is None or NAME in neighbours.slots
         for batch in batches:
-            for part in text_batches(enumerate(batch.column(0).to_pylist()), most=2048):
+            for part in text_batches(((i, t) for i, (t,) in enumerate(rows_of(batch.select([0])))), most=2048):
                 out = [(i, hasher.of_text(t, named, literal)) for i, t in part if t and (neighbours is None or neighbours.may_match(t))]
                 out = [(i, h) for i, h in out if len(h)]
                 if out:
@@ -486,7 +487,7 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*held.columns, hashes], names=["text", *_TEXT_KEY, "hashes"])
 
     key = list(_TEXT_KEY)
-    texts = _keyed(docs.filter("text is not null and text != ''").select("text")).mapInArrow(cut, "text string, __wl_h1 long, __wl_h2 long, hashes array<long>")
+    texts = _keyed(read_texts(docs).filter("text is not null and text != ''").select("text")).mapInArrow(cut, "text string, __wl_h1 long, __wl_h2 long, hashes array<long>")
     texts = materialise(texts.dropDuplicates(key), "windows")
     of_items = items.select("item_id", F.explode("hashes").alias("h"))
     pairs = texts.select(*key, F.explode("hashes").alias("h")).join(_small(of_items), "h").select(*key, "item_id").distinct()
@@ -496,7 +497,7 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held: dict[int, ItemIndex] = {}
         for batch in batches:
             rows = []
-            for h1, h2, text, item, of, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h1, h2, text, item, of, many in rows_of(batch):
                 if item not in held:
                     if len(held) > 20_000:
                         held.clear()

@@ -9,7 +9,6 @@ in 2^32). A key is (doc_id, occurrence): repeated ids are told apart by their pl
 
 from __future__ import annotations
 
-import io
 import json
 import zlib
 from collections.abc import Iterator
@@ -19,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .tokens import character_classes, text_batches, worker_encoder
+from .common import materialise, read_texts
+from .tokens import character_classes, rows_of, text_batches, worker_encoder
 
 _U = np.uint64
 MAGIC = b"WLIDX001"
@@ -142,13 +141,17 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
-def _put(uri: str, attempt: int, *parts: bytes) -> None:
-    """Write under a name of this attempt, then rename: a repeated task replaces a file as a whole."""
-    store, path = _filesystem(uri)
-    with store.open_output_stream(f"{path}.{attempt}") as out:
-        for part in parts:
-            out.write(part)
-    store.move(f"{path}.{attempt}", path)
+class _Replaced:
+    """A file written under a name of this attempt and then renamed: a repeated task replaces it as a whole."""
+
+    def __init__(self, uri: str, attempt: int) -> None:
+        self.store, self.path = _filesystem(uri)
+        self.draft = f"{self.path}.{attempt}"
+        self.out = self.store.open_output_stream(self.draft)
+
+    def close(self) -> None:
+        self.out.close()
+        self.store.move(self.draft, self.path)
 
 
 def _get(uri: str) -> bytes:
@@ -160,18 +163,20 @@ def _get(uri: str) -> bytes:
 WRITTEN = "shard int, docs long, ids long"
 
 
-def write_id_files(docs: DataFrame, path: str, tokenizer: str, splitter: str, end_id: int, docs_per_shard: int = 8192) -> DataFrame:
+def write_id_files(docs: DataFrame, path: str, tokenizer: str, splitter: str, end_id: int, docs_per_shard: int = 8192, bytes_per_shard: int = 64_000_000) -> DataFrame:
     """Encode every text of ``docs(doc_id, text)`` and write the ids as shards in ascending doc_id order.
 
-    Shards are ranges of doc_id of about ``docs_per_shard`` documents, one task each. Null texts count
+    Shards are ranges of doc_id of about ``docs_per_shard`` documents, or fewer so that they hold about
+    ``bytes_per_shard`` of text, one task each; ids are written as they come. Null texts count
     as empty, null ids come first (stored as the least long), ties are ordered by text. ``path`` must be
     a folder that driver and executors share. Returns one row a shard: shard, docs, ids.
     """
     spark = docs.sparkSession
-    shards = max(1, -(-docs.count() // docs_per_shard))
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-size["docs"] // docs_per_shard), -(-size["bytes"] // bytes_per_shard))
     store, local = _filesystem(path)
     store.create_dir(local, recursive=True)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = read_texts(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     classes = spark.sparkContext.broadcast(character_classes())
@@ -182,23 +187,24 @@ def write_id_files(docs: DataFrame, path: str, tokenizer: str, splitter: str, en
         task = TaskContext.get()
         encoder = worker_encoder(tokenizer, splitter, classes.value)
         end, width = encoder.one(end_id), encoder.dtype.itemsize
-        ids, lengths, payload = [], [], io.BytesIO()
+        name = f"{path}/shard-{task.partitionId():06d}"
+        ids, lengths, payload = [], [], _Replaced(f"{name}.ids", task.taskAttemptId())
         for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for run in text_batches(pairs):
+            for run in text_batches(rows_of(batch)):
                 for (doc_id, _), packed in zip(run, encoder.encode([t for _, t in run]), strict=True):
                     ids.append(doc_id)
                     lengths.append(len(packed) // width + 1)
-                    payload.write(packed)
-                    payload.write(end)
+                    payload.out.write(packed)
+                    payload.out.write(end)
         shard, key, length = task.partitionId(), np.array(ids, np.int64), np.array(lengths, np.int64)
         first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         place = np.arange(len(key))
         occurrence = place - np.maximum.accumulate(np.where(first, place, 0)) if len(key) else place
-        name = f"{path}/shard-{shard:06d}"
         offsets = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(key) else length
-        _put(f"{name}.ids", task.taskAttemptId(), payload.getbuffer())
-        _put(f"{name}.idx", task.taskAttemptId(), pack_index(key, occurrence, offsets, length, width))
+        payload.close()
+        index = _Replaced(f"{name}.idx", task.taskAttemptId())
+        index.out.write(pack_index(key, occurrence, offsets, length, width))
+        index.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([len(key)], pa.int64()), "ids": pa.array([int(length.sum())], pa.int64())})
 
     return materialise(rows.mapInArrow(write, WRITTEN), "shards")

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, materialise
+from .common import BROADCAST_ROWS, materialise, read_texts
+from .tokens import release_memory
 
 #: bounds of the fitted sample: labelled rows a language, landmarks a language
 SAMPLE_TEXTS, LANDMARKS = 400, 48
@@ -197,12 +198,13 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]
     A null text or one without a letter gets ``und``, 0 and 0. Every row is kept; nothing is shuffled.
     The model, of a size bounded by the n-gram hashes and the landmarks, is broadcast.
     """
-    docs = docs.drop(*names)
+    docs = read_texts(docs).drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.values, model.column, model.weights))
     columns = docs.columns
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         scorer = Scorer(LanguageModel(*shared.value))
         for batch in batches:
             told: list[list] = [[], [], []]

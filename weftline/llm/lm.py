@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, read_texts
+from .tokens import release_memory
 
 SPACE = 0x20
 #: hashed contexts; with the bias, the inputs of the mixer
@@ -358,6 +359,7 @@ def fit_tables(counts: DataFrame, code: Code, bits: list[int]) -> list[tuple[np.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         tables = [np.zeros(2 << b, np.int64) for b in bits]
         for s, n, count, slots, words in _parts(batches, code, bits):
             # Words count for the contexts within words, at all places; grams for the running one alone.
@@ -711,6 +713,7 @@ def score_texts(rows: DataFrame, model: Model, common: tuple[np.ndarray, np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release_memory()
         fitted, (c1, c2, cn) = shared.value
         model_ = Model(*fitted)
         made = TaskContext.get().partitionId() << 40
@@ -836,7 +839,7 @@ def score_documents(docs: DataFrame, learnable: Column, most_common: int = MOST_
     id stays null; repeated rows are answered (and learned) each. With nothing to learn from, counts are
     zero throughout. Other columns are not read. At most ``most_common`` words are broadcast.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learnable, F.lit(False)).alias("learn"))
+    rows = read_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learnable, F.lit(False)).alias("learn"))
     counts = materialise(count_words(rows), "lm-counts")
     totals = counts.filter("word is not null").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("every"), F.count(F.lit(1)).alias("distinct")).first()
     every, different = int(totals["every"]), int(totals["distinct"])

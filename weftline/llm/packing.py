@@ -21,16 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered
-from .tokens import character_classes, text_batches, worker_encoder
+from .common import materialise, numbered, read_texts
+from .tokens import character_classes, rows_of, text_batches, worker_encoder
 
-#: triples offered to the fit, those with the most pieces to use first
-TRIPLES = 4096
 ROUNDS = 300
 
 
 def patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Pairs and triples of present lengths (counts[length] > 0) that fill a sequence, longest first."""
+    """All pairs and triples of present lengths (counts[length] > 0) that fill a sequence: at most capacity^2 / 12 or so."""
     have = np.flatnonzero(counts)
     have = have[have < capacity]
     pairs = [(int(a), int(capacity - a)) for a in have if a >= capacity - a and counts[capacity - a]]
@@ -39,9 +37,7 @@ def patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
     ok = (a >= b) & (b >= c) & (c > 0)
     a, b, c = a[ok], b[ok], c[ok]
     ok = counts[c] > 0
-    a, b, c = a[ok], b[ok], c[ok]
-    best = np.argsort(-np.minimum(np.minimum(counts[a], counts[b]), counts[c]), kind="stable")[:TRIPLES]
-    return pairs + [(int(x), int(y), int(z)) for x, y, z in zip(a[best], b[best], c[best], strict=True)]
+    return pairs + list(zip(a[ok].tolist(), b[ok].tolist(), c[ok].tolist(), strict=True))
 
 
 def fit(counts: np.ndarray, offered: list[tuple[int, ...]]) -> np.ndarray:
@@ -113,8 +109,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, splitter: str, end_id: int, capa
 
     All pieces of a cut document but the first have ``capacity`` ids.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
+    rows = read_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = docs.sparkSession.sparkContext.broadcast(character_classes())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +117,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, splitter: str, end_id: int, capa
         end, width = encoder.one(end_id), encoder.dtype.itemsize
         for batch in batches:
             out: list[tuple] = []
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for run in text_batches(pairs):
+            for run in text_batches(rows_of(batch)):
                 for (doc_id, _), packed in zip(run, encoder.encode([t for _, t in run]), strict=True):
                     ids = packed + end
                     n, start, piece = len(ids) // width, 0, 0
@@ -149,16 +143,25 @@ def pack_documents(docs: DataFrame, tokenizer: str, splitter: str, end_id: int,
     spark = docs.sparkSession
     pieces = materialise(cut_pieces(docs, tokenizer, splitter, end_id, capacity), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    segments, used, sequence = [], Counter(), 0
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
+    used, sequence = Counter(), 0
     for pattern, times in plan(counts, capacity):
         offset = 0
         for length in pattern:
-            segments.append((length, used[length], used[length] + times, sequence, offset))
+            runs.setdefault(length, []).append((used[length], used[length] + times, sequence, offset))
             used[length] += times
             offset += length
         sequence += times
-    table = spark.createDataFrame(segments, "s_length long, s_from long, s_to long, s_first long, s_offset long")
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
-    # The table of runs is bounded by the capacity alone, whatever the number of documents.
-    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("s_from")) & (F.col("rank") < F.col("s_to")))
+    # The ranks of a length are cut into as many equal steps as it has runs, so that a step meets few of
+    # them. The tables are bounded by the capacity alone, whatever the number of documents.
+    steps = {length: -(-used[length] // len(of)) for length, of in runs.items()}
+    segments = [(length, s, *run) for length, of in runs.items() for run in of for s in range(run[0] // steps[length], (run[1] - 1) // steps[length] + 1)]
+    names = ["s_length", "s_step", "s_from", "s_to", "s_first", "s_offset"]
+    columns = [pa.array(c, pa.int64()) for c in zip(*segments, strict=True)] if segments else [pa.array([], pa.int64())] * len(names)
+    table = spark.createDataFrame(pa.Table.from_arrays(columns, names=names))
+    widths = spark.createDataFrame(list(steps.items()), "w_length long, width long")
+    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank").join(F.broadcast(widths), F.col("length") == F.col("w_length"))
+    ranked = ranked.withColumn("step", F.floor(F.col("rank") / F.col("width")))
+    same = (F.col("length") == F.col("s_length")) & (F.col("step") == F.col("s_step"))
+    placed = ranked.join(F.broadcast(table), same & (F.col("rank") >= F.col("s_from")) & (F.col("rank") < F.col("s_to")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("s_first") + F.col("rank") - F.col("s_from")).alias("sequence_id"), F.col("s_offset").alias("offset"))

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import read_texts
+from .tokens import release_memory
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: found beside the base kinds: web addresses, account or identity numbers after a cue, and secrets
 MORE_KINDS = ("url", "account", "secret")
@@ -243,7 +246,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_all"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, FOUND)
+    return read_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, FOUND)
 
 
 def masked(text: str, found: dict[str, list[Span]]) -> str:
@@ -267,6 +270,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     counted = columns.index("n_chars") if "n_chars" in columns else None
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         finder = AnchorFinder()
         for batch in batches:
             texts = [t and masked(t, finder.spans(t)) for i in range(0, batch.num_rows, 256) for t in batch.column(at).slice(i, 256).to_pylist()]
@@ -277,4 +281,4 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
                 arrays[counted] = lengths.cast(batch.column(counted).type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return read_texts(docs).mapInArrow(mask, docs.schema)

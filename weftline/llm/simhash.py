@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .tokens import text_batches
+from .common import materialise, read_texts
+from .tokens import release_memory, rows_of, text_batches
 
 WORDS, WORD_BITS = 4, 16
 RADIUS = 3
@@ -61,12 +61,13 @@ def fingerprint_rows(docs: DataFrame, shingle: int = 3, carried: tuple[str, ...]
     """doc_id and fp (the fingerprint's bits as a signed long) of every row of ``docs(doc_id, text)``, with the long columns ``carried``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
-            got = [fingerprints([t for _, t in part], shingle) for part in text_batches((None, t) for t in batch.column(1).to_pylist())]
+            got = [fingerprints([t for _, t in part], shingle) for part in text_batches((None, t) for (t,) in rows_of(batch.select([1])))]
             fp = np.concatenate(got) if got else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in carried))
+    return read_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in carried))
 
 
 def _first_word(x: np.ndarray) -> np.ndarray:

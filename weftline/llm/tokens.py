@@ -15,11 +15,11 @@ import unicodedata
 import numpy as np
 
 #: chunks remembered; beyond so many the memory is emptied and filled anew
-MOST_KEPT = 800_000
+MOST_KEPT = 500_000
 #: slots of the hash table of remembered chunks, as a power of two: over twice MOST_KEPT
-SLOT_BITS = 21
+SLOT_BITS = 20
 #: characters handled at a time
-STRETCH = 1_000_000
+STRETCH = 400_000
 
 SPACE, NEWLINE, LETTER, NUMBER, SYMBOL, OTHER_SPACE = range(6)
 _BASE, _SEED = 0x9E3779B97F4A7C15 | 1, 20240607
@@ -155,7 +155,7 @@ class ChunkEncoder:
     def _forget(self) -> None:
         self.known = 0
         self.slot_hash, self.slot_entry = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
-        self.begin, self.size, self.first, self.length = (np.zeros(1024, np.int64) for _ in range(4))
+        self.begin, self.size, self.first, self.length = (np.zeros(1024, np.uint32) for _ in range(4))
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
         self.codes, self.spelled = np.zeros(1 << 16, np.uint32), 0
 
@@ -255,14 +255,14 @@ class ChunkEncoder:
         if other.any():
             bad[owner[other]] = True
         ours = code if int(length.sum()) == len(code) else code[ranges(start, length)]
-        at = np.repeat(self.first[entry] - (np.cumsum(length) - length), length)
+        at = np.repeat(self.first[entry].astype(np.int64) - (np.cumsum(length) - length), length)
         at += np.arange(len(at))
         differ = np.flatnonzero(self.codes.take(at, mode="clip") != ours)
         if len(differ):
             bad[owner[np.searchsorted(np.cumsum(length), differ, side="right")]] = True
-        size = self.size[entry]
+        size = self.size[entry].astype(np.int64)
         ends = np.cumsum(size)
-        flat = self.pool[np.repeat(self.begin[entry] - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        flat = self.pool[np.repeat(self.begin[entry].astype(np.int64) - (ends - size), size) + np.arange(ends[-1])].tobytes()
         limit = np.concatenate([[0], np.cumsum(np.bincount(owner, size, len(run)).astype(np.int64))]) * self.dtype.itemsize
         for k, i in enumerate(run):
             out[i] = flat[limit[k] : limit[k + 1]]
@@ -287,6 +287,29 @@ def worker_encoder(path: str, splitter: str, classes: np.ndarray) -> ChunkEncode
     return kept[path, splitter]
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker process left: encoders, and freed memory that the process still holds."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    import tokenizers
+
+    tokenizers.__dict__.get("_kept_by_worker", {}).clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def rows_of(batch, rows: int = 256):
+    """The rows of an Arrow batch as tuples, a few at a time, so that no whole batch is held in Python."""
+    for at in range(0, batch.num_rows, rows):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True)
+
+
 def text_batches(values, most: int = 512, size: int = 8_000_000):
     """Cut rows (key, text) into runs of bounded count and text length."""
     run, n = [], 0

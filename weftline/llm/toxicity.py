@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, materialise
-from .tokens import text_batches
+from .common import least_hashed, materialise, read_texts
+from .tokens import rows_of, text_batches
 
 #: labelled rows in the fitted sample, features in the fitted list
 SAMPLE_ROWS, MOST_FEATURES = 20_000, 20_000
@@ -72,14 +72,14 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = class_table(), np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            for part in text_batches((None, t) for t in batch.column(0).to_pylist()):
+            for part in text_batches((None, t) for (t,) in rows_of(batch)):
                 joined = "  ".join(t for _, t in part if t).lower()
                 c = table[np.frombuffer(f"  {joined}  ".encode("utf-32-le", "replace"), "<u4")].astype(np.int32)
                 total += np.bincount(c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:], minlength=CLASSES**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    rows = read_texts(docs).select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CLASSES**3, np.int64)
     out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, costs: np.ndarray
         seen: dict[str, list[str]] = {}
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in rows_of(batch):
                 held: set[str] = set()
                 for token in text_tokens(text or ""):
                     if (got := seen.get(token)) is None:
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, costs: np.ndarray
         seen: dict[str, list[str]] = {}
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
+            for text, _ in rows_of(batch):
                 held: set[str] = set()
                 for token in text_tokens(text or ""):
                     if (got := seen.get(token)) is None:
