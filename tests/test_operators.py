@@ -187,6 +187,51 @@ def test_paths_and_closures_of_any_depth(spark):
     assert rows(graph.closure(edges, seeds, 9)) == {k: n for k, n in want.items() if k[0] in (5, 70) and n <= 9}
 
 
+def test_escalation_stops_at_a_full_page(spark):
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "k int, name string")
+
+    def never():
+        raise AssertionError("the page was full")
+
+    got = search.escalated([lambda: rows.filter("k < 2"), lambda: rows, never], ["k"], [F.col("k")], 4)
+    assert [(r["k"], r["bucket"]) for r in got.collect()] == [(0, 0), (1, 0), (2, 1), (3, 1)]
+    short = search.escalated([lambda: rows.filter("k < 2")], ["k"], [F.col("k")], 4)
+    assert [r["k"] for r in short.collect()] == [0, 1]
+
+
+def test_references_of_the_engine_are_skipped_where_the_project_has_enough(spark):
+    reason = lambda **k: resolve.engine_skip_reason(**{"hits": 0, "paths": 0, "found_definition": False, "cursor_in_project": True, "scope": "global", "symbol_strong": False, "type_like": False, "identifier": False, "text_like": False, **k})
+    assert reason(scope="member") == "scope_local" and reason() is None and reason(hits=99, cursor_in_project=False) is None
+    assert reason(hits=24, found_definition=True) == "project_definition_dense" and reason(hits=4, paths=2, symbol_strong=True, type_like=True) == "unreal_type_project_hits"
+    assert reason(hits=8, symbol_strong=True) == "sym_strong_project_hits" and reason(hits=16, identifier=True) == "identifier_project_hits"
+    assert reason(hits=16, identifier=True, text_like=True) is None and reason(hits=9, paths=8) == "project_hits_dense" and reason(hits=39) is None
+    project = spark.createDataFrame([("/p/A.h", 1), ("/p/a.h", 2)], "path string, line_number int")
+    engine = spark.createDataFrame([("/e/b.h", 1), ("/p/A.h", 1)], "path string, line_number int")
+    find = lambda skip: [(r["path"], r["source_rank"]) for r in resolve.federated_references(project, lambda: engine, ["path", "line_number"], [F.col("path"), F.col("line_number")], 10, skip).collect()]
+    assert find(lambda hits, paths: "enough" if (hits, paths) == (2, 1) else None) == [("/p/A.h", 0), ("/p/a.h", 0)]
+    assert find(lambda hits, paths: None) == [("/p/A.h", 0), ("/p/a.h", 0), ("/e/b.h", 1)]
+
+
+def test_rules_turn_checks_on_and_set_severities(spark):
+    rules = checks.read_rules('[linker]\ncheck_odr_class = false\nodr_function_severity = "hint"\ncheck_missing_def = true\n[own]\nx = 1')
+    assert rules["finalize"]["max_per_line"] == 3 and rules["own"] == {"x": 1}
+    found = spark.createDataFrame([(c,) for c in ("odr_function", "odr_class", "missing_def", "name_clash")], "check string")
+    assert {r["check"]: r["severity"] for r in checks.by_rules(found, rules).collect()} == {"odr_function": "hint", "missing_def": "warning", "name_clash": "error"}
+    assert checks.by_rules(found, checks.read_rules("[linker]\nenabled = false")).count() == 0
+
+
+def test_versions_are_read_by_their_manifest(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/index"
+    assert build.read_version(spark, folder) is None
+    table = lambda n: {"files": spark.range(n).select(F.col("id").alias("path"))}
+    build.write_version(table(3), folder, "a")
+    first = build.read_version(spark, folder, "a")["files"]
+    build.write_version(table(5), folder, "b")
+    assert build.read_version(spark, folder, "a") is None and build.read_version(spark, folder, "b")["files"].count() == 5 and first.count() == 3
+    monkeypatch.setattr(build, "SCHEMA_VERSION", build.SCHEMA_VERSION + 1)
+    assert build.read_version(spark, folder, "b") is None
+
+
 def test_brace_ranges(spark):
     df = spark.createDataFrame([("f", "class A {\n x\n}\nint g() {\n{\n}\n y")], "path string, text string")
     got = [(r["name"], r["start"], r["end"]) for r in resolve.brace_ranges(T.lines(df, "path", "text"), "path").orderBy("start").collect()]

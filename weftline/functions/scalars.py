@@ -24,6 +24,11 @@ def lower_ascii(c: Column | str) -> Column:
     return F.translate(_col(c), UPPER, LOWER)
 
 
+def lower_ascii_text(text: str) -> str:
+    """``lower_ascii`` of a plain string."""
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
 def compact_identifier(c: Column | str) -> Column:
     """ASCII letters and digits only, lower-cased."""
     return lower_ascii(F.regexp_replace(_col(c), "[^A-Za-z0-9]", ""))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -98,8 +101,68 @@ def cascade_delete(tables: dict[str, DataFrame], owner: str, gone: DataFrame, la
     return out
 
 
-def write_version(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write a set of tables below ``folder/v<SCHEMA_VERSION>``, symbols and files sorted by their lookup key."""
+def sync_lines(lines: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The line table after a change: the lines (path, line_number, line_text) of other files, and those of changed ones.
+
+    ``changed(path, text)`` replaces a file's lines, ``deleted(path)`` takes them away; paths are normalised
+    and files that do not belong in the index have no lines.
+    """
+    from ..sources.text import lines as split, text_eligible
+
+    path = S.normalize_path("path").alias("path")
+    new = changed.select(path, "text")
+    gone = new.select("path").unionByName(deleted.select(path)).distinct()
+    return lines.join(gone, "path", "left_anti").unionByName(split(new.filter(text_eligible("path")), "path", "text"))
+
+
+def resolve_again(edges: DataFrame, targets: DataFrame, changed_children: DataFrame, changed_names: DataFrame) -> DataFrame:
+    """``edges(child_id, parent_name, parent_id)`` with the parents of changed children and of changed names looked up anew.
+
+    ``targets(id, name)``; of several targets of a name the least id counts. Other edges stay as they are.
+    """
+    children = changed_children.select(F.col("child_id").alias("__c")).distinct()
+    names = changed_names.select(F.col("name").alias("__n")).distinct()
+    first = targets.groupBy(F.col("name").alias("__t")).agg(F.min("id").alias("__id"))
+    marked = edges.join(children, F.col("child_id") == F.col("__c"), "left").join(names, F.col("parent_name") == F.col("__n"), "left").join(first, F.col("parent_name") == F.col("__t"), "left")
+    again = F.col("__c").isNotNull() | F.col("__n").isNotNull()
+    return marked.select("child_id", "parent_name", F.when(again, F.col("__id")).otherwise(F.col("parent_id")).alias("parent_id"))
+
+
+def _files(spark: SparkSession, folder: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    return jvm, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_version(tables: dict[str, DataFrame], folder: str, source: str = "") -> str:
+    """Write a set of tables beside the ones before, symbols and files sorted by their lookup key; returns their folder.
+
+    The manifest, which readers go by, is replaced last: it names the schema version, the folder, the
+    tables and ``source``, a mark of what they were built from. A reader sees the old set or the new one.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{folder}/v{SCHEMA_VERSION}-{uuid.uuid4().hex[:12]}"
     for name, df in tables.items():
         order = next((c for c in ("name_lc", "basename_lc", "path") if c in df.columns), None)
-        (df.sortWithinPartitions(order) if order else df).write.mode("overwrite").parquet(f"{folder}/v{SCHEMA_VERSION}/{name}")
+        (df.sortWithinPartitions(order) if order else df).write.parquet(f"{version}/{name}")
+    said = json.dumps({"schema": SCHEMA_VERSION, "folder": version, "tables": sorted(tables), "source": source})
+    jvm, place, files = _files(spark, folder)
+    draft, final = jvm.org.apache.hadoop.fs.Path(place, f"manifest-{uuid.uuid4().hex[:12]}"), jvm.org.apache.hadoop.fs.Path(place, "manifest.json")
+    out = files.create(draft, True)
+    out.write(bytearray(said.encode()))
+    out.close()
+    files.delete(final, False)
+    files.rename(draft, final)
+    return version
+
+
+def read_version(spark: SparkSession, folder: str, source: str = "") -> dict[str, DataFrame] | None:
+    """The tables that the manifest names, or None where there is none, or one of another schema or source: rebuild then."""
+    jvm, place, files = _files(spark, folder)
+    manifest = jvm.org.apache.hadoop.fs.Path(place, "manifest.json")
+    if not files.exists(manifest):
+        return None
+    said = json.loads("\n".join(r["value"] for r in spark.read.text(manifest.toString()).collect()))
+    if said["schema"] != SCHEMA_VERSION or said["source"] != source:
+        return None
+    return {name: spark.read.parquet(f"{said['folder']}/{name}") for name in said["tables"]}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +96,38 @@ def plugin_audit(symbols: DataFrame, on_disk: DataFrame, limit: int = 20) -> Dat
     for part in (count(known, "n_known"), count(disk, "n_on_disk"), count(missing, "n_missing"), count(extra, "n_extra"), first(missing, "missing_sample"), first(extra, "extra_sample"), top):
         out = out.crossJoin(part)
     return out
+
+
+# Match qualities that count as high.
+HIGH_QUALITIES = ("exact_symbol", "prefix_symbol", "normalized_symbol")
+
+
+def result_stats(rows: DataFrame, path: str, quality: str) -> DataFrame:
+    """One row: n, paths (distinct, case folded) and high_quality (rows of HIGH_QUALITIES)."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(S.lower_ascii(path)).alias("paths"), F.count_if(F.col(quality).isin(*HIGH_QUALITIES)).alias("high_quality"))
+
+
+# The rules that hold where a rule file says nothing, by section.
+DEFAULT_RULES = {
+    "finalize": {"max_per_file": 200, "max_per_line": 3, "dedupe_window_cols": 4, "suppress_tail_lines": 0},
+    "linker": {
+        "enabled": True, "check_odr_function": True, "odr_function_severity": "error", "check_odr_class": True, "odr_class_severity": "error",
+        "check_missing_def": False, "missing_def_severity": "warning", "check_name_clash": True, "name_clash_severity": "error",
+    },
+}
+
+
+def read_rules(text: str) -> dict[str, dict]:
+    """The sections of a rule file (TOML) over DEFAULT_RULES; sections and keys that it adds are kept."""
+    said = tomllib.loads(text)
+    return {name: {**DEFAULT_RULES.get(name, {}), **said.get(name, {})} for name in [*DEFAULT_RULES, *(n for n in said if n not in DEFAULT_RULES)]}
+
+
+def by_rules(findings: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """``findings(check, ...)`` of the linker's checks that the rules turn on, with their ``severity``."""
+    linker = rules["linker"]
+    on = {name: linker[f"{name}_severity"] for name in ("odr_function", "odr_class", "missing_def", "name_clash") if linker.get("enabled", True) and linker.get(f"check_{name}", False)}
+    if not on:
+        return findings.limit(0).withColumn("severity", F.lit(""))
+    severity = F.create_map(*[F.lit(x) for pair in on.items() for x in pair])
+    return findings.withColumn("severity", F.try_element_at(severity, "check")).filter("severity is not null")

@@ -132,6 +132,20 @@ def overrides(edges: DataFrame, roots: DataFrame, members: DataFrame, symbol: st
     return members.filter(F.col("name") == symbol).join(below, "class_id")
 
 
+def reachable_with_fallback(includes: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src, dst, depth) from each root over includes, those without a target standing for all files of their base name.
+
+    ``includes(file_id, resolved_file_id, include_path, base_filename, module_id)``, ``files(target_id, basename,
+    target_module, path)``, ``roots(src)``; a root reaches itself at depth 0.
+    """
+    from .resolve import include_fallback
+
+    known = includes.filter("resolved_file_id is not null").select(F.col("file_id").alias("src"), F.col("resolved_file_id").alias("dst"))
+    guessed = include_fallback(includes.filter("resolved_file_id is null"), files).select(F.col("file_id").alias("src"), F.col("target_id").alias("dst"))
+    reach = closure(known.unionByName(guessed), roots).filter("src <> dst")
+    return roots.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).distinct().unionByName(reach)
+
+
 def reverse_edges(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges that point at the targets (who includes X)."""
     return edges.join(targets.select("dst").distinct(), "dst", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,33 @@ def federated(project: DataFrame, engine: DataFrame, identity: list[str], order:
     return once.orderBy("source_rank", *order).limit(limit)
 
 
+def engine_skip_reason(hits: int, paths: int, found_definition: bool, cursor_in_project: bool, scope: str, symbol_strong: bool, type_like: bool, identifier: bool, text_like: bool) -> str | None:
+    """Why references need not be looked for in the engine's index too, given what the project's has; None if they must."""
+    if scope in ("local", "member"):
+        return "scope_local"
+    if not cursor_in_project or hits == 0:
+        return None
+    rules = [
+        ("project_definition_dense", found_definition and hits >= 24),
+        ("unreal_type_project_hits", symbol_strong and type_like and hits >= 4 and paths >= 2),
+        ("sym_strong_project_hits", symbol_strong and hits >= 8),
+        ("identifier_project_hits", identifier and not text_like and hits >= 16),
+        ("project_hits_dense", hits >= 40 or paths >= 8),
+    ]
+    return next((name for name, holds in rules if holds), None)
+
+
+def federated_references(project: DataFrame, engine: Callable[[], DataFrame], identity: list[str], order: list[Column], limit: int, skip: Callable[[int, int], str | None]) -> DataFrame:
+    """The project's references and, unless ``skip(hits, paths)`` gives a reason against it, the engine's after them.
+
+    Both have a ``path``. The driver sees two counts; the engine's plan is not made where it is skipped.
+    """
+    stats = project.agg(F.count(F.lit(1)).alias("hits"), F.count_distinct(S.lower_ascii("path")).alias("paths")).first()
+    if skip(stats["hits"], stats["paths"]):
+        return project.withColumn("source_rank", F.lit(0)).orderBy(*order).limit(limit)
+    return federated(project, engine(), identity, order, limit)
+
+
 def nearest_preceding(rows: DataFrame, key: list[str], order: list[Column], is_mark: Column, is_cursor: Column, values: list[str], prefix: str = "near_") -> DataFrame:
     """For every cursor row the values of the last mark before or at it, by one window over the key."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

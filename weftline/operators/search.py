@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +93,31 @@ def fuzzy_tokens(symbols: DataFrame, pattern: str, limit: int = 256) -> DataFram
     return with_limit(rows, _symbol_order(), limit)
 
 
+def fuzzy_files(files: DataFrame, pattern: str, limit: int = 200) -> DataFrame:
+    """Files in whose base name or path every white-space separated part of the pattern occurs; assets are left out."""
+    tokens = S.lower_ascii_text(pattern).split()
+    if not tokens:
+        return files.limit(0)
+    rows = files.filter(~S.lower_ascii(F.coalesce("ext", F.lit(""))).isin("uasset", "umap"))
+    for t in tokens:
+        rows = rows.filter(F.col("basename_lc").contains(t) | F.col("path_lc").contains(t))
+    return with_limit(rows, [F.length("basename_lc"), F.col("basename_lc"), F.col("path_lc"), F.col("file_id")], limit, most=1000)
+
+
+def escalated(buckets: list[Callable[[], DataFrame]], identity: list[str], order: list[Column], limit: int) -> DataFrame:
+    """``priority_merge`` of the first buckets that fill a page; a later one is not even planned before it is needed.
+
+    Each bucket yields ``limit`` rows at most, so what is counted between two of them is a page.
+    """
+    taken: list[DataFrame] = []
+    for bucket in buckets:
+        taken.append(bucket().orderBy(*order).limit(limit))
+        page = priority_merge(taken, identity, order, limit)
+        if page.count() >= limit:
+            break
+    return page
+
+
 def suppress_for_exact_type(rows: DataFrame, pattern: str) -> DataFrame:
     """If some class-like row is named exactly so, other class-likes go, and rows of other names too; files stay."""
     low = pattern.lower()
@@ -212,22 +238,54 @@ def budget_scan(rows: DataFrame, key: str, size: Column, most_files: int, most_b
     return first.withColumn("bytes_before", before).filter(F.col("bytes_before") < most_bytes).withColumnRenamed("__size", "bytes")
 
 
+# Files, bytes and matches that the phases of a live text search may take.
+PHASE_BUDGETS = {"near": (50, 8 << 20, 10), "project": (200, 32 << 20, 30), "engine": (1000, 64 << 20, 50)}
+
+
+def phased_scan(files: DataFrame, key: str, size: Column, text: str, needle: str, phases: list[tuple[str, Column, tuple[int, int, int]]], most: int) -> DataFrame:
+    """(key, phase, matches): files that hold the needle, phase by phase until ``most`` files are found.
+
+    A phase (name, condition, (files, bytes, results)) scans the first files in key order that its condition
+    admits and no earlier phase has read, within its budget. The driver sees one count a phase.
+    """
+    found, read, left = None, None, most
+    for name, condition, (most_files, most_bytes, most_results) in phases:
+        if left <= 0:
+            break
+        rows = files.filter(condition)
+        if read is not None:
+            rows = rows.join(read, key, "left_anti")
+        scanned = budget_scan(rows, key, size, most_files, most_bytes)
+        folded, n = _folded(text, needle)
+        hits = scanned.filter(folded.contains(n)).withColumn("matches", F.size(F.split(folded, F.lit("\\Q" + n + "\\E"))) - 1)
+        hits = hits.orderBy(key).limit(min(most_results, left)).select(key, F.lit(name).alias("phase"), "matches")
+        left -= hits.count()
+        found = hits if found is None else found.unionByName(hits)
+        seen = scanned.select(key)
+        read = seen if read is None else read.unionByName(seen)
+    return found
+
+
 def new_rows(page: DataFrame, sent: DataFrame, identity: list[str]) -> DataFrame:
     """Rows of a page that were not sent yet."""
     return page.join(sent.select(*identity).distinct(), identity, "left_anti")
 
 
 def fast_find(symbols: DataFrame, files: DataFrame, pattern: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Symbols by bucket, then files unless the pattern is an identifier, then fuzzy matches; exact types suppress."""
+    """Symbols by bucket, then files unless the pattern is an identifier, then fuzzy matches of symbols and files.
+
+    A bucket is looked into only while the page is not full. Exact types suppress others.
+    """
     import re
 
     columns = ["kind", "name", "name_lc", "owner_name", "path", "line_number", "is_class_like", "kind_rank", "symbol_id"]
     rows = bucketed_symbols(symbols, pattern, 500).select(*columns)
-    buckets = [rows]
+    as_rows = lambda found: found.select(F.lit("file").alias("kind"), F.col("basename").alias("name"), F.col("basename_lc").alias("name_lc"), F.lit(None).cast("string").alias("owner_name"), "path", F.lit(0).alias("line_number"), F.lit(False).alias("is_class_like"), F.lit(3).alias("kind_rank"), F.col("file_id").alias("symbol_id"))
+    buckets = [lambda: rows]
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_:]*", pattern):
-        buckets.append(bucketed_files(files, pattern, 500).select(F.lit("file").alias("kind"), F.col("basename").alias("name"), F.col("basename_lc").alias("name_lc"), F.lit(None).cast("string").alias("owner_name"), "path", F.lit(0).alias("line_number"), F.lit(False).alias("is_class_like"), F.lit(3).alias("kind_rank"), F.col("file_id").alias("symbol_id")))
-    buckets.append(fuzzy_tokens(symbols, pattern).select(*columns))
-    merged = priority_merge(buckets, ["kind", "path", "line_number", "name"], _symbol_order())
+        buckets.append(lambda: as_rows(bucketed_files(files, pattern, 500)))
+    buckets += [lambda: fuzzy_tokens(symbols, pattern).select(*columns), lambda: as_rows(fuzzy_files(files, pattern))]
+    merged = escalated(buckets, SYMBOL_IDENTITY, _symbol_order(), min(max(offset, 0) + min(max(limit, 1), 500), 1000))
     return suppress_for_exact_type(merged, pattern).orderBy("bucket", *_symbol_order()).offset(offset).limit(min(max(limit, 1), 500))
 
 

@@ -124,6 +124,50 @@ def symbols(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.regexp_extract("line_text", pattern, 1).alias("kind"), F.regexp_extract("line_text", pattern, 2).alias("name"), F.when(base != "", base).alias("base"), F.col("line_number").alias("line"))
 
 
+# Words before a parenthesis that call nothing.
+NOT_CALLED = ("if", "for", "while", "switch", "return", "sizeof", "catch", "defined", "alignof", "decltype", "noexcept", "static_assert")
+
+
+def _code(line: Column) -> Column:
+    """A line without its strings and its trailing comment."""
+    return F.regexp_replace(F.regexp_replace(line, r'"(?:\\.|[^"\\])*"', '""'), r"//.*$", "")
+
+
+def calls(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, line) of every name before a parenthesis in code; control words and macro definitions are none."""
+    rows = lines(df, key, text).filter(~F.col("line_text").rlike(r"^\s*#"))
+    found = rows.select(key, F.explode(F.regexp_extract_all(_code(F.col("line_text")), F.lit(r"(?<![A-Za-z0-9_~])([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)).alias("name"), F.col("line_number").alias("line"))
+    return found.filter(~F.col("name").isin(*NOT_CALLED))
+
+
+def members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_name, kind, name, access, line): fields and methods declared one to a line in class and struct bodies.
+
+    The class is the one whose brace opened last at the depth above; access is private in a class until said
+    otherwise, public in a struct.
+    """
+    head = r"^\s*(class|struct)\s+(?:[A-Z_]+_API\s+)?(\w+)[^;]*$"
+    rows = lines(df, key, text).withColumn("c", _code(F.col("line_text")))
+    count = lambda sign: F.length("c") - F.length(F.replace(F.col("c"), F.lit(sign), F.lit("")))
+    by_line = Window.partitionBy(key).orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__after", F.sum(count("{") - count("}")).over(by_line)).withColumn("__before", F.col("__after") - count("{") + count("}"))
+    is_head = F.col("c").rlike(head)
+    at = F.last(F.when(is_head, F.col("line_number")), True).over(by_line)
+    rows = rows.withColumn("__name", F.last(F.when(is_head, F.regexp_extract("c", head, 2)), True).over(by_line)).withColumn("__kind", F.last(F.when(is_head, F.regexp_extract("c", head, 1)), True).over(by_line)).withColumn("__head", at)
+    # A line opens the level below it; whose body that is, is told by the class head on this line or the one before.
+    opener = rows.filter("__after > __before").select(key, "line_number", F.lit("").alias("c"), (F.col("__before") + 1).alias("level"), F.struct(F.when(F.col("line_number") - F.col("__head") <= 1, F.col("__name")).alias("name"), F.col("__kind").alias("kind")).alias("opener"))
+    inside = rows.select(key, "line_number", "c", F.col("__before").alias("level"), F.lit(None).cast(opener.schema["opener"].dataType).alias("opener"))
+    by_level = Window.partitionBy(key, "level").orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = inside.unionByName(opener).withColumn("__class", F.last("opener", True).over(by_level))
+    said = F.regexp_extract("c", r"^\s*(public|protected|private)\s*:", 1)
+    mark = F.when(F.col("opener").isNotNull(), F.when(F.col("opener.kind") == "class", "private").otherwise("public")).when(said != "", said)
+    rows = rows.withColumn("access", F.last(mark, True).over(by_level)).filter(F.col("opener").isNull() & F.col("__class.name").isNotNull() & F.col("c").rlike(r"[;{]\s*\}?\s*$") & ~F.col("c").rlike(r"^\s*(public|protected|private|using|typedef|friend|class|struct|enum)\b"))
+    method, field = r"(~?\w+)\s*\([^()]*(?:\([^()]*\)[^()]*)*\)[^;{]*[;{]", r"^\s*[\w:<>,*&\s]+?[\s*&](\w+)\s*(?:\[[^\]]*\])?\s*(?:=[^;]*|\{[^;]*\})?;\s*$"
+    is_method = F.col("c").rlike(method) & ~F.col("c").rlike(r"^[^(]*=")
+    name = F.when(is_method, F.regexp_extract("c", method, 1)).otherwise(F.regexp_extract("c", field, 1))
+    return rows.select(key, F.col("__class.name").alias("class_name"), F.when(is_method, "method").otherwise("field").alias("kind"), name.alias("name"), "access", F.col("line_number").alias("line")).filter("name != ''")
+
+
 def includes(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r'(?m)^\s*#\s*include\s*["<]([^">]+)[">]'), 1)).alias("include_path"))
     return rows.select(key, "include_path", S.basename("include_path").alias("base_filename"))
