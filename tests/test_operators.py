@@ -287,7 +287,10 @@ def test_requests(index):
     assert names(index.get_signature_help("Jump"), "signature") == ["(int n)"]
     assert names(index.search_files("hero.h"), "path") == ["Game/Public/Hero.h"]
     assert names(index.get_depend_files("Game/Private/Hero.cpp"), "path") == ["Game/Public/Hero.h"]
-    assert [(r["usage"], r["line_number"]) for r in index.find_symbol_usages("Jump", function_like=True).collect()] == [("declaration", 4), ("call", 7)]
+    places = lambda *a, **k: [(r["usage"], r["path"], r["line_number"]) for r in index.find_symbol_usages(*a, **k).collect()]
+    assert places("Jump") == places("Jump", "AHero") == [("declaration", "Game/Public/Hero.h", 4), ("call", "Game/Private/Hero.cpp", 7)]
+    assert places("Jump", "AActor") == [] and places("Jump", current="Game/Private/Hero.cpp", local=(1, 7)) == [("call", "Game/Private/Hero.cpp", 7)]
+    assert T.engine_roots("/u/") == ["/u/Engine/Source", "/u/Engine/Plugins", "/u/Engine/Config", "/u/Engine/Shaders"]
     assert names(index.get_completions("ju", "AHero")) == ["Jump", "JUMP_MAX"]
     assert names(index.global_find("Jump();"), "kind") == ["function", "text"]
     assert index.get_diagnostics().count() == 0

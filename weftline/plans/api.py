@@ -275,14 +275,12 @@ class Index:
 
     # ------------------------------------------------------------ usages, assets, config, diagnostics
 
-    def find_symbol_usages(self, symbol: str, function_like: bool = False, limit: int = 300) -> DataFrame:
-        rows = self["search_symbols"].filter(F.col("name") == symbol)
-        declared = rows.select("path", "line_number", F.lit("declaration").alias("usage"))
+    def find_symbol_usages(self, symbol: str, owner: str | None = None, current: str | None = None, local: tuple[int, int] | None = None, limit: int = 300) -> DataFrame:
+        """Usages in the scope of a member (with ``owner``), of a local symbol (lines of the current file), or anywhere."""
         members = self._named_members()
-        roots = members.filter(F.col("name") == symbol).select(F.col("class_id").alias("src")).distinct()
-        over = graph.overrides(self._edges(), roots, members, symbol).select("path", "line_number", F.lit("override").alias("usage"))
-        calls = self["calls"].filter(S.lower_ascii("name") == symbol.lower()).select("path", "line_number", F.lit("call").alias("usage"))
-        return usages.find_usages(symbol, declared, over, calls, self["lines"], function_like, limit)
+        roots = members.filter((F.col("name") == symbol) if owner is None else (F.col("name") == symbol) & (F.col("class_id") == owner)).select(F.col("class_id").alias("src")).distinct()
+        over = graph.overrides(self._edges(), roots, members, symbol).select("path", "line_number")
+        return usages.scoped_usages(symbol, self["search_symbols"], over, self["calls"], self["includes"], self["lines"], owner, current, local, limit)
 
     def get_assets(self, limit: int = 1000) -> DataFrame:
         return self["assets"].orderBy(S.lower_ascii("asset_path"), "asset_path").limit(limit)

@@ -63,6 +63,8 @@ def index(spark: SparkSession, d: str) -> Index:
         "components": t("region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("component_id")),
         "assets": p.filter("p_partkey % 3 = 0").join(n, key == k % 30).select(name, F.concat(F.lit("/Script/Game."), "n_name").alias("parent_class")),
         "references": p.filter("p_partkey % 5 < 3").select(name, F.concat(F.lit("/Game/A"), text(k % 40)).alias("referenced")),
+        "calls": t("customer").select(F.concat(F.lit("rUN"), text(F.col("c_custkey") % 9)).alias("name"), F.concat(F.lit("/Game/Calls/"), text("c_nationkey"), F.lit(".cpp")).alias("path"), F.col("c_custkey").alias("line_number")),
+        "lines": p.select(path.alias("path"), k.alias("line_number"), F.concat(F.lit("x = Run1 + "), "p_name").alias("line_text")),
         "functions": p.filter("p_partkey % 4 = 0").select(name, F.concat(F.lit("Run"), text(k % 7)).alias("function_name")),
     }).with_projections()
 
@@ -139,3 +141,7 @@ _request("asset_usages", lambda x: x.get_asset_usages(x["members"].select("name"
 _request("asset_usage_hints", lambda x: x.get_asset_usage_hints(x["classes"].select("name")), _USAGES + f" SELECT {low('c.name')} AS name, count(DISTINCT asset_path) FILTER (WHERE usage_kind = 'derived') AS derived_count, count(DISTINCT asset_path) FILTER (WHERE usage_kind = 'reference') + count(DISTINCT asset_path) FILTER (WHERE usage_kind = 'function') AS reference_count FROM u JOIN classes c ON lookup_key = {low('c.name')} OR ends_with(lookup_key, '.' || {low('c.name')}) OR ends_with(lookup_key, ':' || {low('c.name')}) GROUP BY 1")
 _request("asset_index_status", lambda x: x.get_asset_index_status().select("n_assets", "n_references", "n_orphan_references", "n_orphan_functions", F.concat_ws(",", "sample").alias("sample")), """SELECT (SELECT count(*) FROM assets) AS n_assets, (SELECT count(*) FROM refs) AS n_references, (SELECT count(*) FROM refs WHERE asset_path NOT IN (SELECT asset_path FROM assets)) AS n_orphan_references,
   (SELECT count(*) FROM functions WHERE asset_path NOT IN (SELECT asset_path FROM assets)) AS n_orphan_functions, (SELECT coalesce(string_agg(asset_path, ',' ORDER BY asset_path), '') FROM (SELECT DISTINCT asset_path FROM refs WHERE asset_path NOT IN (SELECT asset_path FROM assets) ORDER BY asset_path LIMIT 8)) AS sample""")
+_CALLS = ", calls AS (SELECT 'rUN' || (c_custkey % 9) AS name, '/Game/Calls/' || c_nationkey || '.cpp' AS path, c_custkey AS line_number FROM customer), hit AS (SELECT * FROM calls WHERE lower(name) = 'run1' ORDER BY lower(path), line_number, path LIMIT 2400)"
+_request("symbol_usages", lambda x: x.find_symbol_usages("Run1").select("path", "line_number", "usage"), _CALLS + """, u AS (SELECT path, line_number, 0 AS b, 'declaration' AS usage FROM members WHERE name = 'Run1' UNION ALL SELECT path, line_number, 2, 'call' FROM hit),
+  o AS (SELECT *, row_number() OVER (PARTITION BY path, line_number ORDER BY b) AS r FROM u) SELECT path, line_number, usage FROM o WHERE r = 1 ORDER BY b, path, line_number LIMIT 300""")
+_request("member_usages", lambda x: x.find_symbol_usages("Run1", _class(3)(x)).select("path", "line_number", "usage"), "SELECT DISTINCT path, line_number, 'declaration' AS usage FROM members WHERE name = 'Run1' AND class_id = 3")

@@ -16,6 +16,8 @@ INCLUDED_EXTENSIONS = ("h", "hh", "hpp", "cpp", "cc", "cxx", "inl", "cs", "ini",
 # What makes a header worth parsing, and parts of paths that the text index leaves out.
 INTERESTING = ("#include", "#define", "UCLASS", "USTRUCT", "UENUM", "UINTERFACE", "UDELEGATE", "UFUNCTION", "UPROPERTY", "GENERATED_BODY", "DECLARE_")
 NOT_INDEXED = ("/intermediate/", "/binaries/", "/deriveddatacache/", "/thirdparty/", "/source/thirdparty/", "/framework/libs/", "/external/")
+# The folders of an engine that are scanned.
+ENGINE_FOLDERS = ("Engine/Source", "Engine/Plugins", "Engine/Config", "Engine/Shaders")
 #: the section of assignments before the first header
 DEFAULT_SECTION = "Default"
 
@@ -31,6 +33,11 @@ def scan_files(spark: SparkSession, roots: list[str], include: tuple[str, ...] =
     return kept.select(S.normalize_path("path").alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
 
 
+def engine_roots(root: str) -> list[str]:
+    """The folders of an engine below ``root`` that are scanned, for ``scan_files``."""
+    return [f"{root.rstrip('/')}/{folder}" for folder in ENGINE_FOLDERS]
+
+
 def with_cache_status(files: DataFrame, previous: DataFrame) -> DataFrame:
     """Add content_hash and status (``cache_hit`` where ``previous(path, content_hash)`` agrees, else ``parse``)."""
     hashed = files.withColumn("content_hash", S.content_hash("content"))
