@@ -245,7 +245,9 @@ def keep_one_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> Da
     told = docs.withColumn(own[0], F.xxhash64("text")).withColumn(own[1], F.xxhash64(F.lit(1), "text"))
     rows = materialise(fingerprint_rows(told, shingle, tuple(own)), "fingerprints")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", *own)).alias("first")
-    stay = rows.join(_rooted(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(first)
+    # Reduced to a row a fingerprint first: copies of one text are many rows of one key.
+    firsts = rows.groupBy("fp").agg(first)
+    stay = firsts.join(_rooted(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
     stay = stay.select(F.col("first.doc_id").alias("__wl_id"), *[F.col(f"first.{c}").alias(f"{c}_stay") for c in own])
     same = [F.col(c) == F.col(f"{c}_stay") for c in own]
     kept = told.join(stay, [F.col("doc_id").cast("long").eqNullSafe(F.col("__wl_id")), *same], "left_semi")
