@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -29,6 +29,10 @@ def _start() -> Column:
     return F.struct(F.lit(False).alias("is_list"), F.lit(None).cast("array<string>").alias("values"))
 
 
+#: operations that go on from the state before; any other one starts anew
+GOES_ON = ("+", "-")
+
+
 def _ordered(entries: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return entries.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, "op", "value"))).alias("__ops"))
 
@@ -36,17 +40,30 @@ def _ordered(entries: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def config_fold(entries: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """key, display value and number of operations, after applying (op, value) of each key in order.
 
-    A key's operations are gathered in one row: they are the lines that name one setting.
+    What comes before a key's last set or clear cannot matter, so only operations from there on are
+    gathered in a row.
     """
-    folded = _ordered(entries, key, order).withColumn("__s", F.aggregate("__ops", _start(), lambda s, o: _apply(s, o["op"], o["value"])))
-    return folded.select(*key, S.display_value(F.col("__s.is_list"), F.col("__s.values")).alias("value"), F.size("__ops").alias("n_ops"))
+    starts = F.max(F.when(~F.coalesce(F.col("op"), F.lit("")).isin(*GOES_ON), F.struct(*order, "op", "value"))).alias("__from")
+    last = entries.groupBy(*key).agg(starts, F.count(F.lit(1)).cast("int").alias("n_ops"))
+    last = last.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], "__from", "n_ops")
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(key)]
+    tail = entries.join(last, same).filter(F.col("__from").isNull() | (F.struct(*order, "op", "value") >= F.col("__from")))
+    folded = _ordered(tail, [*key, "n_ops"], order).withColumn("__s", F.aggregate("__ops", _start(), lambda s, o: _apply(s, o["op"], o["value"])))
+    return folded.select(*key, S.display_value(F.col("__s.is_list"), F.col("__s.values")).alias("value"), "n_ops")
 
 
 def config_history(entries: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """key, step, order columns, op and the display value after every operation."""
-    rows = _ordered(entries, key, order).select(*key, "__ops", F.posexplode("__ops").alias("step", "__o"))
-    rows = rows.withColumn("__s", F.aggregate(F.slice("__ops", F.lit(1), F.col("step") + 1), _start(), lambda s, o: _apply(s, o["op"], o["value"])))
-    return rows.select(*key, "step", *[F.col(f"__o.{c}").alias(c) for c in order], F.col("__o.op").alias("op"), S.display_value(F.col("__s.is_list"), F.col("__s.values")).alias("value"))
+    """key, step, order columns, op and the display value after every operation.
+
+    A set or clear starts a run of operations; each run is folded by itself.
+    """
+    run = Window.partitionBy(*key).orderBy(*order, "op", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = entries.withColumn("__at", F.count(F.lit(1)).over(run) - 1).withColumn("__run", F.count_if(~F.coalesce(F.col("op"), F.lit("")).isin(*GOES_ON)).over(run))
+    rows = rows.groupBy(*key, "__run").agg(F.sort_array(F.collect_list(F.struct("__at", *order, "op", "value"))).alias("__ops"))
+    rows = rows.select(*key, "__ops", F.posexplode("__ops").alias("__i", "__o"))
+    rows = rows.withColumn("__s", F.aggregate(F.slice("__ops", F.lit(1), F.col("__i") + 1), _start(), lambda s, o: _apply(s, o["op"], o["value"])))
+    step = F.col("__o.__at").cast("int").alias("step")
+    return rows.select(*key, step, *[F.col(f"__o.{c}").alias(c) for c in order], F.col("__o.op").alias("op"), S.display_value(F.col("__s.is_list"), F.col("__s.values")).alias("value"))
 
 
 def throttle(events: DataFrame, key: list[str], ts: str, micros: int, keep: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import assets, build, checks, fold, graph, resolve, search, usa
 from ..operators.scratch import scratch_path
 from ..sources import text as T
 from ..streaming import changes
-from .catalog import SYMBOLS_SQL, compact, document_lines, lines_sql, low, symbols, table
+from .catalog import SYMBOLS_SQL, document_lines, lines_sql, low, symbols, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
