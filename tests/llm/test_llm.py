@@ -352,6 +352,16 @@ def _tails(words):
     return out
 
 
+def test_words_that_share_a_hash_are_located():
+    a, b = np.array([3, 3, 3, 7, 9], np.uint64), np.array([1, 4, 6, 2, 5], np.uint64)
+    asked = [(3, 4), (3, 6), (3, 5), (3, 9), (9, 5), (9, 6), (1, 1), (10, 0), (7, 2)]
+    h1, h2 = (np.array(x, np.uint64) for x in zip(*asked, strict=True))
+    assert lm.located(h1, h2, a, b).tolist() == [1, 2, -1, -1, 4, -1, -1, -1, 3]
+    assert lm.located(h1, h2, a[:0], b[:0]).tolist() == [-1] * len(asked)
+    first, which, n = lm.distinct(np.array([5, 5, 2, 5], np.uint64), np.array([1, 2, 0, 1], np.uint64))
+    assert which[0] == which[3] != which[1] and sorted(n.tolist()) == [1, 1, 2] and len(first) == 3
+
+
 def test_every_code_is_complete(spark, texts):
     model, _ = _lm_model(spark, list(texts.values())[:40])
     assert np.allclose((0.5 ** model.code[1].astype(float)).sum(axis=1), 1.0)

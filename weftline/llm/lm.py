@@ -143,6 +143,20 @@ def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order[at], which, np.diff(np.concatenate([at, [len(order)]]))
 
 
+def located(h1: np.ndarray, h2: np.ndarray, in1: np.ndarray, in2: np.ndarray) -> np.ndarray:
+    """The place of each pair of hashes among pairs that are in order; -1 for those that are not there."""
+    if not len(in1):
+        return np.full(len(h1), -1, np.int64)
+    at = np.searchsorted(in1, h1)
+    last = len(in1) - 1
+    while True:  # words that share the first hash stand together, in order of the second
+        here = np.minimum(at, last)
+        on = np.flatnonzero((in1[here] == h1) & (in2[here] < h2) & (at <= last))
+        if not len(on):
+            return np.where((at <= last) & (in1[here] == h1) & (in2[here] == h2), here, -1)
+        at[on] += 1
+
+
 Code = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -726,12 +740,9 @@ def score_texts(rows: DataFrame, model: Model, common: tuple[np.ndarray, np.ndar
                 which = which[np.argsort(size[which], kind="stable")]
                 mine = [streams[i] for i in which.tolist()]
                 pool = Pool(mine, model_, own)
-                at = np.searchsorted(c1, pool.h1)
-                while (wrong := np.flatnonzero((c1[np.minimum(at, len(c1) - 1)] == pool.h1) & (c2[np.minimum(at, len(c1) - 1)] < pool.h2) & (at < len(c1)))).size if len(c1) else 0:
-                    at[wrong] += 1
-                at = np.minimum(at, max(len(c1) - 1, 0))
-                found = (c1[at] == pool.h1) & (c2[at] == pool.h2) if len(c1) else np.zeros(len(at), bool)
-                c = np.where(found, cn[at], 0) if len(c1) else np.zeros(len(at), np.int64)
+                at = located(pool.h1, pool.h2, c1, c2)
+                found = at >= 0
+                c = np.where(found, cn[at], 0) if len(cn) else np.zeros(len(at), np.int64)
                 base = np.where(found, np.log10((c + 1) / weight), 0.0)
                 done, first = 0, 0
                 for part in _runs(mine, np.arange(len(mine)), BATCH_BYTES):
