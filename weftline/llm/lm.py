@@ -53,7 +53,7 @@ ROUNDS = 2
 #: tokens between two corrections of a text's weights; how fast weights and map follow a text
 SEGMENT, RATE, MAP_RATE = 16, 0.0005, 0.02
 #: bytes of texts handled together: held at a time, while words are cut, and while decisions are mixed
-POOL_BYTES, WORDS_BYTES, BATCH_BYTES = 5_000_000, 250_000, 400_000
+POOL_BYTES, WORDS_BYTES, BATCH_BYTES = 8_000_000, 250_000, 400_000
 #: bits of hash that mark the beginning of a chunk: one word in 32
 CHUNK_BITS = 5
 #: the commonest words, at most so many, are looked up in a broadcast; the others by a join
@@ -341,13 +341,26 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 ROWS_AT_ONCE = 1_500
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], code: Code, bits: list[int]) -> Iterator[tuple[Spelling, np.ndarray, np.ndarray, list[np.ndarray], bool]]:
     """Spellings of rows (word, gram, c): how often each decision was made, which of them count, their slots, and whether of words.
 
     A word's row counts for the contexts within words; of the running context it has what does not look
     across words. A gram's row has the rest of that, and all inputs at a word's beginning.
     """
-    for batch in batches:
+    for batch in _gathered(batches, 4 * ROWS_AT_ONCE):
         for i in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(i, ROWS_AT_ONCE)
             n = part.column(2).to_numpy(zero_copy_only=False)
