@@ -296,6 +296,19 @@ def test_requests(index):
     assert index.get_diagnostics().count() == 0
 
 
+def test_usages_without_a_limit(spark, index):
+    """Calls elsewhere, however many come first, push out none of a candidate file; overrides can be left out."""
+    many = spark.range(5000).select(F.lit("Tick").alias("name"), F.lit("A.cpp").alias("path"), F.col("id").cast("int").alias("line_number"))
+    calls = many.union(spark.createDataFrame([("Tick", "Engine/Actor.h", 9)], many.schema))
+    members = spark.createDataFrame([(4, 1, "Tick", "function", "public", "()", "void", "Game/Public/Hero.h", 5)], index["members"].schema)
+    x = Index({**index.tables, "calls": calls, "members": index["members"].union(members)}).with_projections()
+    usages_of = lambda **k: [(r["usage"], r["path"], r["line_number"]) for r in x.find_symbol_usages("Tick", "AActor", **k).collect()]
+    own, over, call = ("declaration", "Engine/Actor.h", 2), ("override", "Game/Public/Hero.h", 5), ("call", "Engine/Actor.h", 9)
+    assert usages_of() == [own, over]
+    assert usages_of(limit=None) == [own, over, call]
+    assert usages_of(limit=None, overridden=False) == [own, call]
+
+
 def test_exact_type_suppresses_others(index):
     assert set(r["name"] for r in search.suppress_for_exact_type(index["search_symbols"], "AHero").collect()) == {"AHero"}
 
