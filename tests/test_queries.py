@@ -44,16 +44,17 @@ def large(sf_dir, tmp_path_factory):
     """Tables in which requests find more than a page; half of the members of one name are in a derived class."""
     d = tmp_path_factory.mktemp("large")
     c = duckdb.connect()
-    made = {"supplier": "SELECT i AS s_suppkey, 'S' || i AS s_name, CASE WHEN i // 7 % 2 = 0 THEN 3 ELSE 7 END::INTEGER AS s_nationkey, 0.5::DOUBLE AS s_acctbal FROM range(5000) AS t(i)"}
+    made = {"supplier": "SELECT i AS s_suppkey, 'S' || i AS s_name, CASE WHEN i // 7 % 2 = 0 THEN 3 ELSE 7 END::INTEGER AS s_nationkey, 0.5::DOUBLE AS s_acctbal FROM range(5000) AS t(i)",
+            "part": "SELECT i AS p_partkey, 'red widget' AS p_name, 'Brand' AS p_brand, 'SMALL TIN' AS p_type, (5 + i % 2)::INTEGER AS p_size, 0.5::DOUBLE AS p_retailprice FROM range(24000) AS t(i)"}
     for t in ("region", "nation", "customer", "supplier", "part"):
         c.sql(f"COPY ({made.get(t, f"SELECT * FROM '{sf_dir}/{t}.parquet'")}) TO '{d}/{t}.parquet' (FORMAT parquet)")
         c.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["request_member_usages"])
-def test_request_beyond_a_page(name, spark, large):
+@pytest.mark.parametrize("name,page", [("request_member_usages", 300), ("request_search_files", 10_000)])
+def test_request_beyond_a_page(name, page, spark, large):
     d, c = large
     want = c.sql(plans.oracle_sql()[name]).df()
-    assert len(want) > 300
+    assert len(want) > page
     assert rows(plans.queries()[name](spark, d).toPandas()) == rows(want)
