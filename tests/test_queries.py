@@ -52,7 +52,7 @@ def large(sf_dir, tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name,page", [("request_member_usages", 300), ("request_search_files", 10_000)])
+@pytest.mark.parametrize("name,page", [("request_member_usages", 300), ("request_search_files", 10_000), ("request_search_files_in_modules", 10_000)])
 def test_request_beyond_a_page(name, page, spark, large):
     d, c = large
     want = c.sql(plans.oracle_sql()[name]).df()
