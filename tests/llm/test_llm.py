@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -436,6 +437,25 @@ def test_rarer_words_are_joined_and_the_model_beats_unigrams(spark, docs):
         assert math.isclose(r["score"], own[r["doc_id"]]["score"], rel_tol=1e-9)
 
 
+def test_the_driver_holds_three_numbers_of_each_common_word(spark):
+    many = 200_000
+    counts = spark.range(many + 2).selectExpr(f"if(id < {many}, cast(concat('wörd', id) as binary), if(id = {many}, cast('' as binary), null)) word", f"if(id > {many}, 7, null) gram", "id % 5 + 1 c")
+    tracemalloc.start()
+    try:
+        h1, h2, n = lm.commonest(counts, many + 1)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 100 * many  # the words with what hashing takes of them: 535 bytes each
+    t = lm.Tokens([" ".join([*(f"wörd{i}" for i in range(many)), "", ""]).encode()])
+    w1, w2 = t.hashes()
+    order = np.lexsort((w2, w1))
+    assert (h1 == w1[order]).all() and (h2 == w2[order]).all() and (n == (np.arange(many + 1) % 5 + 1)[order]).all()
+    assert n.dtype == np.int64 and h1.dtype == h2.dtype == np.uint64
+    assert [len(x) for x in lm.commonest(counts, 100_000)] == [80_000] * 3  # counts 4 and 5; with 3 there are too many
+    assert [len(x) for x in lm.commonest(counts, 10)] == [len(x) for x in lm.commonest(counts.limit(0), 10)] == [0] * 3
+
+
 def test_held_out_texts_cost_less_than_by_unigrams(spark):
     got = queries.op4_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
